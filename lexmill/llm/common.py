@@ -43,13 +43,18 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
 
 
 def put_file(spark: SparkSession, name: str, data: bytes) -> str:
-    """Puts a small file into the shared folder and registers it with Spark, which copies it to each executor."""
-    path = f"{shared_dir(spark)}/llm-files-{uuid.uuid4().hex}/{name}"
+    """Puts a file into the shared folder, once for each name (which names its content), and registers it with Spark,
+    which copies it to each executor."""
+    path = f"{shared_dir(spark)}/llm-files/{name}"
     fs, p = _fs(spark, path)
-    out = fs.create(p)
-    out.write(bytearray(data))
-    out.close()
-    fs.deleteOnExit(p.getParent())
+    if not fs.exists(p):
+        part = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+        out = fs.create(part)
+        out.write(bytearray(data))
+        out.close()
+        if not fs.rename(part, p) and not fs.exists(p):
+            raise OSError(f"can't write {path}")
+        fs.deleteOnExit(p)
     spark.sparkContext.addFile(path)
     return path
 
