@@ -82,15 +82,15 @@ def english_words(spark, sf_dir):
     return d.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _forms() -> str:
-    out = ["w", *(f"w || '{s}'" for s in ("s", "es", "d", "ed", "ing"))]
-    out += [f"CASE WHEN w LIKE '%y' AND length(w) > 2 THEN w[:-2] || '{s}' END" for s in ("ies", "ied")]
-    out += [f"CASE WHEN w LIKE '%e' AND length(w) > 3 THEN w[:-2] || '{s}' END" for s in ("ing", "s")]
+def forms_sql(w: str = "w") -> str:
+    out = [w, *(f"{w} || '{s}'" for s in ("s", "es", "d", "ed", "ing"))]
+    out += [f"CASE WHEN {w} LIKE '%y' AND length({w}) > 2 THEN {w}[:-2] || '{s}' END" for s in ("ies", "ied")]
+    out += [f"CASE WHEN {w} LIKE '%e' AND length({w}) > 3 THEN {w}[:-2] || '{s}' END" for s in ("ing", "s")]
     for x in ("ies", "ied", "ing", "es", "ed", "s", "d"):
-        out += [f"CASE WHEN w LIKE '%{x}' AND length(w) - {len(x)} >= 3 THEN w[:-{len(x) + 1}] || '{s}' END" for s in ("", "s", "es", "d", "ed", "ing")]
+        out += [f"CASE WHEN {w} LIKE '%{x}' AND length({w}) - {len(x)} >= 3 THEN {w}[:-{len(x) + 1}] || '{s}' END" for s in ("", "s", "es", "d", "ed", "ing")]
     return "[" + ", ".join(out) + "]"
 
 
-@query(f"SELECT w, array_to_string(list_sort(list_distinct(list_filter({_forms()}, lambda f: length(f) >= 3))), ' ') AS forms FROM ({EN})")
+@query(f"SELECT w, array_to_string(list_sort(list_distinct(list_filter({forms_sql()}, lambda f: length(f) >= 3))), ' ') AS forms FROM ({EN})")
 def word_forms(spark, sf_dir):
     return english_words(spark, sf_dir).select("w", F.array_join(T.inflected_variants(F.col("w")), " ").alias("forms"))
