@@ -105,7 +105,7 @@ def kebab(tag: Column) -> Column:
 def normalized_tags(front_matter: Column) -> Column:
     """The tags of a `tags: [a, b]` line in kebab case, the first of equal ones kept in place; null without such a line."""
     inner = F.regexp_extract(front_matter, r"tags:\s*\[(.*?)\]", 1)
-    parts = F.filter(F.transform(F.split(inner, ","), F.trim), lambda t: t != "")
+    parts = F.filter(F.transform(F.split(inner, ","), lambda t: F.trim(t)), lambda t: t != "")
     return F.when(front_matter.rlike(r"tags:\s*\[(.*?)\]"), F.array_distinct(F.transform(parts, lambda t: kebab(replaced(t, (r'^"+|"+$', ""), (r"^'+|'+$", ""))))))
 
 
