@@ -62,11 +62,12 @@ def dedup_lines(
     if keep_first:
         hits = hits.where(~F.struct("__id", "__th", "__pos").eqNullSafe(F.col("__first")))
     drop = hits.groupBy(F.col("__id").alias("__did"), F.col("__th").alias("__dth")).agg(F.collect_set("__pos").alias("__drop"))
-    out = docs.withColumns({"__th": F.xxhash64(f"`{text}`"), "__id": F.col(f"`{id_}`")})
+    # texts travel as their lines, split once below the join: an expression above it would be split anew for each line
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    out = docs.select(*others, F.col(f"`{id_}`").alias("__id"), F.xxhash64(f"`{text}`").alias("__th"), F.split(f"`{text}`", "\n").alias("__lines"))
     out = out.join(drop, F.col("__id").eqNullSafe(F.col("__did")) & (F.col("__th") == F.col("__dth")), "left")
-    split = F.split(f"`{text}`", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__drop"))
-    clean = F.when(F.col("__drop").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(split, i + 1)), "\n"))
-    more = {"n_lines": F.coalesce(F.size(split), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("__drop"), F.lit(0)).cast("long")} if counts else {}
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop"))
+    clean = F.array_join(F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(F.transform(kept, lambda i: F.element_at("__lines", i + 1))), "\n")
+    more = {"n_lines": F.coalesce(F.size("__lines"), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("__drop"), F.lit(0)).cast("long")} if counts else {}
     cols = [clean.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c not in more]
     return out.select(*cols, *(v.alias(k) for k, v in more.items()))

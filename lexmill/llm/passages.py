@@ -12,7 +12,8 @@ of smaller doc_id goes; windows are judged on the input.
    fixed size whatever the input), which is broadcast. Counts are never too small, so no repeated window is lost; where a
    sketch is overfull, more windows go on to step 3, which is exact by itself.
 3. Windows with an estimate of two or more are grouped by a 96-bit hash. They are shuffled once; the smallest doc_id of a
-   window and the join of it with the window's rows use the same partitioning, and rows stream through a merge join.
+   window and the join of it with the window's rows use the same partitioning, and rows stream through a merge join. A
+   window that a document repeats, however often, is one row.
 4. The places found, packed by document, meet the texts in one join.
 
 Null texts have no words. Rows that repeat a doc_id count as one document for "smaller", each row being judged by its own
@@ -174,7 +175,7 @@ def text_tag(text: bytes) -> int:
 
 
 def repeated_windows(docs: DataFrame, bitmap: np.ndarray, width: int, gram: int, bits: int) -> DataFrame:
-    """doc_id, at (text tag and place) of each window that a smaller doc_id has as well."""
+    """doc_id, at (text tag and place) of each window that a smaller doc_id has as well; more: its further places."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(bitmap)
 
@@ -185,17 +186,23 @@ def repeated_windows(docs: DataFrame, bitmap: np.ndarray, width: int, gram: int,
             for start, texts in groups_of_texts(b, "__t"):
                 w = Words(texts, width, gram)
                 hit = w.starts[repeated(shared.value, w.anchors, bits)]
-                k1, k2 = rolled(w.h, width, WEIGHTS[0]), rolled(w.h, width, WEIGHTS[1])
-                tags = np.fromiter(map(text_tag, texts), np.int64, len(texts))
-                doc = w.doc[hit]
-                key = ids.take(pa.array(start + doc))
-                out = pa.RecordBatch.from_arrays([pa.array(k1[hit].view(np.int64)), pa.array((k2[hit] >> np.uint64(32)).astype(np.uint32).view(np.int32)), key, pa.array(tags[doc] << 32 | w.place[hit])], ["k1", "k2", "doc_id", "at"])
+                k1, k2 = rolled(w.h, width, WEIGHTS[0])[hit], (rolled(w.h, width, WEIGHTS[1])[hit] >> np.uint64(32)).astype(np.uint32)
+                doc, at = w.doc[hit], np.fromiter(map(text_tag, texts), np.int64, len(texts))[w.doc[hit]] << 32 | w.place[hit]
+                # a window that a document repeats is one row
+                order = np.lexsort((at, k2, k1, doc))
+                k1, k2, doc, at = k1[order], k2[order], doc[order], at[order]
+                new = np.nonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (doc[1:] != doc[:-1])]))[0] if len(at) else np.zeros(0, np.int64)
+                ends = [*new[1:].tolist(), len(at)]
+                more = [at[i + 1 : e].tobytes() if e - i > 1 else None for i, e in zip(new.tolist(), ends, strict=True)] if len(new) < len(at) else [None] * len(new)
+                out = pa.RecordBatch.from_arrays(
+                    [pa.array(k1[new].view(np.int64)), pa.array(k2[new].view(np.int32)), ids.take(pa.array(start + doc[new])), pa.array(at[new]), pa.array(more, pa.binary())], ["k1", "k2", "doc_id", "at", "more"]
+                )
                 yield from (out.slice(i, 1 << 16) for i in range(0, out.num_rows, 1 << 16))
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    rows = docs.mapInArrow(candidates, "k1 long, k2 int, doc_id long, at long").repartition(parts, "k1", "k2")
+    rows = docs.mapInArrow(candidates, "k1 long, k2 int, doc_id long, at long, more binary").repartition(parts, "k1", "k2")
     owner = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("k1", "k2", "low")
-    return rows.join(owner.hint("merge"), ["k1", "k2"]).where("doc_id > low").select("doc_id", "at")
+    return rows.join(owner.hint("merge"), ["k1", "k2"]).where("doc_id > low").select("doc_id", "at", "more")
 
 
 def mark_copies(docs: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -221,12 +228,12 @@ def dedup_passages(docs: DataFrame, id_: str = "doc_id", text: str = "text", wid
     base = docs.select(F.col(f"`{id_}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("__t"))
     marked = mark_copies(base, broadcast_rows)
     found = repeated_windows(marked, sketch(marked, width, gram, bits), width, gram, bits)
-    packed = found.groupBy(F.col("doc_id").alias("__d")).agg(F.collect_list("at").alias("__at"))
+    packed = found.groupBy(F.col("doc_id").alias("__d")).agg(F.collect_list("at").alias("__at"), F.collect_list("more").alias("__more"))
     joined = marked.join(packed, F.col("doc_id") == F.col("__d"), "left").drop("__d")
 
     def cut(batches):
         for b in batches:
-            at = b.column("__at")
+            at, more = b.column("__at"), b.column("__more")
             rows = []
             for (i, t), copy in zip(text_slices(b, "__t"), b.column("__copy").to_pylist(), strict=True):
                 words = (t or b"").split()
@@ -234,7 +241,7 @@ def dedup_passages(docs: DataFrame, id_: str = "doc_id", text: str = "text", wid
                 if copy and len(words) >= width:
                     gone[:] = True
                 elif at[i].is_valid:
-                    places = at[i].values.to_numpy()
+                    places = np.concatenate([at[i].values.to_numpy(), *(np.frombuffer(m, np.int64) for m in more[i].as_py())])
                     own = places[places >> 32 == text_tag(t or b"")]
                     gone = covered(len(words), own & 0xFFFFFFFF, width)
                 kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]) if gone.any() else b" ".join(words)
