@@ -113,6 +113,8 @@ def sketch(docs: DataFrame, width: int, gram: int, bits: int) -> np.ndarray:
                 if not held:
                     return
                 cell, n = np.unique(np.concatenate([cells(a, row, bits) for a in held]), return_counts=True)
+                if not len(cell):  # no text of this task has a window
+                    continue
                 block = cell >> BLOCK
                 cuts = np.concatenate([[0], np.nonzero(np.diff(block))[0] + 1, [len(cell)]])
                 low, many = (cell & ((1 << BLOCK) - 1)).astype("<u2"), n > 1
