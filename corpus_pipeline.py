@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import bpe, lines, mixing, simhash, toxicity
+from lexmill.llm import bpe, lines, mixing, nearcopies, toxicity
 from lexmill.llm.common import stash, table
 from lexmill.llm.queries import ranks_and_pattern
 
@@ -22,8 +22,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group of near copies, five-word shingles of Jaccard similarity from 0.8 on, stays."""
+    return nearcopies.drop_near_copies(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing", mixing_stage),
     ("tokens", token_stage),
 ]
-#: Toxicity is a model and SimHash a loop over XXH64: SQL can't express them.
+#: Toxicity is a model and near copies are found by MinHash over XXH64: SQL can't express them.
 ORACLE_SQL = None
 
 
