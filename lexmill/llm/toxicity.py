@@ -4,8 +4,7 @@ Two bigram models, of toxic and of ordinary labelled training documents, give ea
 takes the discounted share of a bigram in its class, backs off to the discounted share of the word in its class, and from
 there to a count that both classes share, of the contexts that a word stands in: a word that is rare or new says little,
 since both models end at the same count. In Kneser-Ney's way all counts are of distinct left contexts, so that a document
-with a thousand copies counts as one. Contexts are counted in 64 cells by their hash: from 48 cells on the plain count
-stands, below it the estimate from the cells.
+with a thousand copies counts as one. Contexts are counted exactly, as distinct pairs of a left context and a key.
 
 What is compared is normalised by length: the mean ratio of the whole text, and the mean of its one and of its two most
 telling tokens, as an insult in a long text is one of few words. A logistic regression turns the three into a score. It is
@@ -13,7 +12,7 @@ fitted on training documents, at most about `calibrate` of them (those of smalle
 counts, so that its own rare words don't count as known.
 
 Counts cover all training rows. Words are counted first. Explicit are those with at least 5 contexts that make up at least
-1 / 2**20 of all tokens (thus 2**20 at most); all others are the one unknown word. Bigrams of explicit words are counted next
+1 / 2**20 of all contexts (thus 2**20 at most); all others are the one unknown word. Bigrams of explicit words are counted next
 and kept by the same rule. Both tables are aggregated map-side; the model is at most some 60 MB of arrays.
 
 Words are runs of letters and digits after lower-casing A-Z. Null and empty texts have the neutral ratio 0, with its score.
@@ -36,9 +35,8 @@ from .labels import held_out, labelled, logistic, probability
 
 EXPLICIT = 1 << 20
 DISCOUNT = 0.75
-COUNTS = "w long, y long, n long, cells long"
-CELLS, FULL = 64, 48
-LEAST_CONTEXTS = 4.9  # five, with the cells' rounding
+OCCURRENCES = "w long, left long, y long"
+LEAST_CONTEXTS = 5
 #: Bytes that part words: ASCII other than letters and digits.
 BLANKS = bytes.maketrans(bytes(b for b in range(128) if not chr(b).isalnum()), b" " * sum(not chr(b).isalnum() for b in range(128)))
 
@@ -63,57 +61,28 @@ def runs(batch, most: int = 1 << 22):
         yield start, out
 
 
-def cell(left: np.ndarray) -> np.ndarray:
-    """One bit of 64 for each left context."""
-    return np.uint64(1) << (left.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58))
-
-
-def contexts(n, cells, log, when):
-    """Distinct contexts of n occurrences that fill so many cells; numpy or Column functions."""
-    return when(cells >= FULL, n, -CELLS * log(1 - cells / CELLS))
-
-
-def _counter(batches, keys):
-    """(w, y, n, cells) of a task: keys(texts) gives key, left context and document of each occurrence."""
-    held: list[tuple[np.ndarray, ...]] = []
-
-    def emit():
-        if held:
-            w, y, bit = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((y, w))
-            w, y, bit = w[order], y[order], bit[order]
-            at = np.nonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (y[1:] != y[:-1])]))[0] if len(w) else np.zeros(0, np.int64)
-            n, bits = np.diff([*at, len(w)]), np.bitwise_or.reduceat(bit, at).view(np.int64) if len(w) else np.zeros(0, np.int64)
-            for i in range(0, len(at), 1 << 16):
-                s = slice(i, i + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(w[at[s]]), pa.array(y[at[s]]), pa.array(n[s].astype(np.int64)), pa.array(bits[s])], ["w", "y", "n", "cells"])
-
+def _contexts(batches, keys):
+    """(w, left, y) of each occurrence: keys(texts) gives key, left context and document."""
     for b in batches:
         ys = np.array(b.column("y").to_pylist(), np.int64)
         for start, texts in runs(b):
             key, left, doc = keys(texts)
-            held.append((key, ys[start + doc], cell(left)))
-        if sum(len(x[0]) for x in held) > 1 << 21:
-            yield from emit()
-            held.clear()
-    yield from emit()
+            y = ys[start + doc]
+            for i in range(0, len(key), 1 << 16):
+                s = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(key[s]), pa.array(left[s]), pa.array(y[s])], ["w", "left", "y"])
 
 
-def explicit(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def explicit(occurrences: DataFrame, spread: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Explicit keys in ascending order, their contexts by class, their contexts in both together, and in a last row of
-    these two what all other keys have."""
-
-    def cells(y):
-        return F.bit_count(F.coalesce(F.bit_or(F.when(F.col("y") == y, F.col("cells"))), F.lit(0)))
-
-    def of(n, bits):
-        return contexts(F.col(n), F.least(F.col(bits), F.lit(CELLS - 1)), F.log, lambda c, a, b: F.when(c, a).otherwise(F.least(a, b)))
-
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    wide = counted.groupBy("w").agg(*(F.coalesce(F.sum(F.when(F.col("y") == y, F.col("n"))), F.lit(0)).alias(f"n{y}") for y in range(2)), *(cells(y).alias(f"b{y}") for y in range(2)), F.sum("n").alias("n"), F.bit_count(F.bit_or("cells")).alias("b"))
-    wide = stash(wide.select("w", "n", of("n0", "b0").alias("c0"), of("n1", "b1").alias("c1"), of("n", "b").alias("c")), "ngrams")
-    sums = [x or 0.0 for x in wide.agg(F.sum("c0"), F.sum("c1"), F.sum("c")).first()]
-    got = wide.where((F.col("c") >= LEAST_CONTEXTS) & (F.col("n") >= total / EXPLICIT)).toArrow()  # at most EXPLICIT rows
+    these two what all other keys have. Contexts are distinct (key, left) pairs, counted exactly: these are aggregated
+    map-side first, then by key; without `spread` by key at once, where keys are many and none has a large share."""
+    occurrences = occurrences if spread else occurrences.repartition("w")
+    distinct = occurrences.groupBy("w", "left").agg(F.bit_or(F.col("y") + 1).alias("classes"))
+    wide = distinct.groupBy("w").agg(*(F.count_if(F.col("classes").bitwiseAND(1 << y) > 0).alias(f"c{y}") for y in range(2)), F.count(F.lit(1)).alias("c"))
+    wide = stash(wide, "ngrams")
+    sums = [x or 0 for x in wide.agg(F.sum("c0"), F.sum("c1"), F.sum("c")).first()]
+    got = wide.where((F.col("c") >= LEAST_CONTEXTS) & (F.col("c") >= sums[2] / EXPLICIT)).toArrow()  # at most EXPLICIT rows
     w = got.column("w").to_numpy()
     c = np.stack([got.column(x).to_numpy() for x in ("c0", "c1", "c")], 1).astype(np.float64).reshape(-1, 3)
     order = np.argsort(w)
@@ -129,6 +98,12 @@ def lookup(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return np.where(words[at] == hashes, at, len(words))
 
 
+def counted(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """How often each element of `of` stands in x."""
+    keys, n = np.unique(x, return_counts=True)
+    return np.append(n, 0)[lookup(keys, of)]
+
+
 class KneserNey:
     """words: sorted hashes of explicit words; word i has counts uni[i], one for each class, and before[i] in both; the
     unknown word is the last. pairs: sorted codes v * (len(words) + 1) + w of explicit bigrams, with counts bi."""
@@ -144,8 +119,9 @@ class KneserNey:
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         return lookup(self.words, hashes)
 
-    def ratios(self, w: np.ndarray, doc: np.ndarray, own: int | None = None) -> np.ndarray:
-        """Log-likelihood ratio of each token; with own (a class), as if this one document weren't in that class's counts."""
+    def ratios(self, w: np.ndarray, doc: np.ndarray, own: tuple[int, np.ndarray] | None = None) -> np.ndarray:
+        """Log-likelihood ratio of each token; with own (a class, the token hashes), as if this one document's contexts
+        weren't in that class's counts."""
         n = len(self.words) + 1
         first = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
         v = np.where(first, n - 1, np.roll(w, 1)) if len(w) else w
@@ -156,14 +132,14 @@ class KneserNey:
         for c in range(2):
             cw, cv, total = self.uni[w, c].astype(np.float64), self.uni[v, c].astype(np.float64), self.total[c]
             cb = np.where(known, self.bi[at, c], 0).astype(np.float64) if len(self.pairs) else np.zeros(len(w))
-            if own == c:
-                _, back, times = np.unique(w, return_inverse=True, return_counts=True)
-                cw = np.maximum(cw - times[back], 0)
-                seen = np.bincount(w, minlength=n)
-                cv = np.maximum(cv - seen[v], 0)
-                _, back, times = np.unique(code, return_inverse=True, return_counts=True)
-                cb = np.maximum(cb - times[back], 0)
-                total = max(total - len(w), 1)
+            if own is not None and own[0] == c:
+                h, odd = own[1].view(np.uint64), np.uint64(0x9E3779B97F4A7C15)
+                one, two = (np.concatenate([np.zeros(min(k, len(h)), np.uint64), h[:-k]]) for k in (1, 2))
+                context = one * odd + h
+                once, twice = (np.unique(x, return_index=True)[1] for x in (context, two * odd * odd + context))
+                cw, cv = np.maximum(cw - counted(w[once], w), 0), np.maximum(cv - counted(w[once], v), 0)
+                cb = np.maximum(cb - counted(code[twice], code), 0)
+                total = max(total - len(once), 1)
             low = np.maximum(cw - DISCOUNT, 0) / total + min(1.0, DISCOUNT * self.kinds[c] / total) * self.shared[w]
             follow = self.follow[v, c]
             weight = np.where(cv > 0, np.minimum(1.0, DISCOUNT * (follow + 1) / np.maximum(cv, 1)), 1.0)
@@ -174,7 +150,7 @@ class KneserNey:
 TOP = (1, 2)
 
 
-def features(model: KneserNey, w: np.ndarray, doc: np.ndarray, n: int, own: int | None = None) -> np.ndarray:
+def features(model: KneserNey, w: np.ndarray, doc: np.ndarray, n: int, own: tuple[int, np.ndarray] | None = None) -> np.ndarray:
     """Mean ratio of each of n documents, and of its TOP most telling tokens (short texts filled up with neutral ones)."""
     x = np.zeros((n, 1 + len(TOP)))
     if not len(w):
@@ -219,7 +195,7 @@ def train(rows: DataFrame, calibrate: int = 8192) -> Model:
         h, doc = tokens(texts)
         return h, shifted(h, doc, 1), doc
 
-    words, uni, before = explicit(rows.mapInArrow(lambda it: _counter(it, unigrams), COUNTS))
+    words, uni, before = explicit(rows.mapInArrow(lambda it: _contexts(it, unigrams), OCCURRENCES))
     shared = spark.sparkContext.broadcast(words)
 
     def bigrams(texts):
@@ -229,7 +205,7 @@ def train(rows: DataFrame, calibrate: int = 8192) -> Model:
         both = (doc[1:] == doc[:-1]) & (w[1:] < len(known)) & (w[:-1] < len(known))
         return (w[:-1] * (len(known) + 1) + w[1:])[both], shifted(h, doc, 2)[1:][both], doc[1:][both]
 
-    pairs, bi, _ = explicit(rows.mapInArrow(lambda it: _counter(it, bigrams), COUNTS))
+    pairs, bi, _ = explicit(rows.mapInArrow(lambda it: _contexts(it, bigrams), OCCURRENCES), spread=False)
     lm = KneserNey(words, uni, before, pairs, bi[:-1])
     model = spark.sparkContext.broadcast(lm)
 
@@ -242,7 +218,7 @@ def train(rows: DataFrame, calibrate: int = 8192) -> Model:
             x = np.zeros((b.num_rows, 1 + len(TOP)))
             for i, t in text_slices(b, "__t"):
                 h, doc = tokens([t or b""])
-                x[i] = features(lm, lm.ids(h), doc, 1, ys[i])[0]
+                x[i] = features(lm, lm.ids(h), doc, 1, (ys[i], h))[0]
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, j].copy()) for j in range(x.shape[1])), pa.array(ys, pa.int64())], [*names, "y"])
 
     # the rows of smallest id hash: a cut on the hash, so that texts needn't be sorted

@@ -5,6 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import corpus_pipeline
+from lexmill.llm import toxicity
 from lexmill.llm.common import table
 
 SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -45,3 +46,16 @@ def test_near_duplicate_stage_groups(spark):
     assert set(left) == {0, None, 100, 200, 202, 204}
     assert len(left) == 6
     assert corpus_pipeline.near_duplicate_stage(spark, docs.limit(0), "").count() == 0
+
+
+def toxic_rows(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, __t string, y int")
+
+
+def test_contexts_are_distinct(spark):
+    """A frequent word has as many counts as distinct left contexts, however often its documents are copied."""
+    rows = [(i, " ".join(f"l{j} often" for j in range(60 + 40 * (i % 2))), i % 2) for i in range(200)]
+    lm = toxicity.train(toxic_rows(spark, rows)).lm
+    h, doc = toxicity.tokens([b"often"])
+    at = lm.ids(h)[0]
+    assert lm.uni[at].tolist() == [60, 100]
