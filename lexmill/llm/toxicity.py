@@ -11,9 +11,9 @@ telling tokens, as an insult in a long text is one of few words. A logistic regr
 fitted on training documents, at most about `calibrate` of them (those of smallest id hash), each scored without its own
 counts, so that its own rare words don't count as known.
 
-Counts cover all training rows. Words are counted first. Explicit are those with at least 5 contexts that make up at least
-1 / 2**20 of all contexts (thus 2**20 at most); all others are the one unknown word. Bigrams of explicit words are counted next
-and kept by the same rule. Both tables are aggregated map-side; the model is at most some 60 MB of arrays.
+Counts cover all training rows and grow with them: every word and every bigram of explicit words with at least 5 contexts
+is explicit, all other words are the one unknown word. The counts are written tables. Up to MOST words and MOST bigrams the
+model is broadcast; beyond, texts are scored in groups, joined with the rows of the tables that each group needs.
 
 Words are runs of letters and digits after lower-casing A-Z. Null and empty texts have the neutral ratio 0, with its score.
 Without training rows of both classes all scores are the share of toxic rows (0 without rows). Labels, language, source and
@@ -30,10 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, text_slices
+from .common import small, stash, text_slices
 from .labels import held_out, labelled, logistic, probability
 
-EXPLICIT = 1 << 20
+MOST = 1 << 21  # explicit words, or bigrams, up to which the model is broadcast; beyond, tables are joined
 DISCOUNT = 0.75
 OCCURRENCES = "w long, left long, y long"
 LEAST_CONTEXTS = 5
@@ -73,21 +73,27 @@ def _contexts(batches, keys):
                 yield pa.RecordBatch.from_arrays([pa.array(key[s]), pa.array(left[s]), pa.array(y[s])], ["w", "left", "y"])
 
 
-def explicit(occurrences: DataFrame, spread: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Explicit keys in ascending order, their contexts by class, their contexts in both together, and in a last row of
-    these two what all other keys have. Contexts are distinct (key, left) pairs, counted exactly: these are aggregated
-    map-side first, then by key; without `spread` by key at once, where keys are many and none has a large share."""
-    occurrences = occurrences if spread else occurrences.repartition("w")
-    distinct = occurrences.groupBy("w", "left").agg(F.bit_or(F.col("y") + 1).alias("classes"))
-    wide = distinct.groupBy("w").agg(*(F.count_if(F.col("classes").bitwiseAND(1 << y) > 0).alias(f"c{y}") for y in range(2)), F.count(F.lit(1)).alias("c"))
-    wide = stash(wide, "ngrams")
-    sums = [x or 0 for x in wide.agg(F.sum("c0"), F.sum("c1"), F.sum("c")).first()]
-    got = wide.where((F.col("c") >= LEAST_CONTEXTS) & (F.col("c") >= sums[2] / EXPLICIT)).toArrow()  # at most EXPLICIT rows
-    w = got.column("w").to_numpy()
-    c = np.stack([got.column(x).to_numpy() for x in ("c0", "c1", "c")], 1).astype(np.float64).reshape(-1, 3)
-    order = np.argsort(w)
-    c = np.vstack([c[order], np.array(sums) - c.sum(0)])
-    return w[order], c[:, :2], c[:, 2]
+def shifted(x, doc, by):
+    """The element `by` places before, within the document; else 0."""
+    out = np.zeros(len(x), x.dtype)
+    same = doc[by:] == doc[:-by]
+    out[by:][same] = x[:-by][same]
+    return out
+
+
+def counts(occurrences: DataFrame, keys: list[str], spread: bool = True) -> DataFrame:
+    """keys, c0, c1, c: contexts by class and in both together. Contexts are distinct (keys, left), counted exactly: these
+    are aggregated map-side first, then by key; without `spread` by key at once, where keys are many and none has a large
+    share."""
+    occurrences = occurrences if spread else occurrences.repartition(*keys)
+    distinct = occurrences.groupBy(*keys, "left").agg(F.bit_or(F.col("y") + 1).alias("classes"))
+    wide = distinct.groupBy(*keys).agg(*(F.count_if(F.col("classes").bitwiseAND(1 << y) > 0).alias(f"c{y}") for y in range(2)), F.count(F.lit(1)).alias("c"))
+    return stash(wide, "ngrams")
+
+
+def array(df: DataFrame, *columns: str) -> np.ndarray:
+    got = df.select(*columns).toArrow()
+    return np.stack([got.column(x).to_numpy() for x in columns], 1).reshape(-1, len(columns))
 
 
 def lookup(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -104,17 +110,96 @@ def counted(x: np.ndarray, of: np.ndarray) -> np.ndarray:
     return np.append(n, 0)[lookup(keys, of)]
 
 
+class Whole:
+    """What a model takes of all counts: contexts of the unknown word by class and in both, and sums over all words."""
+
+    def __init__(self, counted: DataFrame):
+        known = F.col("c") >= LEAST_CONTEXTS
+        one = counted.agg(*(F.coalesce(F.sum(F.when(k, F.col(c))), F.lit(0)) for k in (known, ~known) for c in ("c0", "c1", "c")), *(F.count_if(known & (F.col(c) > 0)) for c in ("c0", "c1", "c"))).first()
+        told, self.unknown, kinds = (np.array(one[i : i + 3], np.float64) for i in (0, 3, 6))
+        self.words = int(kinds[2])
+        self.total = np.maximum((told + self.unknown)[:2], 1.0)
+        self.kinds = kinds[:2] + (self.unknown[:2] > 0)
+        self.shared = (told + self.unknown)[2] + self.words + 1
+
+
+class Tables:
+    """A model too large to be broadcast: words (w, c0, c1, c, f0, f1: the distinct explicit bigrams that w begins) and
+    pairs (v, w, c0, c1) as written tables."""
+
+    def __init__(self, words: DataFrame, pairs: DataFrame, whole: Whole):
+        follow = pairs.groupBy(F.col("v").alias("w")).agg(*(F.count_if(F.col(f"c{y}") > 0).alias(f"f{y}") for y in range(2)))
+        self.words, self.pairs, self.whole = stash(words.join(follow, "w", "left").na.fill(0, ["f0", "f1"]), "words"), pairs, whole
+
+    def rows(self, docs: DataFrame) -> DataFrame:
+        """__g, v (null: a word), w, c0, c1, c, f0, f1: what the texts of each group need."""
+
+        def grams(batches):
+            for b in batches:
+                group = b.column("__g").to_numpy(zero_copy_only=False)
+                for start, texts in runs(b):
+                    h, doc = tokens(texts)
+                    v = shifted(h, doc, 1)
+                    rows = np.unique(np.stack([group[start + doc], v, h], 1), axis=0)
+                    for i in range(0, len(rows), 1 << 16):
+                        yield pa.RecordBatch.from_arrays([pa.array(rows[i : i + (1 << 16), j].copy()) for j in range(3)], ["__g", "v", "w"])
+
+        need = docs.select("__g", "__t").mapInArrow(grams, "__g long, v long, w long").distinct()
+        words = need.select("__g", "w").distinct().join(self.words, "w")
+        pairs = need.join(self.pairs, ["v", "w"]).select("__g", "v", "w", "c0", "c1")
+        return words.unionByName(pairs, allowMissingColumns=True).select("__g", "v", "w", "c0", "c1", "c", "f0", "f1")
+
+
+def part(rows: pa.Table, whole: Whole) -> KneserNey:
+    """The model of one group's rows."""
+    t = {x: rows.column(x).to_pandas().to_numpy() for x in ("c0", "c1", "c", "f0", "f1")}
+    w = np.asarray(rows.column("w").to_numpy(), np.int64)
+    is_word = np.asarray(rows.column("v").is_null().to_numpy(), bool)
+    at = np.nonzero(is_word)[0]
+    at = at[np.argsort(w[at])]
+    words, n = w[at], len(at) + 1
+    uni = np.vstack([np.stack([t["c0"][at], t["c1"][at]], 1).astype(np.float64).reshape(-1, 2), whole.unknown[:2]])
+    follow = np.vstack([np.stack([t["f0"][at], t["f1"][at]], 1).astype(np.float64).reshape(-1, 2), [0.0, 0.0]])
+    two = np.nonzero(~is_word)[0]
+    v = np.asarray(rows.column("v").fill_null(0).to_numpy(), np.int64)[two]
+    code = lookup(words, v) * n + lookup(words, w[two])
+    order = np.argsort(code)
+    bi = np.stack([t["c0"][two], t["c1"][two]], 1).astype(np.float64).reshape(-1, 2)
+    return KneserNey(words, uni, np.append(t["c"][at].astype(np.float64), whole.unknown[2]), code[order], bi[order], whole, follow)
+
+
+def with_model(docs: DataFrame, lm: KneserNey | Tables | None, run, schema, group: int = 512) -> DataFrame:
+    """run(model, batches) over docs (with __t): with the broadcast model, or in groups of about `group` rows, each with the
+    rows of the tables that it needs. Both give the same."""
+    if not isinstance(lm, Tables):
+        shared = docs.sparkSession.sparkContext.broadcast(lm)
+        return docs.mapInArrow(lambda it: run(shared.value, it), schema)
+    whole, groups = lm.whole, max(1, docs.count() // group)
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind]
+    g = docs.withColumn("__g", F.pmod(F.xxhash64(*hashed), F.lit(groups)))
+
+    def safe(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = list(run(part(right, whole), left.drop_columns(["__g"]).combine_chunks().to_batches()))
+        return pa.Table.from_batches(out) if out else None
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    wanted = to_arrow_schema(schema if isinstance(schema, StructType) else StructType.fromDDL(schema))
+    return g.groupBy("__g").cogroup(lm.rows(g).groupBy("__g")).applyInArrow(lambda x, y: t if (t := safe(x, y)) is not None else wanted.empty_table(), schema)
+
+
 class KneserNey:
     """words: sorted hashes of explicit words; word i has counts uni[i], one for each class, and before[i] in both; the
     unknown word is the last. pairs: sorted codes v * (len(words) + 1) + w of explicit bigrams, with counts bi."""
 
-    def __init__(self, words: np.ndarray, uni: np.ndarray, before: np.ndarray, pairs: np.ndarray, bi: np.ndarray):
+    def __init__(self, words: np.ndarray, uni: np.ndarray, before: np.ndarray, pairs: np.ndarray, bi: np.ndarray, whole: Whole, follow: np.ndarray | None = None):
         self.words, self.uni, self.pairs, self.bi = words, uni.astype(np.float32), pairs, bi.astype(np.float32)
         n = len(words) + 1
-        self.shared = ((before + 1) / (before + 1).sum()).astype(np.float32)
-        self.follow = np.stack([np.bincount(pairs // n, weights=np.minimum(bi[:, c], 1), minlength=n) for c in range(2)], 1).astype(np.float32)
-        self.total = np.maximum(uni.sum(0), 1.0)
-        self.kinds = (uni > 0).sum(0).astype(np.float64)
+        self.shared = ((before + 1) / whole.shared).astype(np.float32)
+        if follow is None:
+            follow = np.stack([np.bincount(pairs // n, weights=np.minimum(bi[:, c], 1), minlength=n) for c in range(2)], 1)
+        self.follow, self.total, self.kinds = follow.astype(np.float32), whole.total, whole.kinds
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         return lookup(self.words, hashes)
@@ -167,14 +252,15 @@ def features(model: KneserNey, w: np.ndarray, doc: np.ndarray, n: int, own: tupl
 
 
 class Model:
-    def __init__(self, lm: KneserNey | None, weights: np.ndarray):
+    def __init__(self, lm: KneserNey | Tables | None, weights: np.ndarray):
         self.lm, self.weights = lm, weights
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        if self.lm is None:
-            return np.full(len(texts), self.weights[0])
-        h, doc = tokens(texts)
-        return probability(features(self.lm, self.lm.ids(h), doc, len(texts)), self.weights)
+
+def score(lm: KneserNey | None, weights: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    if lm is None:
+        return np.full(len(texts), weights[0])
+    h, doc = tokens(texts)
+    return probability(features(lm, lm.ids(h), doc, len(texts)), weights)
 
 
 def train(rows: DataFrame, calibrate: int = 8192) -> Model:
@@ -184,35 +270,47 @@ def train(rows: DataFrame, calibrate: int = 8192) -> Model:
     if len(by_class) < 2:
         return Model(None, np.array([float(1 in by_class)]))
 
-    def shifted(x, doc, by):
-        """The element `by` places before, within the document; else 0."""
-        out = np.zeros(len(x), x.dtype)
-        same = doc[by:] == doc[:-by]
-        out[by:][same] = x[:-by][same]
-        return out
-
     def unigrams(texts):
         h, doc = tokens(texts)
         return h, shifted(h, doc, 1), doc
 
-    words, uni, before = explicit(rows.mapInArrow(lambda it: _contexts(it, unigrams), OCCURRENCES))
-    shared = spark.sparkContext.broadcast(words)
-
-    def bigrams(texts):
-        known = shared.value
-        h, doc = tokens(texts)
-        w = lookup(known, h)
-        both = (doc[1:] == doc[:-1]) & (w[1:] < len(known)) & (w[:-1] < len(known))
-        return (w[:-1] * (len(known) + 1) + w[1:])[both], shifted(h, doc, 2)[1:][both], doc[1:][both]
+    counted_words = counts(rows.mapInArrow(lambda it: _contexts(it, unigrams), OCCURRENCES), ["w"])
+    whole = Whole(counted_words)
+    explicit = counted_words.where(F.col("c") >= LEAST_CONTEXTS)
+    shared = None
+    if whole.words <= MOST:
+        shared = spark.sparkContext.broadcast(np.sort(array(explicit, "w")[:, 0]))
 
-    pairs, bi, _ = explicit(rows.mapInArrow(lambda it: _contexts(it, bigrams), OCCURRENCES), spread=False)
-    lm = KneserNey(words, uni, before, pairs, bi[:-1])
-    model = spark.sparkContext.broadcast(lm)
+    def bigrams(batches):
+        """v, w, left, y; with the explicit words at hand, of these alone."""
+        for b in batches:
+            ys = np.array(b.column("y").to_pylist(), np.int64)
+            for start, texts in runs(b):
+                h, doc = tokens(texts)
+                keep = doc[1:] == doc[:-1]
+                if shared is not None:
+                    known = lookup(shared.value, h) < len(shared.value)
+                    keep &= known[1:] & known[:-1]
+                columns = h[:-1][keep], h[1:][keep], shifted(h, doc, 2)[1:][keep], ys[start + doc[1:][keep]]
+                for i in range(0, len(columns[0]), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in columns], ["v", "w", "left", "y"])
+
+    pairs = counts(rows.mapInArrow(bigrams, "v long, w long, left long, y long"), ["v", "w"], spread=False).where(F.col("c") >= LEAST_CONTEXTS)
+    if shared is None:  # a v of five contexts is explicit, as its own contexts are no fewer
+        pairs = stash(pairs.join(explicit.select("w"), "w", "left_semi"), "pairs")
+    if shared is not None and small(pairs, MOST):
+        one, two = array(explicit, "w", "c0", "c1", "c"), array(pairs, "v", "w", "c0", "c1")
+        one = one[np.argsort(one[:, 0])]
+        words = one[:, 0].copy()
+        code = lookup(words, two[:, 0]) * (len(words) + 1) + lookup(words, two[:, 1])
+        order = np.argsort(code)
+        lm = KneserNey(words, np.vstack([one[:, 1:3], whole.unknown[:2]]), np.append(one[:, 3], whole.unknown[2]), code[order], two[order, 2:], whole)
+    else:
+        lm = Tables(explicit, pairs, whole)
 
     names = [f"x{j}" for j in range(1 + len(TOP))]
 
-    def own_features(batches):
-        lm = model.value
+    def own_features(lm, batches):
         for b in batches:
             ys = b.column("y").to_pylist()
             x = np.zeros((b.num_rows, 1 + len(TOP)))
@@ -224,22 +322,22 @@ def train(rows: DataFrame, calibrate: int = 8192) -> Model:
     # the rows of smallest id hash: a cut on the hash, so that texts needn't be sorted
     share = calibrate / max(1, sum(by_class.values()))
     some = rows if share >= 1 else rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    got = some.mapInArrow(own_features, ", ".join(f"{c} double" for c in names) + ", y long").limit(2 * calibrate).toArrow()
+    got = with_model(some, lm, own_features, ", ".join(f"{c} double" for c in names) + ", y long").limit(2 * calibrate).toArrow()
     x, y = np.stack([got.column(c).to_numpy() for c in names], 1), got.column("y").to_numpy().astype(float)
     return Model(lm, logistic(x, y))
 
 
 def score_documents(docs: DataFrame, model: Model, id_: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:
     """doc_id, score, predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    weights = model.weights
 
-    def run(batches):
+    def run(lm, batches):
         for b in batches:
-            parts = [shared.value.score(texts) for _, texts in runs(b)]
+            parts = [score(lm, weights, texts) for _, texts in runs(b)]
             s = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col(f"`{id_}`").alias("doc_id"), F.col(f"`{text}`").alias("__t")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return with_model(docs.select(F.col(f"`{id_}`").alias("doc_id"), F.col(f"`{text}`").alias("__t")), model.lm, run, "doc_id long, score double, predicted int")
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
@@ -248,14 +346,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_: str = "doc_id", text:
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
     """docs without the rows that the model rejects."""
-    shared, columns = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    weights, columns = model.weights, docs.columns
 
-    def keep(batches):
+    def keep(lm, batches):
         for b in batches:
             for start, texts in runs(b):
-                ok = shared.value.score(texts) < threshold
+                ok = score(lm, weights, texts) < threshold
                 part = b.slice(start, len(texts)).filter(pa.array(ok))
                 if part.num_rows:
                     yield part.select(columns)
 
-    return docs.withColumn("__t", F.col(f"`{text}`")).mapInArrow(keep, docs.schema)
+    return with_model(docs.withColumn("__t", F.col(f"`{text}`")), model.lm, keep, docs.schema)

@@ -59,3 +59,18 @@ def test_contexts_are_distinct(spark):
     h, doc = toxicity.tokens([b"often"])
     at = lm.ids(h)[0]
     assert lm.uni[at].tolist() == [60, 100]
+
+
+def test_large_toxicity_models_join(spark, monkeypatch):
+    """No count is left out beyond the size of a broadcast: the joined tables give the same scores and rows."""
+    docs, labels = table(spark, SMALL, "documents"), table(spark, SMALL, "labels")
+
+    def results():
+        m = toxicity.train(toxicity.training_rows(docs, labels))
+        return m.lm, sorted((r.doc_id, round(r.score, 9)) for r in toxicity.score_documents(docs, m).collect()), sorted(r.doc_id for r in toxicity.drop_toxic(docs, m).collect())
+
+    lm, scores, kept = results()
+    monkeypatch.setattr(toxicity, "MOST", 10)
+    joined, *got = results()
+    assert isinstance(lm, toxicity.KneserNey) and isinstance(joined, toxicity.Tables)
+    assert got == [scores, kept]
