@@ -43,9 +43,9 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
 
 
 def put_file(spark: SparkSession, name: str, data: bytes) -> str:
-    """Puts a file into the shared folder, once for each name (which names its content), and registers it with Spark,
-    which copies it to each executor."""
-    path = f"{shared_dir(spark)}/llm-files/{name}"
+    """Puts a file into the shared folder, once for each name (which names its content) and application, and registers it
+    with Spark, which copies it to each executor, those that start later included. It goes when the application ends."""
+    path = f"{shared_dir(spark)}/llm-files-{spark.sparkContext.applicationId}/{name}"
     fs, p = _fs(spark, path)
     if not fs.exists(p):
         part = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
@@ -73,6 +73,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(columns: list[str], wanted: str) -> str:
+    """A name that none of the columns has: wanted, with as many underscores as it takes."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def text_slices(batch, text: str):
     """(row number, bytes of its text, or None for null) of an Arrow record batch."""
     col = batch.column(text)

@@ -1,23 +1,25 @@
 """Toxicity by class-conditional Kneser-Ney language models.
 
-Two bigram models, of toxic and of ordinary labelled training documents, give each token a log-likelihood ratio. A model
-takes the discounted share of a bigram in its class, backs off to the discounted share of the word in its class, and from
-there to a count that both classes share, of the contexts that a word stands in: a word that is rare or new says little,
-since both models end at the same count. In Kneser-Ney's way all counts are of distinct left contexts, so that a document
-with a thousand copies counts as one. Contexts are counted exactly, as distinct pairs of a left context and a key.
+Two models, of toxic and of ordinary labelled training documents, give each token a log-likelihood ratio. Both are
+Kneser-Ney's distributions of words by continuation counts: a word counts as often as there are distinct words that it
+follows in texts of the class, so that a document with a thousand copies counts as one. A class takes the discounted share
+of a word and backs off to a count that both classes share, the distinct words that it follows in either: a word that is
+rare or new says little, since both models end at the same count. Contexts are counted exactly, as distinct pairs of
+neighbouring words, and no word or pair is left out, however rare. (A level of bigram probabilities above it was tried: it
+ranks worse, as rare contexts then outweigh telling words; figures in the README.)
 
 What is compared is normalised by length: the mean ratio of the whole text, and the mean of its one and of its two most
 telling tokens, as an insult in a long text is one of few words. A logistic regression turns the three into a score. It is
-fitted on training documents, at most about `calibrate` of them (those of smallest id hash), each scored without its own
-counts, so that its own rare words don't count as known.
+fitted on training documents, at most `calibrate` of them (those of smallest id hash), each scored without its own
+contexts, so that its own rare words don't count as known.
 
-Counts cover all training rows and grow with them: every word and every bigram of explicit words with at least 5 contexts
-is explicit, all other words are the one unknown word. The counts are written tables. Up to MOST words and MOST bigrams the
-model is broadcast; beyond, texts are scored in groups, joined with the rows of the tables that each group needs.
+Counts cover all training rows and grow with them. Pairs are made distinct by one shuffle, combined map-side; words are
+counted from them by another. The words' counts are a written table. Up to MOST words it is broadcast; beyond, texts are
+scored in groups, each joined with the rows of the table that it needs. Both ways give the same scores.
 
 Words are runs of letters and digits after lower-casing A-Z. Null and empty texts have the neutral ratio 0, with its score.
 Without training rows of both classes all scores are the share of toxic rows (0 without rows). Labels, language, source and
-id are no inputs of a score. Rows that repeat are scored alike.
+id are no inputs of a score. Rows that repeat are scored alike; columns of any name pass through `drop_toxic`.
 """
 
 from __future__ import annotations
@@ -30,13 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stash, text_slices
-from .labels import held_out, labelled, logistic, probability
+from .common import free_name, stash, text_slices
+from .labels import held_out, labelled, logistic, probability, some_rows
 
-MOST = 1 << 21  # explicit words, or bigrams, up to which the model is broadcast; beyond, tables are joined
+MOST = 1 << 22  # words up to which their counts are broadcast, 20 bytes each; beyond, the table is joined
 DISCOUNT = 0.75
-OCCURRENCES = "w long, left long, y long"
-LEAST_CONTEXTS = 5
 #: Bytes that part words: ASCII other than letters and digits.
 BLANKS = bytes.maketrans(bytes(b for b in range(128) if not chr(b).isalnum()), b" " * sum(not chr(b).isalnum() for b in range(128)))
 
@@ -48,10 +48,10 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(split)), np.uint64, int(sizes.sum())).view(np.int64), np.repeat(np.arange(len(split)), sizes)
 
 
-def runs(batch, most: int = 1 << 22):
+def runs(batch, text: str = "__t", most: int = 1 << 22):
     """(first row, texts) of about `most` bytes."""
     start, out, size = 0, [], 0
-    for i, t in text_slices(batch, "__t"):
+    for i, t in text_slices(batch, text):
         out.append(t or b"")
         size += len(out[-1])
         if size >= most:
@@ -61,194 +61,154 @@ def runs(batch, most: int = 1 << 22):
         yield start, out
 
 
-def _contexts(batches, keys):
-    """(w, left, y) of each occurrence: keys(texts) gives key, left context and document."""
-    for b in batches:
-        ys = np.array(b.column("y").to_pylist(), np.int64)
-        for start, texts in runs(b):
-            key, left, doc = keys(texts)
-            y = ys[start + doc]
-            for i in range(0, len(key), 1 << 16):
-                s = slice(i, i + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(key[s]), pa.array(left[s]), pa.array(y[s])], ["w", "left", "y"])
+def before(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The word before each word; 0 where a document begins."""
+    out = np.zeros(len(h), h.dtype)
+    same = doc[1:] == doc[:-1]
+    out[1:][same] = h[:-1][same]
+    return out
 
 
-def shifted(x, doc, by):
-    """The element `by` places before, within the document; else 0."""
-    out = np.zeros(len(x), x.dtype)
-    same = doc[by:] == doc[:-by]
-    out[by:][same] = x[:-by][same]
-    return out
+def distinct_pairs(v: np.ndarray, w: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """The first place of each distinct combination."""
+    if not len(w):
+        return np.zeros(0, np.int64)
+    order = np.lexsort((v, w, *more))
+    new = np.zeros(len(w), bool)
+    new[0] = True
+    for x in (v, w, *more):
+        s = x[order]
+        new[1:] |= s[1:] != s[:-1]
+    return np.sort(order[new])
 
 
-def counts(occurrences: DataFrame, keys: list[str], spread: bool = True) -> DataFrame:
-    """keys, c0, c1, c: contexts by class and in both together. Contexts are distinct (keys, left), counted exactly: these
-    are aggregated map-side first, then by key; without `spread` by key at once, where keys are many and none has a large
-    share."""
-    occurrences = occurrences if spread else occurrences.repartition(*keys)
-    distinct = occurrences.groupBy(*keys, "left").agg(F.bit_or(F.col("y") + 1).alias("classes"))
-    wide = distinct.groupBy(*keys).agg(*(F.count_if(F.col("classes").bitwiseAND(1 << y) > 0).alias(f"c{y}") for y in range(2)), F.count(F.lit(1)).alias("c"))
-    return stash(wide, "ngrams")
+def word_counts(rows: DataFrame) -> DataFrame:
+    """w, c0, c1, c: the distinct words that w follows, by class and in both together. rows: __t, y."""
 
+    def pairs(batches):
+        for b in batches:
+            ys = np.array(b.column("y").to_pylist(), np.int8)
+            for start, texts in runs(b):
+                h, doc = tokens(texts)
+                v, y = before(h, doc), ys[start + doc]
+                first = distinct_pairs(v, h, y)
+                for i in range(0, len(first), 1 << 16):
+                    at = first[i : i + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(v[at]), pa.array(h[at]), pa.array(y[at] + np.int8(1))], ["v", "w", "classes"])
 
-def array(df: DataFrame, *columns: str) -> np.ndarray:
-    got = df.select(*columns).toArrow()
-    return np.stack([got.column(x).to_numpy() for x in columns], 1).reshape(-1, len(columns))
+    distinct = rows.mapInArrow(pairs, "v long, w long, classes tinyint").groupBy("v", "w").agg(F.bit_or("classes").alias("classes"))
+    by_class = (F.count_if(F.col("classes").bitwiseAND(1 << y) > 0).alias(f"c{y}") for y in range(2))
+    return stash(distinct.groupBy("w").agg(*by_class, F.count(F.lit(1)).alias("c")), "words")
 
 
-def lookup(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Places of hashes among words; len(words) for those that aren't there."""
-    if not len(words):
-        return np.zeros(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-    return np.where(words[at] == hashes, at, len(words))
+class Whole:
+    """What a model takes of all counts: sums of contexts by class and in both, and how many words have any."""
 
+    def __init__(self, counts: DataFrame):
+        one = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("c0", "c1", "c")), *(F.count_if(F.col(c) > 0) for c in ("c0", "c1", "c"))).first()
+        self.total, self.kinds = np.array(one[:3], np.float64), np.array(one[3:], np.float64)
+        self.words = int(one[5])
 
-def counted(x: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """How often each element of `of` stands in x."""
-    keys, n = np.unique(x, return_counts=True)
-    return np.append(n, 0)[lookup(keys, of)]
 
+class KneserNey:
+    """words: sorted hashes; counts: their rows (c0, c1, c), and a row of zeros for all other words."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, whole: Whole):
+        order = np.argsort(words)
+        self.words, self.counts, self.whole = words[order], np.vstack([counts[order], np.zeros((1, 3))]).astype(np.float32), whole
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return np.where(self.words[at] == hashes, at, len(self.words))
+
+    def ratios(self, h: np.ndarray, doc: np.ndarray, own: int | None = None) -> np.ndarray:
+        """Log-likelihood ratio of each token; with own (a class), as if this one document's contexts weren't in that class's
+        counts (the shared counts, which favour neither class, stay as they are)."""
+        c, total, kinds = self.counts[self.places(h)].astype(np.float64), self.whole.total.copy(), self.whole.kinds
+        if own is not None and len(h):
+            mine = h[distinct_pairs(before(h, doc), h)]
+            kind, n = np.unique(mine, return_counts=True)
+            n = n[np.searchsorted(kind, h)]
+            c[:, own] = np.maximum(c[:, own] - n, 0)
+            total[own] -= len(mine)
+        total = np.maximum(total, 1)
+        shared = (c[:, 2] + 1) / (total[2] + kinds[2] + 1)
+        toxic, other = (np.maximum(c[:, y] - DISCOUNT, 0) / total[y] + max(min(1.0, DISCOUNT * kinds[y] / total[y]), 1e-9) * shared for y in (1, 0))
+        return np.log(toxic) - np.log(other)
 
-class Whole:
-    """What a model takes of all counts: contexts of the unknown word by class and in both, and sums over all words."""
 
-    def __init__(self, counted: DataFrame):
-        known = F.col("c") >= LEAST_CONTEXTS
-        one = counted.agg(*(F.coalesce(F.sum(F.when(k, F.col(c))), F.lit(0)) for k in (known, ~known) for c in ("c0", "c1", "c")), *(F.count_if(known & (F.col(c) > 0)) for c in ("c0", "c1", "c"))).first()
-        told, self.unknown, kinds = (np.array(one[i : i + 3], np.float64) for i in (0, 3, 6))
-        self.words = int(kinds[2])
-        self.total = np.maximum((told + self.unknown)[:2], 1.0)
-        self.kinds = kinds[:2] + (self.unknown[:2] > 0)
-        self.shared = (told + self.unknown)[2] + self.words + 1
+TOP = (1, 2)
+
+
+def features(lm: KneserNey, h: np.ndarray, doc: np.ndarray, n: int, own: int | None = None) -> np.ndarray:
+    """Mean ratio of each of n documents, and of its TOP most telling tokens (short texts filled up with neutral ones)."""
+    x = np.zeros((n, 1 + len(TOP)))
+    if not len(h):
+        return x
+    r = lm.ratios(h, doc, own)
+    sizes = np.bincount(doc, minlength=n)
+    x[:, 0] = np.bincount(doc, weights=r, minlength=n) / np.maximum(sizes, 1)
+    starts = np.cumsum(sizes) - sizes
+    some = np.nonzero(sizes)[0]
+    for k in range(1, max(TOP) + 1):  # the highest, then the highest of what is left
+        high = np.maximum.reduceat(r, starts[some])
+        for i, most in enumerate(TOP):
+            if k <= most:
+                x[some, 1 + i] += np.where(np.isfinite(high), high, 0) / most
+        at = np.nonzero(r == np.repeat(high, sizes[some]))[0]
+        r[at[np.unique(doc[at], return_index=True)[1]]] = -np.inf
+    return x
 
 
 class Tables:
-    """A model too large to be broadcast: words (w, c0, c1, c, f0, f1: the distinct explicit bigrams that w begins) and
-    pairs (v, w, c0, c1) as written tables."""
+    """A model whose words are too many to be broadcast: their counts as a written table."""
 
-    def __init__(self, words: DataFrame, pairs: DataFrame, whole: Whole):
-        follow = pairs.groupBy(F.col("v").alias("w")).agg(*(F.count_if(F.col(f"c{y}") > 0).alias(f"f{y}") for y in range(2)))
-        self.words, self.pairs, self.whole = stash(words.join(follow, "w", "left").na.fill(0, ["f0", "f1"]), "words"), pairs, whole
+    def __init__(self, words: DataFrame, whole: Whole):
+        self.words, self.whole = words, whole
 
     def rows(self, docs: DataFrame) -> DataFrame:
-        """__g, v (null: a word), w, c0, c1, c, f0, f1: what the texts of each group need."""
+        """__g, w, c0, c1, c: what the texts of each group need."""
 
-        def grams(batches):
+        def words(batches):
             for b in batches:
                 group = b.column("__g").to_numpy(zero_copy_only=False)
                 for start, texts in runs(b):
                     h, doc = tokens(texts)
-                    v = shifted(h, doc, 1)
-                    rows = np.unique(np.stack([group[start + doc], v, h], 1), axis=0)
-                    for i in range(0, len(rows), 1 << 16):
-                        yield pa.RecordBatch.from_arrays([pa.array(rows[i : i + (1 << 16), j].copy()) for j in range(3)], ["__g", "v", "w"])
-
-        need = docs.select("__g", "__t").mapInArrow(grams, "__g long, v long, w long").distinct()
-        words = need.select("__g", "w").distinct().join(self.words, "w")
-        pairs = need.join(self.pairs, ["v", "w"]).select("__g", "v", "w", "c0", "c1")
-        return words.unionByName(pairs, allowMissingColumns=True).select("__g", "v", "w", "c0", "c1", "c", "f0", "f1")
-
-
-def part(rows: pa.Table, whole: Whole) -> KneserNey:
-    """The model of one group's rows."""
-    t = {x: rows.column(x).to_pandas().to_numpy() for x in ("c0", "c1", "c", "f0", "f1")}
-    w = np.asarray(rows.column("w").to_numpy(), np.int64)
-    is_word = np.asarray(rows.column("v").is_null().to_numpy(), bool)
-    at = np.nonzero(is_word)[0]
-    at = at[np.argsort(w[at])]
-    words, n = w[at], len(at) + 1
-    uni = np.vstack([np.stack([t["c0"][at], t["c1"][at]], 1).astype(np.float64).reshape(-1, 2), whole.unknown[:2]])
-    follow = np.vstack([np.stack([t["f0"][at], t["f1"][at]], 1).astype(np.float64).reshape(-1, 2), [0.0, 0.0]])
-    two = np.nonzero(~is_word)[0]
-    v = np.asarray(rows.column("v").fill_null(0).to_numpy(), np.int64)[two]
-    code = lookup(words, v) * n + lookup(words, w[two])
-    order = np.argsort(code)
-    bi = np.stack([t["c0"][two], t["c1"][two]], 1).astype(np.float64).reshape(-1, 2)
-    return KneserNey(words, uni, np.append(t["c"][at].astype(np.float64), whole.unknown[2]), code[order], bi[order], whole, follow)
-
-
-def with_model(docs: DataFrame, lm: KneserNey | Tables | None, run, schema, group: int = 512) -> DataFrame:
+                    g = group[start + doc]
+                    first = distinct_pairs(g, h)
+                    for i in range(0, len(first), 1 << 16):
+                        at = first[i : i + (1 << 16)]
+                        yield pa.RecordBatch.from_arrays([pa.array(g[at]), pa.array(h[at])], ["__g", "w"])
+
+        return docs.select("__g", "__t").mapInArrow(words, "__g long, w long").distinct().join(self.words, "w").select("__g", "w", "c0", "c1", "c")
+
+
+def with_model(docs: DataFrame, lm: KneserNey | Tables | None, run, schema, group: int = 4096) -> DataFrame:
     """run(model, batches) over docs (with __t): with the broadcast model, or in groups of about `group` rows, each with the
-    rows of the tables that it needs. Both give the same."""
+    rows of the table that it needs. Both give the same."""
     if not isinstance(lm, Tables):
         shared = docs.sparkSession.sparkContext.broadcast(lm)
         return docs.mapInArrow(lambda it: run(shared.value, it), schema)
     whole, groups = lm.whole, max(1, docs.count() // group)
-    hashed = [c for c, kind in docs.dtypes if "map<" not in kind]
-    g = docs.withColumn("__g", F.pmod(F.xxhash64(*hashed), F.lit(groups)))
-
-    def safe(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = list(run(part(right, whole), left.drop_columns(["__g"]).combine_chunks().to_batches()))
-        return pa.Table.from_batches(out) if out else None
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    g = docs.withColumn("__g", F.pmod(F.xxhash64(*hashed, F.rand(3)), F.lit(groups)))  # repeated rows are dealt too
+    g = stash(g, "groups")
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     wanted = to_arrow_schema(schema if isinstance(schema, StructType) else StructType.fromDDL(schema))
-    return g.groupBy("__g").cogroup(lm.rows(g).groupBy("__g")).applyInArrow(lambda x, y: t if (t := safe(x, y)) is not None else wanted.empty_table(), schema)
-
-
-class KneserNey:
-    """words: sorted hashes of explicit words; word i has counts uni[i], one for each class, and before[i] in both; the
-    unknown word is the last. pairs: sorted codes v * (len(words) + 1) + w of explicit bigrams, with counts bi."""
-
-    def __init__(self, words: np.ndarray, uni: np.ndarray, before: np.ndarray, pairs: np.ndarray, bi: np.ndarray, whole: Whole, follow: np.ndarray | None = None):
-        self.words, self.uni, self.pairs, self.bi = words, uni.astype(np.float32), pairs, bi.astype(np.float32)
-        n = len(words) + 1
-        self.shared = ((before + 1) / whole.shared).astype(np.float32)
-        if follow is None:
-            follow = np.stack([np.bincount(pairs // n, weights=np.minimum(bi[:, c], 1), minlength=n) for c in range(2)], 1)
-        self.follow, self.total, self.kinds = follow.astype(np.float32), whole.total, whole.kinds
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        return lookup(self.words, hashes)
-
-    def ratios(self, w: np.ndarray, doc: np.ndarray, own: tuple[int, np.ndarray] | None = None) -> np.ndarray:
-        """Log-likelihood ratio of each token; with own (a class, the token hashes), as if this one document's contexts
-        weren't in that class's counts."""
-        n = len(self.words) + 1
-        first = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
-        v = np.where(first, n - 1, np.roll(w, 1)) if len(w) else w
-        code = v * n + w
-        at = np.minimum(np.searchsorted(self.pairs, code), max(0, len(self.pairs) - 1))
-        known = self.pairs[at] == code if len(self.pairs) else np.zeros(len(w), bool)
-        out = []
-        for c in range(2):
-            cw, cv, total = self.uni[w, c].astype(np.float64), self.uni[v, c].astype(np.float64), self.total[c]
-            cb = np.where(known, self.bi[at, c], 0).astype(np.float64) if len(self.pairs) else np.zeros(len(w))
-            if own is not None and own[0] == c:
-                h, odd = own[1].view(np.uint64), np.uint64(0x9E3779B97F4A7C15)
-                one, two = (np.concatenate([np.zeros(min(k, len(h)), np.uint64), h[:-k]]) for k in (1, 2))
-                context = one * odd + h
-                once, twice = (np.unique(x, return_index=True)[1] for x in (context, two * odd * odd + context))
-                cw, cv = np.maximum(cw - counted(w[once], w), 0), np.maximum(cv - counted(w[once], v), 0)
-                cb = np.maximum(cb - counted(code[twice], code), 0)
-                total = max(total - len(once), 1)
-            low = np.maximum(cw - DISCOUNT, 0) / total + min(1.0, DISCOUNT * self.kinds[c] / total) * self.shared[w]
-            follow = self.follow[v, c]
-            weight = np.where(cv > 0, np.minimum(1.0, DISCOUNT * (follow + 1) / np.maximum(cv, 1)), 1.0)
-            out.append(np.where(cv > 0, np.minimum(np.maximum(cb - DISCOUNT, 0) / np.maximum(cv, 1), 1.0) + weight * low, low))
-        return np.log(np.maximum(out[1], 1e-300)) - np.log(np.maximum(out[0], 1e-300))
-
-
-TOP = (1, 2)
 
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return wanted.empty_table()
+        own = KneserNey(right.column("w").to_numpy(), np.stack([right.column(c).to_numpy() for c in ("c0", "c1", "c")], 1).reshape(-1, 3), whole)
+        out = list(run(own, left.drop_columns(["__g"]).combine_chunks().to_batches()))
+        return pa.Table.from_batches(out) if out else wanted.empty_table()
 
-def features(model: KneserNey, w: np.ndarray, doc: np.ndarray, n: int, own: tuple[int, np.ndarray] | None = None) -> np.ndarray:
-    """Mean ratio of each of n documents, and of its TOP most telling tokens (short texts filled up with neutral ones)."""
-    x = np.zeros((n, 1 + len(TOP)))
-    if not len(w):
-        return x
-    r = model.ratios(w, doc, own)
-    sizes = np.bincount(doc, minlength=n)
-    x[:, 0] = np.bincount(doc, weights=r, minlength=n) / np.maximum(sizes, 1)
-    order = np.lexsort((-r, doc))
-    place = np.arange(len(r)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    for i, k in enumerate(TOP):
-        first = place < k
-        x[:, 1 + i] = np.bincount(doc[first], weights=r[order][first], minlength=n) / k
-    return x
+    return g.groupBy("__g").cogroup(lm.rows(g).groupBy("__g")).applyInArrow(one, schema)
 
 
 class Model:
@@ -260,53 +220,21 @@ def score(lm: KneserNey | None, weights: np.ndarray, texts: list[bytes]) -> np.n
     if lm is None:
         return np.full(len(texts), weights[0])
     h, doc = tokens(texts)
-    return probability(features(lm, lm.ids(h), doc, len(texts)), weights)
+    return probability(features(lm, h, doc, len(texts)), weights)
 
 
 def train(rows: DataFrame, calibrate: int = 8192) -> Model:
     """rows: doc_id, __t, y."""
-    spark = rows.sparkSession
     by_class = dict(rows.groupBy("y").count().collect())
     if len(by_class) < 2:
         return Model(None, np.array([float(1 in by_class)]))
-
-    def unigrams(texts):
-        h, doc = tokens(texts)
-        return h, shifted(h, doc, 1), doc
-
-    counted_words = counts(rows.mapInArrow(lambda it: _contexts(it, unigrams), OCCURRENCES), ["w"])
-    whole = Whole(counted_words)
-    explicit = counted_words.where(F.col("c") >= LEAST_CONTEXTS)
-    shared = None
+    counts = word_counts(rows)
+    whole = Whole(counts)
+    lm: KneserNey | Tables = Tables(counts, whole)
     if whole.words <= MOST:
-        shared = spark.sparkContext.broadcast(np.sort(array(explicit, "w")[:, 0]))
-
-    def bigrams(batches):
-        """v, w, left, y; with the explicit words at hand, of these alone."""
-        for b in batches:
-            ys = np.array(b.column("y").to_pylist(), np.int64)
-            for start, texts in runs(b):
-                h, doc = tokens(texts)
-                keep = doc[1:] == doc[:-1]
-                if shared is not None:
-                    known = lookup(shared.value, h) < len(shared.value)
-                    keep &= known[1:] & known[:-1]
-                columns = h[:-1][keep], h[1:][keep], shifted(h, doc, 2)[1:][keep], ys[start + doc[1:][keep]]
-                for i in range(0, len(columns[0]), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in columns], ["v", "w", "left", "y"])
-
-    pairs = counts(rows.mapInArrow(bigrams, "v long, w long, left long, y long"), ["v", "w"], spread=False).where(F.col("c") >= LEAST_CONTEXTS)
-    if shared is None:  # a v of five contexts is explicit, as its own contexts are no fewer
-        pairs = stash(pairs.join(explicit.select("w"), "w", "left_semi"), "pairs")
-    if shared is not None and small(pairs, MOST):
-        one, two = array(explicit, "w", "c0", "c1", "c"), array(pairs, "v", "w", "c0", "c1")
-        one = one[np.argsort(one[:, 0])]
-        words = one[:, 0].copy()
-        code = lookup(words, two[:, 0]) * (len(words) + 1) + lookup(words, two[:, 1])
-        order = np.argsort(code)
-        lm = KneserNey(words, np.vstack([one[:, 1:3], whole.unknown[:2]]), np.append(one[:, 3], whole.unknown[2]), code[order], two[order, 2:], whole)
-    else:
-        lm = Tables(explicit, pairs, whole)
+        got = counts.toArrow()
+        lm = KneserNey(got.column("w").to_numpy(), np.stack([got.column(c).to_numpy() for c in ("c0", "c1", "c")], 1).reshape(-1, 3), whole)
+        del got
 
     names = [f"x{j}" for j in range(1 + len(TOP))]
 
@@ -316,13 +244,11 @@ def train(rows: DataFrame, calibrate: int = 8192) -> Model:
             x = np.zeros((b.num_rows, 1 + len(TOP)))
             for i, t in text_slices(b, "__t"):
                 h, doc = tokens([t or b""])
-                x[i] = features(lm, lm.ids(h), doc, 1, (ys[i], h))[0]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[:, j].copy()) for j in range(x.shape[1])), pa.array(ys, pa.int64())], [*names, "y"])
+                x[i] = features(lm, h, doc, 1, ys[i])[0]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[:, j].copy()) for j in range(x.shape[1])), pa.array(ys, pa.int64()), b.column("__h")], [*names, "y", "__h"])
 
-    # the rows of smallest id hash: a cut on the hash, so that texts needn't be sorted
-    share = calibrate / max(1, sum(by_class.values()))
-    some = rows if share >= 1 else rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    got = with_model(some, lm, own_features, ", ".join(f"{c} double" for c in names) + ", y long").limit(2 * calibrate).toArrow()
+    some = some_rows(rows, calibrate, sum(by_class.values()))
+    got = with_model(some, lm, own_features, ", ".join(f"{c} double" for c in names) + ", y long, __h long").orderBy("__h", *names, "y").limit(calibrate).toArrow()
     x, y = np.stack([got.column(c).to_numpy() for c in names], 1), got.column("y").to_numpy().astype(float)
     return Model(lm, logistic(x, y))
 
@@ -337,7 +263,7 @@ def score_documents(docs: DataFrame, model: Model, id_: str = "doc_id", text: st
             s = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return with_model(docs.select(F.col(f"`{id_}`").alias("doc_id"), F.col(f"`{text}`").alias("__t")), model.lm, run, "doc_id long, score double, predicted int")
+    return with_model(docs.select(F.col(f"`{id_}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("__t")), model.lm, run, "doc_id long, score double, predicted int")
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
@@ -347,6 +273,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_: str = "doc_id", text:
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
     """docs without the rows that the model rejects."""
     weights, columns = model.weights, docs.columns
+    own = {c: free_name(columns, f"__c{i}") for i, c in enumerate(columns)}  # names that can't clash with __t and __g
+    inner = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items()), F.col(f"`{text}`").alias("__t"))
 
     def keep(lm, batches):
         for b in batches:
@@ -354,6 +282,7 @@ def drop_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: flo
                 ok = score(lm, weights, texts) < threshold
                 part = b.slice(start, len(texts)).filter(pa.array(ok))
                 if part.num_rows:
-                    yield part.select(columns)
+                    yield part.select(list(own.values()))
 
-    return with_model(docs.withColumn("__t", F.col(f"`{text}`")), model.lm, keep, docs.schema)
+    kept = with_model(inner, model.lm, keep, inner.drop("__t").schema)
+    return kept.select(*(F.col(n).alias(c) for c, n in own.items()))

@@ -18,8 +18,7 @@ from lexmill.llm.common import table
 from ..oracle import SF, check
 
 LARGER = "/root/testdata/sf0.01"
-#: Some 2,600 labelled training rows; of the 286 at sf0.01 few toxic words stand in five contexts (held-out AUC 0.83).
-MODELS = "/root/testdata/sf0.1"
+MODELS = ("/root/testdata/sf0.01", "/root/testdata/sf0.1")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, fp long, rank int, hash long"
 
 
@@ -106,11 +105,12 @@ def test_ann_recall(spark):
     assert hits >= 0.9 * 5 * len(found)
 
 
-@pytest.mark.parametrize(("name", "column", "mod", "rest", "least"), [("op9_toxicity", "toxic", 3, 1, 0.9), ("op10_quality", "quality", 5, 0, 0.8)])
-def test_held_out_ranking(spark, name, column, mod, rest, least):
-    truth = {r.doc_id: r[column] for r in table(spark, MODELS, "labels").collect()}
-    got = queries.queries()[name](spark, MODELS).collect()
-    assert len(got) == table(spark, MODELS, "documents").count()
+@pytest.mark.parametrize("sf_dir", MODELS)
+@pytest.mark.parametrize(("name", "column", "mod", "rest", "least"), [("op9_toxicity", "toxic", 3, 1, 0.9), ("op10_quality", "quality", 5, 0, 0.9)])
+def test_held_out_ranking(spark, name, column, mod, rest, least, sf_dir):
+    truth = {r.doc_id: r[column] for r in table(spark, sf_dir, "labels").collect()}
+    got = queries.queries()[name](spark, sf_dir).collect()
+    assert len(got) == table(spark, sf_dir, "documents").count()
     assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % mod == rest) for r in got)
     a = [r.score for r in got if r.held_out and truth.get(r.doc_id) == 1]
     b = [r.score for r in got if r.held_out and truth.get(r.doc_id) == 0]

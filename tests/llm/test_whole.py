@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from itertools import combinations
 
+import numpy as np
+
 import corpus_pipeline
 from lexmill.llm import toxicity
 from lexmill.llm.common import table
@@ -57,8 +61,39 @@ def test_contexts_are_distinct(spark):
     rows = [(i, " ".join(f"l{j} often" for j in range(60 + 40 * (i % 2))), i % 2) for i in range(200)]
     lm = toxicity.train(toxic_rows(spark, rows)).lm
     h, doc = toxicity.tokens([b"often"])
-    at = lm.ids(h)[0]
-    assert lm.uni[at].tolist() == [60, 100]
+    assert lm.counts[lm.places(h)[0]].tolist() == [60, 100, 100]
+
+
+def test_kneser_ney_brute_force(spark):
+    """Ratios and features of every text against plain dictionaries of distinct pairs."""
+    words = lambda t: re.findall(r"[^\W_]+", t.lower())
+    rng = np.random.default_rng(4)
+    texts = [(i, " ".join(f"w{x}" for x in rng.zipf(1.3, 30) % 400) + (" awful" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(120)]
+    texts += [(500 + i, texts[0][1], 1) for i in range(9)] + [(600, "", 0), (601, "once", 1)]
+    lm = toxicity.train(toxic_rows(spark, texts)).lm
+    pairs = [set(), set()]
+    for _, t, y in texts:
+        w = words(t)
+        pairs[y] |= set(zip(["", *w], w, strict=False))
+    by = [Counter(w for _, w in p) for p in (*pairs, pairs[0] | pairs[1])]
+    total, kinds = [sum(c.values()) for c in by], [len(c) for c in by]
+
+    def ratio(w, own=None, ours=()):
+        p = []
+        for y in (0, 1):
+            c, t = by[y][w], total[y]
+            if own == y:
+                c, t = max(0, c - sum(x == w for _, x in ours)), t - len(ours)
+            p.append(max(c - 0.75, 0) / t + 0.75 * kinds[y] / t * (by[2][w] + 1) / (total[2] + kinds[2] + 1))
+        return np.log(p[1] / p[0])
+
+    for _, t, y in [*texts, (0, "never seen words awful w1 w1", 0)]:
+        w = words(t)
+        for own, ours in ((None, ()), (y, set(zip(["", *w], w, strict=False)))):
+            r = sorted((ratio(x, own, ours) for x in w), reverse=True)
+            want = [np.mean(r), r[0], sum(r[:2]) / 2] if r else [0, 0, 0]
+            h, doc = toxicity.tokens([t.encode()])
+            assert np.allclose(toxicity.features(lm, h, doc, 1, own)[0], want, atol=1e-6)
 
 
 def test_large_toxicity_models_join(spark, monkeypatch):
