@@ -1,30 +1,40 @@
 """Approximate nearest neighbours by cosine: an inverted file with product-quantised residuals.
 
-Fit, on the driver, from a bounded sample (`sample` rows, those of smallest id hash): coarse centroids by k-means, then a
-codebook of up to 256 words for each of `parts` groups of components, on the residuals. The number of lists that a query
-probes is the smallest that holds `recall` of the sample's own nearest neighbours.
-
-Index: every row gets its list and its code. Rows are dealt by (list, salt), where lists of more than `run` rows
-are salted by their counts, and written to the shared folder, sorted by list; the original vector lies beside the code.
-
-Search: the query block (at most `block` queries a pass) is broadcast with its probes. For a run of rows of a list, the
-asymmetric distance tables (query parts against code words, made once a pass) give approximate cosines; the `rerank` best
-of the run are reranked with exact double-precision cosines of the original vectors, and each task keeps k of a query.
-Candidates with the same code tie by id, so a crowd of equal vectors costs a query no more than any other run.
+Fit, on the driver, from a bounded sample (at most `sample` rows, those of smallest id hash): coarse centroids by k-means,
+`spread` times the root of the row count, so that lists stay short as the table grows; above FLAT of them in two levels
+(groups of centroids, then the centroids of a group), which fit and assignment go down. Then a codebook of up to 256 words
+for each of `parts` groups of components, on the residuals. The number of lists that a query probes is the smallest that
+holds `recall` of the nearest neighbours among a third of the sample, which the fit leaves out (a sample of
+under 1,536 rows is fitted whole, and a third of the loss is admitted).
+
+Index: every row gets its list and its code. Rows are dealt by (list, salt), where long lists are salted by their counts, and
+written to the shared folder, sorted by list; the original vector lies beside the code.
+
+Search: the query block (at most `block` queries a pass) is broadcast with its probes; a query whose lists hold fewer than k
+other rows probes on until they do. For a run of rows, the asymmetric distance tables (query parts against code words, made
+once a pass) give approximate cosines to the queries that probe their lists; the `rerank` best of the run are reranked with
+exact double-precision cosines of the original vectors, and each task keeps k of a query. Of rows with equal vectors a run
+keeps only as many as can be among the k, those of smallest id, so a crowd of equal vectors crowds nothing out.
 
 Null ids, null vectors, zero vectors and vectors with null or non-finite components take no part. A query isn't held
 against rows of its own id; rows that repeat an id are candidates one by one. Shorter vectors count as filled with zeros.
+Empty tables give empty tables; other columns don't matter.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stash
-from .vectors import best, matrix, widened
+from .vectors import Best, matrix, widened
+
+FLAT = 2048
+CELLS = 1 << 22  # rows by queries that a task scores at once
 
 
 def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -35,65 +45,109 @@ def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return y / np.where(ok, np.sqrt((y * y).sum(1)), 1)[:, None], ok
 
 
+def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    step = max(1, CELLS // max(1, len(c)))
+    size = (c * c).sum(1)[None, :]
+    return np.concatenate([np.argmin(size - 2 * x[i : i + step] @ c.T, axis=1) for i in range(0, len(x), step)]) if len(x) else np.zeros(0, np.int64)
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
-    c = x[rng.choice(len(x), k, replace=False)] if len(x) >= k else x.copy()
+    if len(x) <= k:
+        return x.copy()
+    c = x[rng.choice(len(x), k, replace=False)]
     for _ in range(rounds):
         at = nearest(x, c)
-        n = np.bincount(at, minlength=len(c))
-        total = np.zeros_like(c)
-        np.add.at(total, at, x)
-        c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
+        order = np.argsort(at, kind="stable")
+        n = np.bincount(at, minlength=k)
+        some = np.nonzero(n)[0]
+        c = c.copy()
+        c[some] = np.add.reduceat(x[order], (np.cumsum(n) - n)[some], axis=0) / n[some, None]
     return c
 
 
-def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return np.argmin((c * c).sum(1)[None, :] - 2 * x @ c.T, axis=1)
-
-
 class Quantiser:
-    def __init__(self, x: np.ndarray, lists: int, parts: int, k: int, recall: float, rounds: int = 12):
+    def __init__(self, x: np.ndarray, lists: int, parts: int, k: int, recall: float, rounds: int = 8):
         self.width = x.shape[1]
-        self.coarse = kmeans(x, min(lists, len(x)), rounds, 3) if len(x) else np.zeros((1, self.width))
+        x = x.astype(np.float32)
+        whole = x
+        apart = x[::3] if len(x) >= 3 * 512 else x  # whoever was fitted has a closer centroid than others have
+        x = x[np.arange(len(x)) % 3 > 0] if len(x) >= 3 * 512 else x
+        self.groups = self.starts = None
+        if not len(x):
+            self.coarse = np.zeros((1, self.width), np.float32)
+        elif lists <= FLAT:
+            self.coarse = kmeans(x, min(lists, len(x)), rounds, 3)
+        else:
+            self.groups = kmeans(x, math.ceil(math.sqrt(lists)), rounds, 3)
+            at = nearest(x, self.groups)
+            of = [kmeans(own, max(1, round(lists * len(own) / len(x))), rounds, 3) if len(own := x[at == g]) else self.groups[g : g + 1] for g in range(len(self.groups))]
+            self.starts = np.cumsum([0, *map(len, of)])
+            self.coarse = np.concatenate(of)
         self.cuts = [self.width * i // parts for i in range(parts + 1)]
-        rest = x - self.coarse[nearest(x, self.coarse)] if len(x) else x
-        self.books = [kmeans(rest[:, a:b], min(256, len(x)), rounds, 5) if len(x) else np.zeros((1, b - a)) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
-        self.probes = self._probes(x, k, recall)
+        some = x[: 1 << 13]
+        rest = some - self.coarse[self.lists(some)]
+        self.books = [kmeans(rest[:, a:b], 256, rounds, 5) if len(x) else np.zeros((1, b - a), np.float32) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
+        self.probes = self._probes(apart, k, recall if apart is not whole else 1 - (1 - recall) / 3)
+
+    def lists(self, x: np.ndarray) -> np.ndarray:
+        """The list of each row."""
+        if self.groups is None:
+            return nearest(x, self.coarse)
+        out, group = np.zeros(len(x), np.int64), nearest(x, self.groups)
+        for g in np.unique(group):
+            own = np.nonzero(group == g)[0]
+            out[own] = self.starts[g] + nearest(x[own], self.coarse[self.starts[g] : self.starts[g + 1]])
+        return out
 
     def _probes(self, x: np.ndarray, k: int, recall: float) -> int:
-        """The least number of lists that hold that share of the k nearest of some rows of the sample."""
+        """The least number of lists that hold that share of the k nearest of some of these rows among them."""
         if len(x) < 2:
             return len(self.coarse)
-        some = x[:: max(1, len(x) // 400)]
+        step = max(1, len(x) // 512)
+        some = x[::step]
         sims = some @ x.T
-        sims[np.arange(len(some)), np.arange(0, len(x), max(1, len(x) // 400))] = -2
-        near = np.argsort(-sims, axis=1)[:, : min(k, len(x) - 1)]
-        order = np.argsort(np.argsort(self.distances(some), axis=1), axis=1)  # rank of each list for each query
-        need = np.sort(order[np.arange(len(some))[:, None], nearest(x, self.coarse)[near]].ravel())
+        sims[np.arange(len(some)), np.arange(0, len(x), step)] = -2
+        near = np.argpartition(-sims, min(k, len(x) - 1) - 1, axis=1)[:, : min(k, len(x) - 1)]
+        rank = np.argsort(np.argsort(self.distances(some), axis=1), axis=1)  # of each list for each query
+        need = np.sort(rank[np.arange(len(some))[:, None], self.lists(x)[near]].ravel())
         return int(need[min(len(need) - 1, int(np.ceil(recall * len(need))))]) + 1
 
     def distances(self, q: np.ndarray) -> np.ndarray:
-        return (self.coarse * self.coarse).sum(1)[None, :] - 2 * q @ self.coarse.T
+        return (self.coarse * self.coarse).sum(1)[None, :] - 2 * q.astype(np.float32) @ self.coarse.T
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lists = nearest(x, self.coarse)
+        x = x.astype(np.float32)
+        lists = self.lists(x)
         rest = x - self.coarse[lists]
         return lists, np.stack([nearest(rest[:, a:b], book).astype(np.uint8) for a, b, book in zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)], 1)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """(parts, words, queries): products of query parts and code words."""
-        return np.stack([np.vstack([book @ q[:, a:b].T, np.zeros((256 - len(book), len(q)))]) for a, b, book in zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)]).astype(np.float32)
-
-
-def fit(rows: DataFrame, lists: int, parts: int, sample: int, k: int, recall: float) -> Quantiser:
-    some = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow().combine_chunks()
+        q = q.astype(np.float32)
+        return np.stack([np.vstack([book @ q[:, a:b].T, np.zeros((256 - len(book), len(q)), np.float32)]) for a, b, book in zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)])
+
+    def probed(self, u: np.ndarray, counts: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """(queries, lists): which lists a query probes, so many at least that they hold `least` rows."""
+        order = np.argsort(self.distances(u[:, : self.width]), axis=1, kind="stable")
+        held = np.cumsum(counts[order], axis=1)
+        need = np.minimum((held < least[:, None]).sum(1) + 1, order.shape[1])
+        out = np.zeros(order.shape, bool)
+        np.put_along_axis(out, order, np.arange(order.shape[1])[None, :] < np.maximum(self.probes, need)[:, None], axis=1)
+        return out
+
+
+def fit(rows: DataFrame, spread: float, parts: int, sample: int, k: int, recall: float) -> Quantiser:
+    n = rows.count()
+    lists = max(1, round(spread * math.sqrt(n)))
+    some = rows.orderBy(F.xxhash64("id"), "id").limit(min(sample, max(12_288, 24 * lists))).toArrow().combine_chunks()
     _, x = matrix(some.to_batches()[0] if some.num_rows else pa.RecordBatch.from_pylist([], some.schema), "id", "v")
     x, ok = unit(x)
-    return Quantiser(x[ok], lists, parts, k, recall)
+    return Quantiser(x[ok], min(lists, max(1, sample // 24)), parts, k, recall)
 
 
-def build_index(rows: DataFrame, quantiser: Quantiser, run: int = 4096) -> DataFrame:
-    """The inverted file: list, id, code, v; written, dealt by list and salt, sorted by list."""
+def build_index(rows: DataFrame, quantiser: Quantiser, run: int = 4096) -> tuple[DataFrame, np.ndarray]:
+    """The inverted file (list, id, code, v), written, dealt by list and salt, sorted by list; and the rows of each list."""
     shared = rows.sparkSession.sparkContext.broadcast(quantiser)
 
     def encode(batches):
@@ -108,58 +162,81 @@ def build_index(rows: DataFrame, quantiser: Quantiser, run: int = 4096) -> DataF
                 lists, codes = qz.encode(u[:, : qz.width])
                 yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), pa.array(ids), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(list(x), pa.list_(pa.float64()))], ["list", "id", "code", "v"])
 
-    coded = rows.mapInArrow(encode, "list int, id long, code binary, v array<double>")
-    counts = dict(coded.groupBy("list").count().collect())  # as many rows as there are lists
-    salts = F.element_at(F.create_map(*(F.lit(v) for x, n in counts.items() for v in (x, -(-n // run)))), F.col("list")) if counts else F.lit(1)
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(10_000, sum(-(-n // run) for n in counts.values())))
-    return stash(coded.repartition(parts, "list", F.pmod(F.xxhash64("id"), salts)).sortWithinPartitions("list", "id"), "index")
-
-
-def search(index: DataFrame, queries: DataFrame, quantiser: Quantiser, k: int, rerank: int = 48, block: int = 16_384) -> DataFrame:
+    coded = stash(rows.mapInArrow(encode, "list int, id long, code binary, v array<double>"), "coded")
+    counts = np.zeros(len(quantiser.coarse), np.int64)
+    for x, n in coded.groupBy("list").count().collect():  # a row for each list
+        counts[x] = n
+    least = max(64, run // 8)
+    salts = F.element_at(F.array(*(F.lit(int(-(-n // least)) or 1) for n in counts)), F.col("list") + 1) if len(counts) <= 512 else F.lit(None)
+    if len(counts) > 512:
+        few = rows.sparkSession.createDataFrame([(int(x), int(-(-counts[x] // least))) for x in np.nonzero(counts > least)[0]], "list int, salts long")
+        coded = coded.join(F.broadcast(few), "list", "left")  # one row for each long list
+        salts = F.coalesce("salts", F.lit(1))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(counts.sum()) // run))
+    return stash(coded.repartition(parts, "list", F.pmod(F.xxhash64("id"), salts)).sortWithinPartitions("list", "id").select("list", "id", "code", "v"), "index"), counts
+
+
+def kept_equals(x: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+    """Places of the rows without those that have `most` equal rows of smaller id."""
+    _, same = np.unique(np.ascontiguousarray(x).view(f"V{x.shape[1] * x.itemsize}").ravel(), return_inverse=True)
+    if not len(same) or np.bincount(same).max() <= most:
+        return np.arange(len(x))
+    order = np.lexsort((ids, same))
+    s = same[order]
+    place = np.arange(len(s))
+    first = np.maximum.accumulate(np.where(np.concatenate([[True], s[1:] != s[:-1]]), place, 0))
+    return np.sort(order[place - first < most])
+
+
+def search(index: DataFrame, counts: np.ndarray, queries: DataFrame, quantiser: Quantiser, k: int, rerank: int = 48, block: int = 16_384) -> DataFrame:
     spark = index.sparkSession
     passes = max(1, -(-queries.count() // block))
     out = None
     for p in range(passes):
-        got = queries.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == p).toArrow().combine_chunks()
+        mine = queries.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == p)
+        got = mine.toArrow().combine_chunks()
         qid, q = matrix(got.to_batches()[0] if got.num_rows else pa.RecordBatch.from_pylist([], got.schema), "id", "v", quantiser.width)
         u, ok = unit(q)
-        shared = spark.sparkContext.broadcast((quantiser, qid[ok], q[ok], u[ok]))
+        qid, q, u = qid[ok], q[ok], u[ok]
+        own = dict(index.join(F.broadcast(mine.select("id").distinct()), "id", "left_semi").groupBy("id").count().collect())  # the block's ids
+        own = np.array([own.get(int(i), 0) for i in qid], np.int64)
+        shared = spark.sparkContext.broadcast((quantiser, qid, q, u, quantiser.probed(u, counts, own + k), int(own.max(initial=0)) + k))
 
         def scan(batches, shared=shared):
-            qz, qid, q, u = shared.value
+            qz, qid, q, u, probed, most = shared.value
             if not len(qid):
                 return
-            probed = np.zeros((len(qid), len(qz.coarse)), bool)
-            np.put_along_axis(probed, np.argsort(qz.distances(u[:, : qz.width]), axis=1)[:, : qz.probes], True, axis=1)
             tables, base = qz.tables(u[:, : qz.width]), (u[:, : qz.width] @ qz.coarse.T).astype(np.float32)
-            long_ = np.sqrt((q * q).sum(1))
-            found = [(np.zeros(0), np.zeros(0, np.int64)) for _ in qid]
+            long_, found = np.sqrt((q * q).sum(1)), Best(k)
+            step = max(64, min(4096, CELLS // len(qid)))
             for b in batches:
-                lists = b.column("list").to_numpy()
-                cuts = [0, *(np.nonzero(np.diff(lists))[0] + 1), len(lists)] if len(lists) else []
-                for lo, hi in ((i, min(e, i + 2048)) for s, e in zip(cuts[:-1], cuts[1:], strict=True) for i in range(s, e, 2048)):
-                    part = b.slice(lo, hi - lo)
+                for part in (b.slice(i, step) for i in range(0, b.num_rows, step)):
                     ids, x = matrix(part, "id", "v", q.shape[1])
-                    codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-                    who = np.nonzero(probed[:, lists[lo]])[0]
-                    qq = widened(q, x.shape[1])
-                    size = np.sqrt((x * x).sum(1))
-                    for w in (who[i : i + 256] for i in range(0, len(who), 256)):
-                        near = np.broadcast_to(base[w, lists[lo]], (len(ids), len(w))).copy()
-                        for j in range(codes.shape[1]):
-                            near += tables[j][:, w][codes[:, j]]
-                        near[ids[:, None] == qid[None, w]] = -np.inf
-                        for col, i in enumerate(w):
-                            at = best(near[:, col], ids, rerank)
-                            at = at[near[at, col] > -np.inf]
-                            score = (x[at] * qq[i]).sum(1) / (size[at] * long_[i])
-                            both = np.concatenate([found[i][0], score]), np.concatenate([found[i][1], ids[at]])
-                            keep = best(*both, k)
-                            found[i] = both[0][keep], both[1][keep]
-            for i in range(0, len(found), 4096):
-                some = found[i : i + 4096]
-                n = [len(f[0]) for f in some]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(i, i + len(some)), n)), pa.array(np.repeat(qid[i : i + 4096], n)), pa.array(np.concatenate([f[1] for f in some])), pa.array(np.concatenate([f[0] for f in some]))], ["q", "query_id", "vec_id", "score"])
+                    rows = kept_equals(x, ids, most)
+                    ids, x, lists = ids[rows], x[rows], part.column("list").to_numpy()[rows]
+                    codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(part.num_rows, -1)[rows]
+                    near = np.full((len(ids), len(qid)), -np.inf, np.float32)
+                    cuts = [0, *(np.nonzero(np.diff(lists))[0] + 1).tolist(), len(lists)]
+                    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                        who = np.nonzero(probed[:, lists[lo]])[0]
+                        if len(who):
+                            score = np.broadcast_to(base[who, lists[lo]], (hi - lo, len(who))).copy()
+                            for j in range(codes.shape[1]):
+                                score += tables[j][codes[lo:hi, j, None], who[None, :]]
+                            near[lo:hi, who] = score
+                    near[ids[:, None] == qid[None, :]] = -np.inf
+                    n = min(rerank, len(ids))
+                    at = np.argpartition(-near, n - 1, axis=0)[:n]
+                    rows, cols = at.ravel(), np.tile(np.arange(len(qid)), n)
+                    ok = near[rows, cols] > -np.inf
+                    rows, cols = rows[ok], cols[ok]
+                    qq, size = widened(q, x.shape[1]), np.sqrt((x * x).sum(1))
+                    score = np.concatenate([(x[rows[i : i + 65536]] * qq[cols[i : i + 65536]]).sum(1) for i in range(0, len(rows), 65536)] or [np.zeros(0)])
+                    found.add(cols, score / (size[rows] * long_[cols]), ids[rows])
+            col, score, ids = found.all()
+            for i in range(0, len(col), 1 << 16):
+                s = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(col[s]), pa.array(qid[col[s]]), pa.array(ids[s]), pa.array(score[s])], ["q", "query_id", "vec_id", "score"])
 
         hits = index.mapInArrow(scan, "q long, query_id long, vec_id long, score double")
         ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -167,8 +244,9 @@ def search(index: DataFrame, queries: DataFrame, quantiser: Quantiser, k: int, r
     return out
 
 
-def nearest_neighbours(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vec: str = "embedding", k: int = 5, lists: int = 64, parts: int = 16, sample: int = 8192, recall: float = 0.97, rerank: int = 48) -> DataFrame:
+def nearest_neighbours(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vec: str = "embedding", k: int = 5, spread: float = 8.0, parts: int = 16, sample: int = 65_536, recall: float = 0.9, rerank: int = 48) -> DataFrame:
     """query_id, rank, vec_id, score (cosine)."""
     rows, queries = (d.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vec}`").alias("v")) for d in (rows, queries))
-    quantiser = fit(rows, lists, parts, sample, k, recall)
-    return search(build_index(rows, quantiser), queries, quantiser, k, rerank)
+    quantiser = fit(rows, spread, parts, sample, k, recall)
+    index, counts = build_index(rows, quantiser)
+    return search(index, counts, queries, quantiser, k, rerank)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vectors import matrix, widened
+from .vectors import Best, best_of_each, matrix, widened
 
 SCALE = 64
 LONG = -(2**63), 2**63 - 1
@@ -50,38 +50,6 @@ def product(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.dot(x, q.T) if x.shape[1] else np.zeros((len(x), len(q)), x.dtype)
 
 
-def best_of_each(col: np.ndarray, score: np.ndarray, k: int, ids: np.ndarray | None = None) -> np.ndarray:
-    """Places of the k highest scores of each col, best first, ties to the smaller id."""
-    order = np.arange(len(col)) if ids is None else np.argsort(ids, kind="stable")
-    order = order[np.argsort(-score[order], kind="stable")]
-    order = order[np.argsort(col[order], kind="stable")]
-    c = col[order]
-    first = np.concatenate([[True], c[1:] != c[:-1]]) if len(c) else np.zeros(0, bool)
-    place = np.arange(len(c))
-    return order[place - np.maximum.accumulate(np.where(first, place, 0)) < k]
-
-
-class Best:
-    """The k best (score, id) of each query so far."""
-
-    def __init__(self, k: int):
-        self.k, self.held, self.size = k, [], 0
-
-    def add(self, col: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        self.held.append((col, score, ids))
-        self.size += len(col)
-        if self.size > 1 << 20:
-            kept = self.all()
-            self.held, self.size = [kept], 0  # what is added since
-
-    def all(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if not self.held:
-            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-        col, score, ids = (np.concatenate(x) for x in zip(*self.held, strict=True))
-        at = best_of_each(col, score, self.k, ids)
-        return col[at], score[at], ids[at]
-
-
 class Scores:
     """Slices of a task's rows against a block of queries."""
 
