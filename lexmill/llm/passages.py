@@ -5,19 +5,22 @@ of smaller doc_id goes; windows are judged on the input.
 
 1. Copies: documents whose whole text equals that of a smaller doc_id need no windows: all that their windows cover goes.
    This is a saving alone; above `broadcast_rows` such documents it is left out, and step 3 finds the same.
-2. Sketch: every task counts, in count-min sketches of two rows of 2**bits cells, the anchors of its documents' windows:
-   of the `gram`-word sequences within a window, the one with the least hash. Equal windows have equal anchors, neighbouring
-   windows share one, so a quarter as many counts suffice. Partition sketches travel as sparse blocks, are summed block by
-   block in a stream, and become a bitmap of the cells that count two or more (2 * 2**bits / 8 bytes, 32 MB by default, a
-   fixed size whatever the input), which is broadcast. Counts are never too small, so no repeated window is lost; where a
-   sketch is overfull, more windows go on to step 3, which is exact by itself.
-3. Windows with an estimate of two or more are grouped by a 96-bit hash. They are shuffled once; the smallest doc_id of a
-   window and the join of it with the window's rows use the same partitioning, and rows stream through a merge join. A
-   window that a document repeats, however often, is one row.
+2. Sketch: every task counts, in a count-min row of 2**bits cells, the anchors of its documents' windows: of the
+   `gram`-word sequences within a window, the one with the least hash. Equal windows have equal anchors, neighbouring
+   windows share one, so a quarter as many counts suffice. A sketch is kept sparse (the cells that count anything), so it
+   grows with the input and its row can be wide enough (2**40 cells) not to fill up. Partition sketches travel by blocks of
+   cells and are summed block by block; what is left are the cells that count two or more. Of these a bitmap is made, 32
+   bits a cell, and broadcast. One bitmap has at most 2**most_bits bits (128 MB); where more cells count two or more, they
+   are dealt to several bitmaps by hash and step 3 reads the texts once for each. Counts are never too small, so no
+   repeated window is lost; a window that passes for another's sake goes on to step 3, which is exact by itself.
+3. Windows with an estimate of two or more are grouped by a 96-bit hash. A task first judges them among themselves: of its
+   rows of a window only that of the smallest doc_id goes on, the others are found, so that a window of a third of all
+   documents is one row for each task. The rest is shuffled once, sorted by window and doc_id, and streams past.
 4. The places found, packed by document, meet the texts in one join.
 
 Null texts have no words. Rows that repeat a doc_id count as one document for "smaller", each row being judged by its own
-words. With a null doc_id nothing is removed. Texts under `width` words have no window.
+words. With a null doc_id nothing is removed, and nothing is removed for its sake. Texts under `width` words have no window.
+Empty tables give empty tables; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -34,7 +37,6 @@ from pyspark.sql import functions as F
 
 from .common import small, stash, text_slices
 
-BLOCK = 16  # bits of a cell number within a block
 #: Odd multipliers, powers of which weigh the words of a window.
 WEIGHTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -85,8 +87,8 @@ class Words:
         return a[first]
 
 
-def cells(anchors: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return (mixed(anchors + np.uint64(WEIGHTS[row])) >> np.uint64(64 - bits)).astype(np.uint32)
+def cells(anchors: np.ndarray, bits: int) -> np.ndarray:
+    return mixed(anchors + np.uint64(WEIGHTS[0])) >> np.uint64(64 - bits)
 
 
 def groups_of_texts(batch, text: str, most: int = 1 << 22):
@@ -102,73 +104,99 @@ def groups_of_texts(batch, text: str, most: int = 1 << 22):
         yield start, out
 
 
-def sketch(docs: DataFrame, width: int, gram: int, bits: int) -> np.ndarray:
-    """The bitmap (2, 2**bits / 8) of cells that count two or more; docs: __t and __copy."""
+def overlapping(docs: DataFrame, width: int, gram: int, bits: int) -> DataFrame:
+    """block, low, n: the sketch's cells that count two or more documents, written; docs: __t and __copy. A cell is
+    block << low_bits | low, low being one of the n unsigned integers of 4 bytes."""
+    spark = docs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+    low_bits = min(32, max(0, bits - max(12, (parts * 8 - 1).bit_length())))
 
     def count(batches):
         held: list[np.ndarray] = []
 
         def emit():
-            for row in range(2):
-                if not held:
-                    return
-                cell, n = np.unique(np.concatenate([cells(a, row, bits) for a in held]), return_counts=True)
-                if not len(cell):  # no text of this task has a window
-                    continue
-                block = cell >> BLOCK
-                cuts = np.concatenate([[0], np.nonzero(np.diff(block))[0] + 1, [len(cell)]])
-                low, many = (cell & ((1 << BLOCK) - 1)).astype("<u2"), n > 1
-                for i in range(0, len(cuts) - 1, 4096):
-                    spans = list(zip(cuts[i : i + 4096], cuts[i + 1 : i + 4097], strict=False))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([int(block[a]) + (row << (bits - BLOCK)) for a, _ in spans], pa.int32()),
-                            pa.array([low[a:b][~many[a:b]].tobytes() for a, b in spans], pa.binary()),
-                            pa.array([low[a:b][many[a:b]].tobytes() for a, b in spans], pa.binary()),
-                        ],
-                        ["block", "once", "more"],
-                    )
+            if not held:
+                return
+            cell, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            if not len(cell):  # no text of this task has a window
+                return
+            block = (cell >> np.uint64(low_bits)).astype(np.int64)
+            cuts = np.concatenate([[0], np.nonzero(np.diff(block))[0] + 1, [len(cell)]])
+            low, many = (cell & np.uint64((1 << low_bits) - 1)).astype("<u4"), n > 1
+            for i in range(0, len(cuts) - 1, 4096):
+                spans = list(zip(cuts[i : i + 4096], cuts[i + 1 : i + 4097], strict=False))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([int(block[a]) for a, _ in spans], pa.int64()),
+                        pa.array([low[a:b][~many[a:b]].tobytes() for a, b in spans], pa.binary()),
+                        pa.array([low[a:b][many[a:b]].tobytes() for a, b in spans], pa.binary()),
+                    ],
+                    ["block", "once", "more"],
+                )
 
         for b in batches:
             for _, texts in groups_of_texts(b.filter(pc.invert(b.column("__copy"))), "__t"):
-                held.append(Words(texts, width, gram).distinct_anchors())
-            if sum(map(len, held)) > 1 << 23:
+                held.append(cells(Words(texts, width, gram).distinct_anchors(), bits))
+            if sum(map(len, held)) > 1 << 22:
                 yield from emit()
-                held.clear()
         yield from emit()
 
     def merge(batches):
         """A partition holds whole blocks one after another."""
-        now, n = None, None
+        now, once, more = None, [], []
 
         def done():
             if now is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(n >= 2, bitorder="little").tobytes()], pa.binary())], ["block", "cells"])
+                one, n = np.unique(np.concatenate(once), return_counts=True)
+                low = np.union1d(one[n > 1], np.concatenate(more))
+                if len(low):
+                    yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([low.astype("<u4").tobytes()], pa.binary()), pa.array([len(low)], pa.int64())], ["block", "low", "n"])
 
         for b in batches:
-            for block, once, more in zip(b.column("block").to_pylist(), b.column("once").to_pylist(), b.column("more").to_pylist(), strict=True):
+            for block, x, y in zip(b.column("block").to_pylist(), b.column("once").to_pylist(), b.column("more").to_pylist(), strict=True):
                 if block != now:
                     yield from done()
-                    now, n = block, np.zeros(1 << BLOCK, np.uint8)
-                at = np.frombuffer(once, "<u2")
-                n[at] = np.minimum(n[at] + 1, 2)
-                n[np.frombuffer(more, "<u2")] = 2
+                    now, once, more = block, [], []
+                once.append(np.frombuffer(x, "<u4"))
+                more.append(np.frombuffer(y, "<u4"))
         yield from done()
 
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    merged = docs.mapInArrow(count, "block int, once binary, more binary").repartition(parts, "block").sortWithinPartitions("block").mapInArrow(merge, "block int, cells binary")
-    out = np.zeros((2 << (bits - BLOCK), 1 << (BLOCK - 3)), np.uint8)
-    for r in merged.toLocalIterator():  # at most 2 * 2**bits / 8 bytes in all
-        out[r["block"]] = np.frombuffer(r["cells"], np.uint8)
-    return out.reshape(2, -1)
+    counted = docs.mapInArrow(count, "block long, once binary, more binary").repartition(parts, "block").sortWithinPartitions("block")
+    return stash(counted.mapInArrow(merge, "block long, low binary, n long").withColumn("low_bits", F.lit(low_bits)), "cells")
+
+
+class Bitmap:
+    """The cells of one of `passes` shares, as a bitmap of 2**bits bits."""
+
+    def __init__(self, bits: int, share: int, passes: int):
+        self.bits, self.share, self.passes, self.map = bits, share, passes, np.zeros(1 << (bits - 3), np.uint8)
+
+    def place(self, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which cells are of this share, the bit of each cell)."""
+        h = mixed(cell + np.uint64(WEIGHTS[2]))
+        return h % np.uint64(self.passes) == np.uint64(self.share), mixed(h) >> np.uint64(64 - self.bits)
+
+    def add(self, cell: np.ndarray) -> None:
+        own, at = self.place(cell)
+        at = at[own]
+        np.bitwise_or.at(self.map, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+    def holds(self, cell: np.ndarray) -> np.ndarray:
+        own, at = self.place(cell)
+        return own & ((self.map[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1)
 
 
-def repeated(bitmap: np.ndarray, anchors: np.ndarray, bits: int) -> np.ndarray:
-    ok = np.ones(len(anchors), bool)
-    for row in range(2):
-        c = cells(anchors, row, bits)
-        ok &= (bitmap[row][c >> np.uint32(3)] >> (c & np.uint32(7)).astype(np.uint8)) & 1 == 1
-    return ok
+def bitmaps(found: DataFrame, most_bits: int):
+    """The bitmaps of the cells that `overlapping` found, one after another; rows stream past the driver."""
+    n = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = min(most_bits, max(12, (32 * n - 1).bit_length() if n else 0))
+    passes = max(1, -(-32 * n // (1 << bits)))
+    for share in range(passes):
+        out = Bitmap(bits, share, passes)
+        for r in found.toLocalIterator():
+            out.add(np.frombuffer(r["low"], "<u4").astype(np.uint64) | np.uint64(r["block"]) << np.uint64(r["low_bits"]))
+        yield out
 
 
 def text_tag(text: bytes) -> int:
@@ -176,35 +204,92 @@ def text_tag(text: bytes) -> int:
     return xxhash.xxh32_intdigest(text) >> 1
 
 
-def repeated_windows(docs: DataFrame, bitmap: np.ndarray, width: int, gram: int, bits: int) -> DataFrame:
-    """doc_id, at (text tag and place) of each window that a smaller doc_id has as well; more: its further places."""
+def packed(doc: np.ndarray, at: np.ndarray):
+    """doc_id, at: the distinct places of each document as the bytes of one array."""
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    if len(doc):
+        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])])
+        doc, at = doc[new], at[new]
+    cuts = [0, *(np.nonzero(np.diff(doc))[0] + 1).tolist(), len(doc)] if len(doc) else [0]
+    return doc[cuts[:-1]], [at[a:b].astype("<i8").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+FOUND = "k1 long, k2 int, doc_id long, at long, more binary"  # a place and further ones; or, with at null, places found
+
+
+def repeated_windows(docs: DataFrame, found: DataFrame, width: int, gram: int, bits: int, most_bits: int) -> DataFrame:
+    """doc_id, at (binary): the places (text tag and place, 8 bytes each) of windows that a smaller doc_id has as well."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(bitmap)
 
-    def candidates(batches):
-        for b in batches:
-            b = b.filter(pc.invert(b.column("__copy")))
-            ids = b.column("doc_id")
-            for start, texts in groups_of_texts(b, "__t"):
-                w = Words(texts, width, gram)
-                hit = w.starts[repeated(shared.value, w.anchors, bits)]
-                k1, k2 = rolled(w.h, width, WEIGHTS[0])[hit], (rolled(w.h, width, WEIGHTS[1])[hit] >> np.uint64(32)).astype(np.uint32)
-                doc, at = w.doc[hit], np.fromiter(map(text_tag, texts), np.int64, len(texts))[w.doc[hit]] << 32 | w.place[hit]
-                # a window that a document repeats is one row
-                order = np.lexsort((at, k2, k1, doc))
+    def of_share(shared):
+        def candidates(batches):
+            held: list[tuple[np.ndarray, ...]] = []
+
+            def emit():
+                if not held:
+                    return
+                k1, k2, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
+                held.clear()
+                order = np.lexsort((at, doc, k1))
                 k1, k2, doc, at = k1[order], k2[order], doc[order], at[order]
-                new = np.nonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (doc[1:] != doc[:-1])]))[0] if len(at) else np.zeros(0, np.int64)
-                ends = [*new[1:].tolist(), len(at)]
-                more = [at[i + 1 : e].tobytes() if e - i > 1 else None for i, e in zip(new.tolist(), ends, strict=True)] if len(new) < len(at) else [None] * len(new)
-                out = pa.RecordBatch.from_arrays(
-                    [pa.array(k1[new].view(np.int64)), pa.array(k2[new].view(np.int32)), ids.take(pa.array(start + doc[new])), pa.array(at[new]), pa.array(more, pa.binary())], ["k1", "k2", "doc_id", "at", "more"]
-                )
-                yield from (out.slice(i, 1 << 16) for i in range(0, out.num_rows, 1 << 16))
+                if not len(k1):
+                    return
+                new = np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])
+                first = np.nonzero(new)[0]
+                sure = doc > doc[first][np.cumsum(new) - 1]  # the task itself has the window in a smaller doc_id
+                ids, places = packed(doc[sure], at[sure])
+                ends = np.append(first[1:], len(k1))
+                own = np.add.reduceat(~sure, first)  # places of the smallest doc_id stand first
+                more = [at[i + 1 : i + n].astype("<i8").tobytes() if n > 1 else None for i, n in zip(first.tolist(), own.tolist(), strict=True)] if (ends - first > 1).any() else [None] * len(first)
+                rows = [
+                    pa.RecordBatch.from_arrays([pa.array(k1[first].view(np.int64)), pa.array(k2[first].view(np.int32)), pa.array(doc[first]), pa.array(at[first]), pa.array(more, pa.binary())], ["k1", "k2", "doc_id", "at", "more"]),
+                    pa.RecordBatch.from_arrays([pa.array(mixed(ids.view(np.uint64)).view(np.int64)), pa.array(np.zeros(len(ids), np.int32)), pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(places, pa.binary())], ["k1", "k2", "doc_id", "at", "more"]),
+                ]
+                for r in rows:
+                    yield from (r.slice(i, 1 << 15) for i in range(0, r.num_rows, 1 << 15))
+
+            for b in batches:
+                b = b.filter(pc.and_(pc.invert(b.column("__copy")), pc.is_valid(b.column("doc_id"))))
+                ids = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+                for start, texts in groups_of_texts(b, "__t"):
+                    w = Words(texts, width, gram)
+                    hit = w.starts[shared.value.holds(cells(w.anchors, bits))]
+                    k1, k2 = rolled(w.h, width, WEIGHTS[0])[hit], (rolled(w.h, width, WEIGHTS[1])[hit] >> np.uint64(32)).astype(np.uint32)
+                    tags = np.fromiter(map(text_tag, texts), np.int64, len(texts))
+                    held.append((k1, k2, ids[start + w.doc[hit]], tags[w.doc[hit]] << 32 | w.place[hit]))
+                    if sum(len(x[0]) for x in held) > 1 << 20:
+                        yield from emit()
+            yield from emit()
+
+        return docs.mapInArrow(candidates, FOUND)
+
+    def judge(batches):
+        """Rows of a window stand one after another, the smallest doc_id first."""
+        key, low = None, 0
+        for b in batches:
+            sure = pc.is_null(b.column("at"))
+            yield from (pa.RecordBatch.from_arrays([x.column("doc_id"), x.column("more")], ["doc_id", "at"]) for x in [b.filter(sure)] if x.num_rows)
+            b = b.filter(pc.invert(sure))
+            if not b.num_rows:
+                continue
+            k1, k2, doc = (b.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2", "doc_id"))
+            new = np.concatenate([[(k1[0], k2[0]) != key], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])
+            lows = np.concatenate([[low], doc[new]])[np.cumsum(new)]
+            key, low = (k1[-1], k2[-1]), lows[-1]
+            b = b.filter(pa.array(doc > lows))
+            one = np.ascontiguousarray(b.column("at").to_numpy(zero_copy_only=False), "<i8")
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.Array.from_buffers(pa.binary(8), len(one), [None, pa.py_buffer(one)]).cast(pa.binary())], ["doc_id", "at"])
+            further = b.filter(pc.is_valid(b.column("more")))
+            if further.num_rows:
+                yield pa.RecordBatch.from_arrays([further.column("doc_id"), further.column("more")], ["doc_id", "at"])
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    rows = docs.mapInArrow(candidates, "k1 long, k2 int, doc_id long, at long, more binary").repartition(parts, "k1", "k2")
-    owner = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("k1", "k2", "low")
-    return rows.join(owner.hint("merge"), ["k1", "k2"]).where("doc_id > low").select("doc_id", "at", "more")
+    rows = None
+    for bitmap in bitmaps(found, most_bits):
+        own = of_share(spark.sparkContext.broadcast(bitmap))
+        rows = own if rows is None else rows.unionByName(own)
+    return rows.repartition(parts, "k1", "k2").sortWithinPartitions("k1", "k2", "doc_id").mapInArrow(judge, "doc_id long, at binary")
 
 
 def mark_copies(docs: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -225,25 +310,24 @@ def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
     return np.cumsum(d[:n]) > 0
 
 
-def dedup_passages(docs: DataFrame, id_: str = "doc_id", text: str = "text", width: int = 13, gram: int = 7, bits: int = 27, broadcast_rows: int = 1_000_000, texts: bool = False) -> DataFrame:
+def dedup_passages(docs: DataFrame, id_: str = "doc_id", text: str = "text", width: int = 13, gram: int = 7, bits: int = 40, most_bits: int = 30, broadcast_rows: int = 1_000_000, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept (the kept words, joined by blanks)."""
     base = docs.select(F.col(f"`{id_}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("__t"))
     marked = mark_copies(base, broadcast_rows)
-    found = repeated_windows(marked, sketch(marked, width, gram, bits), width, gram, bits)
-    packed = found.groupBy(F.col("doc_id").alias("__d")).agg(F.collect_list("at").alias("__at"), F.collect_list("more").alias("__more"))
-    joined = marked.join(packed, F.col("doc_id") == F.col("__d"), "left").drop("__d")
+    found = repeated_windows(marked, overlapping(marked, width, gram, bits), width, gram, bits, most_bits)
+    by_doc = found.groupBy(F.col("doc_id").alias("__d")).agg(F.collect_list("at").alias("__at"))
+    joined = marked.join(by_doc, F.col("doc_id") == F.col("__d"), "left").drop("__d")
 
     def cut(batches):
         for b in batches:
-            at, more = b.column("__at"), b.column("__more")
-            rows = []
+            at, rows = b.column("__at"), []
             for (i, t), copy in zip(text_slices(b, "__t"), b.column("__copy").to_pylist(), strict=True):
                 words = (t or b"").split()
                 gone = np.zeros(len(words), bool)
                 if copy and len(words) >= width:
                     gone[:] = True
                 elif at[i].is_valid:
-                    places = np.concatenate([at[i].values.to_numpy(), *(np.frombuffer(m, np.int64) for m in more[i].as_py())])
+                    places = np.concatenate([np.frombuffer(m, "<i8") for m in at[i].as_py()])
                     own = places[places >> 32 == text_tag(t or b"")]
                     gone = covered(len(words), own & 0xFFFFFFFF, width)
                 kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]) if gone.any() else b" ".join(words)
