@@ -22,9 +22,10 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, id_: str, text: str
 
 
 def some_rows(rows: DataFrame, most: int, n: int) -> DataFrame:
-    """Of n rows those of smallest id hash (column __h), at least `most` of them in all likelihood and few more: a cut on
-    the hash, so that texts needn't be sorted. Who takes `most` of them in the order of __h gets the same rows each time."""
-    rows = rows.withColumn("__h", F.xxhash64("doc_id"))
+    """Of n rows those of smallest hash of id and text (column __h), at least `most` of them in all likelihood and few more:
+    a cut on the hash, so that texts needn't be sorted. Who takes `most` of them in the order of __h gets the same rows
+    each time; rows of one hash are the same."""
+    rows = rows.withColumn("__h", F.xxhash64("doc_id", "__t"))
     share = 1.5 * most / max(1, n) + 1000 / max(1, n)
     return rows if share >= 1 else rows.where(F.col("__h") < int(share * 2**64) - 2**63)
 

@@ -10,7 +10,7 @@ ranks worse, as rare contexts then outweigh telling words; figures in the README
 
 What is compared is normalised by length: the mean ratio of the whole text, and the mean of its one and of its two most
 telling tokens, as an insult in a long text is one of few words. A logistic regression turns the three into a score. It is
-fitted on training documents, at most `calibrate` of them (those of smallest id hash), each scored without its own
+fitted on training documents, at most `calibrate` of them (those of smallest hash of id and text), each scored without its own
 contexts, so that its own rare words don't count as known.
 
 Counts cover all training rows and grow with them. Pairs are made distinct by one shuffle, combined map-side; words are
