@@ -21,12 +21,16 @@ def bounded_distance(a: Column, b: Column) -> Column:
     return F.when(d < 0, F.lit(FAR)).otherwise(d)
 
 
+LONGEST = 32  # letters up to which prefixes are compared without a loop
+
+
 def common_prefix(a: Column, b: Column) -> Column:
-    """Number of equal leading characters."""
+    """Number of equal leading characters. Words of up to LONGEST letters are compared prefix by prefix, in generated code."""
     n = F.least(F.length(a), F.length(b))
+    steps = sum(((F.substring(a, 1, k) == F.substring(b, 1, k)) & (n >= k)).cast("int") for k in range(1, LONGEST + 1))
     # the longest prefix is where the first difference is: no loop beyond it has to be kept
     differ = F.array_position(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))), True)
-    return F.when(n == 0, F.lit(0)).when(differ == 0, n).otherwise(differ.cast("int") - 1)
+    return F.when(n <= LONGEST, steps).when(differ == 0, n).otherwise(differ.cast("int") - 1)
 
 
 def common_suffix(a: Column, b: Column) -> Column:
@@ -34,7 +38,8 @@ def common_suffix(a: Column, b: Column) -> Column:
 
 
 def consonant_skeleton(word: Column) -> Column:
-    """Consonants of a spelling by sound: silent letters gone, c as s or k, vowels dropped, doubles once."""
+    """Consonants of a spelling by sound: silent letters gone, c as s or k, vowels dropped, doubles once. The rules are fixed
+    values, in the order in which they are tried."""
     w = F.lower(F.trim(F.coalesce(word, F.lit(""))))
     return replaced(
         w, ("^kn", "n"), ("^wr", "r"), ("^ps", "s"), ("^wh", "w"), ("ph", "f"), ("qu", "kw"), ("x", "ks"), ("ck", "k"), ("dg", "j"),

@@ -39,7 +39,7 @@ def lookalike_score(t: dict[str, Column], c: dict[str, Column]) -> tuple[Column,
     """(is a look-alike, score) of a target and a candidate: edit distance, common ends, sound."""
     a, b = t["word"], c["word"]
     gap = F.abs(F.length(a) - F.length(b))
-    pref, suff, d = S.common_prefix(a, b), S.common_suffix(a, b), S.bounded_distance(a, b)
+    pref, suff, d = S.common_prefix(a, b), S.common_prefix(t["back"], c["back"]), S.bounded_distance(a, b)
     skel = (t["skel"] != "") & (t["skel"] == c["skel"]) & (gap <= 2)
     contains = (F.least(F.length(a), F.length(b)) >= 5) & (gap <= 3) & (F.endswith(a, b) | F.endswith(b, a)) & (t["rhyme"] == c["rhyme"])
     rhyme = ((F.length(t["rhyme"]) >= 3) & (t["rhyme"] == c["rhyme"]) & (d <= 2)) | contains
@@ -63,12 +63,17 @@ def lookalike_score(t: dict[str, Column], c: dict[str, Column]) -> tuple[Column,
 
 def lookalikes(targets: DataFrame, pool: DataFrame, count: int = 3) -> DataFrame:
     """target, word, score, place: the best look-alikes of each target, by score, then word. A similarity join: pairs come
-    from shared blocks alone, each pair is scored once, and targets of one block meet the pool's words of that block."""
-    t = blocks(sounded(targets.select("word").distinct())).select(F.struct("word", "skel", "rhyme", "syl").alias("t"), F.explode("ask").alias("block"))
-    c = blocks(sounded(pool.select("word").distinct())).select(F.struct("word", "skel", "rhyme", "syl").alias("c"), F.explode("has").alias("block"))
-    pairs = t.join(c, "block").where("t.word <> c.word").select("t", "c").distinct()
-    hit, score = lookalike_score({k: F.col(f"t.{k}") for k in ("word", "skel", "rhyme", "syl")}, {k: F.col(f"c.{k}") for k in ("word", "skel", "rhyme", "syl")})
-    scored = pairs.where(hit).select(F.col("t.word").alias("target"), F.col("c.word").alias("word"), score.alias("score"))
+    from shared blocks alone, of lengths within four letters, and each pair is scored once; what the score needs of the words
+    joins the pairs when these are distinct."""
+    own, every = (sounded(d.select("word").distinct()) for d in (targets, pool))
+    t, c = blocks(own).select(F.col("word").alias("t"), F.explode("ask").alias("block")), blocks(every).select(F.col("word").alias("c"), F.explode("has").alias("block"))
+    near = F.abs(F.length("t") - F.length("c")) <= 4
+    pairs = t.join(c, "block").where((F.col("t") != F.col("c")) & near).select("t", "c").distinct()
+    parts = ("word", "back", "skel", "rhyme", "syl")
+    of = [d.withColumn("back", F.reverse("word")).select(F.col("word").alias(k), F.struct(*parts).alias(f"{k}s")) for d, k in ((own, "t"), (every, "c"))]
+    pairs = pairs.join(of[0], "t").join(of[1], "c")
+    hit, score = lookalike_score({k: F.col(f"ts.{k}") for k in parts}, {k: F.col(f"cs.{k}") for k in parts})
+    scored = pairs.where(hit).select(F.col("t").alias("target"), F.col("c").alias("word"), score.alias("score"))
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("score"), "word"))).where(F.col("place") <= count)
 
 

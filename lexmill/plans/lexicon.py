@@ -87,17 +87,17 @@ def over_ceiling_words(spark, sf_dir):
     return difficulty.over_ceiling(english(spark, sf_dir), levels(spark, sf_dir), 4)
 
 
-#: Cues: what follows one of the 60 most frequent words of four letters and more; the twelve most frequent followers.
-CUE = LEVELS + """, h AS (SELECT word FROM levels WHERE length(word) >= 4 ORDER BY df DESC, word LIMIT 60), tk AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM documents WHERE lang = 'en'),
-    bg AS (SELECT ws[i] AS host_word, ws[i + 1] AS cue_word FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM tk)), cc AS (SELECT host_word, cue_word, count(*) AS n FROM bg JOIN h ON h.word = host_word WHERE length(cue_word) >= 3 GROUP BY ALL),
+#: Cues: what follows a word of four letters and more, its twelve most frequent followers (as the weights have four ranks
+#: for each of three senses).
+CUE = """tk AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM documents WHERE lang = 'en'),
+    bg AS (SELECT ws[i] AS host_word, ws[i + 1] AS cue_word FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM tk)), cc AS (SELECT host_word, cue_word, count(*) AS n FROM bg WHERE length(host_word) >= 4 AND length(cue_word) >= 3 GROUP BY ALL),
     cr AS (SELECT *, row_number() OVER (PARTITION BY host_word ORDER BY n DESC, cue_word) AS r FROM cc), cue AS (SELECT host_word, cue_word, (r - 1) % 3 AS sense_idx, [30, 25, 20, 15][((r - 1) // 3 + 1)::INT] AS weight FROM cr WHERE r <= 12)"""
 
 
 def cues(spark, sf_dir):
-    hosts = levels(spark, sf_dir).where(F.length("word") >= 4).orderBy(F.desc("df"), "word").limit(60).select(F.col("word").alias("host_word"))
     ws = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)
-    pairs = english(spark, sf_dir).select(ws.alias("ws")).select(F.explode(F.arrays_zip(F.slice("ws", 1, F.greatest(F.size("ws") - 1, F.lit(0))).alias("host_word"), F.slice("ws", 2, F.size("ws")).alias("cue_word"))).alias("p")).select("p.host_word", "p.cue_word").where(F.length("cue_word") >= 3)
-    n = pairs.join(F.broadcast(hosts), "host_word").groupBy("host_word", "cue_word").agg(F.count(F.lit(1)).alias("n"))
+    pairs = english(spark, sf_dir).select(ws.alias("ws")).select(F.explode(F.arrays_zip(F.slice("ws", 1, F.greatest(F.size("ws") - 1, F.lit(0))).alias("host_word"), F.slice("ws", 2, F.size("ws")).alias("cue_word"))).alias("p")).select("p.host_word", "p.cue_word")
+    n = pairs.where((F.length("host_word") >= 4) & (F.length("cue_word") >= 3)).groupBy("host_word", "cue_word").agg(F.count(F.lit(1)).alias("n"))
     r = n.withColumn("r", F.row_number().over(Window.partitionBy("host_word").orderBy(F.desc("n"), "cue_word"))).where("r <= 12")
     return r.select("host_word", "cue_word", ((F.col("r") - 1) % 3).cast("long").alias("sense_idx"), F.element_at(F.array(*map(F.lit, lexicon.CUE_WEIGHTS)), (F.floor((F.col("r") - 1) / 3) + 1).cast("int")).alias("weight"))
 

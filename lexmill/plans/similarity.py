@@ -24,7 +24,7 @@ def word_sounds(spark, sf_dir):
 
 
 POOL = LEVELS + ", pool AS (SELECT word FROM levels WHERE df >= 12 AND length(word) >= 4)"
-TARGETS = "tg AS (SELECT word FROM pool WHERE length(word) >= 6 AND ascii(word) % 5 = 1)"
+TARGETS = "tg AS (SELECT word FROM pool WHERE length(word) >= 6)"
 PREF = "len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: a[1:i] = b[1:i]))"
 SUFF = PREF.replace("a[", "reverse(a)[").replace("b[", "reverse(b)[")
 DIST = "CASE WHEN levenshtein(a, b) > 2 THEN 99 ELSE levenshtein(a, b) END"
@@ -36,11 +36,11 @@ def pool(spark, sf_dir):
 
 @query(f"WITH {POOL}, {TARGETS}, p AS (SELECT tg.word AS a, pool.word AS b FROM tg JOIN pool ON tg.word <> pool.word AND tg.word[1:3] = pool.word[1:3]) SELECT a AS target, b AS word, {PREF} AS pref, {SUFF} AS suff, {DIST} AS dist FROM p")
 def pair_distances(spark, sf_dir):
-    w = pool(spark, sf_dir)
-    t = w.where((F.length("word") >= 6) & (F.ascii("word") % 5 == 1)).select(F.col("word").alias("target"))
+    w = pool(spark, sf_dir).select("word", F.reverse("word").alias("back"))
+    t = w.where(F.length("word") >= 6).select(F.col("word").alias("target"), F.col("back").alias("behind"))
     p = t.join(w, (F.substring("target", 1, 3) == F.substring("word", 1, 3)) & (F.col("target") != F.col("word")))
     a, b = F.col("target"), F.col("word")
-    return p.select("target", "word", S.common_prefix(a, b).cast("long").alias("pref"), S.common_suffix(a, b).cast("long").alias("suff"), S.bounded_distance(a, b).cast("long").alias("dist"))
+    return p.select("target", "word", S.common_prefix(a, b).cast("long").alias("pref"), S.common_prefix(F.col("behind"), F.col("back")).cast("long").alias("suff"), S.bounded_distance(a, b).cast("long").alias("dist"))
 
 
 def _block(own: bool) -> str:
@@ -63,7 +63,7 @@ SCH = "(" + " OR ".join(f"(a LIKE '%{x}' AND b LIKE '%{x}')" for x in candidates
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, word)::INT AS place FROM s) WHERE place <= 3""")
 def lookalike_words(spark, sf_dir):
     w = pool(spark, sf_dir)
-    return candidates.lookalikes(w.where((F.length("word") >= 6) & (F.ascii("word") % 5 == 1)), w)
+    return candidates.lookalikes(w.where(F.length("word") >= 6), w)
 
 
 @query()

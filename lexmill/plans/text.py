@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import quotes
 from .registry import query, table
 
 #: clean_core in DuckDB's regular expressions.
@@ -20,8 +21,8 @@ WORDS = "list_filter(string_split({c}, ' '), lambda w: w <> '')"
 
 @query(f"SELECT doc_id, length(c) AS n_core, len({WORDS.format(c='c')}) AS n_words, md5(c) AS core_md5 FROM (SELECT doc_id, {core('text')} AS c FROM documents)")
 def cleaned_documents(spark, sf_dir):
-    c = T.clean_core(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(c).cast("long").alias("n_core"), F.size(T.words(c)).cast("long").alias("n_words"), F.md5(c).alias("core_md5"))
+    c = table(spark, sf_dir, "documents").select("doc_id", T.clean_core(F.col("text")).alias("c"))
+    return c.select("doc_id", F.length("c").cast("long").alias("n_core"), F.regexp_count("c", F.lit("[^ ]+")).cast("long").alias("n_words"), F.md5("c").alias("core_md5"))
 
 
 def _grams(src: str, n: int = 3) -> str:
@@ -37,8 +38,9 @@ def quote_coverage(spark, sf_dir):
     small side; pairs come from a join on the 3-gram, never from a cross join, and counts are combined map-side."""
 
     def grams(name: str, key: str):
-        g = F.array_distinct(T.ngrams(T.words(T.clean_core(F.col("text"))), 3))
-        return table(spark, sf_dir, name).select(F.col(key), g.alias("gs"))
+        c = table(spark, sf_dir, name).select(key, F.regexp_replace(T.clean_core(F.col("text")), " +", " ").alias("c"))
+        # at each word's beginning, the word and the two after it
+        return c.select(key, F.array_distinct(F.regexp_extract_all("c", F.lit(r"(?<![^ ])(?=([^ ]+ [^ ]+ [^ ]+))"), 1)).alias("gs"))
 
     q, s = grams("benchmark", "item_id"), grams("documents", "doc_id")
     n = F.size("gs").alias("n")
@@ -51,13 +53,10 @@ def quote_coverage(spark, sf_dir):
 @query(f"""WITH q AS (SELECT item_id, {core('text')} AS c FROM benchmark), s AS (SELECT doc_id, {core('text')} AS c FROM documents)
     SELECT item_id, doc_id FROM q JOIN s ON contains(s.c, q.c)""")
 def contained_quotes(spark, sf_dir):
-    """Documents that contain a whole benchmark item after cleaning. A text that contains the quote has its first 3-gram,
-    so the join is on that; the containment test runs on the pairs that share it."""
-    c = T.clean_core(F.col("text"))
-    q = table(spark, sf_dir, "benchmark").select("item_id", c.alias("qc")).withColumn("g", F.try_element_at(T.ngrams(T.words(F.col("qc")), 3), F.lit(1)))
-    s = table(spark, sf_dir, "documents").select("doc_id", c.alias("sc"))
-    near = s.select("doc_id", "sc", F.explode(F.array_distinct(T.ngrams(T.words(F.col("sc")), 3))).alias("g")).join(q, "g")
-    return near.where(F.contains("sc", F.col("qc"))).select("item_id", "doc_id")
+    """Documents that contain a whole benchmark item after cleaning."""
+    q = table(spark, sf_dir, "benchmark").select("item_id", T.clean_core(F.col("text")).alias("quote"))
+    s = table(spark, sf_dir, "documents").select("doc_id", T.clean_core(F.col("text")).alias("text"))
+    return quotes.contained(s, q)
 
 
 @query(r"""SELECT page_id, CASE WHEN len(p) = 0 THEN url ELSE regexp_replace(CASE WHEN list_position(p, 'wiki') > 0 THEN p[least(list_position(p, 'wiki') + 1, len(p))] WHEN list_position(p, 'raw') > 0 THEN p[least(list_position(p, 'raw') + 1, len(p))] ELSE p[1] END, '(\.md|\.txt)$', '') END AS stem,
