@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -87,16 +86,18 @@ def step_of(n: int) -> int:
 
 def pool_walk(targets: DataFrame, pool: DataFrame, count: int = 3) -> DataFrame:
     """target, word, turn: words of a target's bucket in the order of a golden-stride walk from crc32(target) on, without
-    the target itself. turn of place p is (p - start) * inverse(stride) mod n, so the walk needs no loop: the first
-    `count + 1` turns are computed forwards and joined by place. targets: target, bucket; pool: bucket, word."""
+    the target itself. The turn of a place is a matter of arithmetic, so the walk needs no loop: the first `count + 1` places
+    are computed and joined. The stride is computed once for each bucket. targets: target, bucket; pool: bucket, word."""
     places = pool.distinct().withColumn("p", F.row_number().over(Window.partitionBy("bucket").orderBy("word")) - 1)
-    sizes = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
-    @F.pandas_udf("array<long>")
-    def walk(target: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([[(zlib.crc32(t.encode()) % m + k * step_of(m)) % m for k in range(min(m, count + 1))] for t, m in zip(target, n, strict=True)])
+    @F.pandas_udf("long")
+    def stride(n: pd.Series) -> pd.Series:
+        return n.map(step_of)
 
-    turns = targets.join(sizes, "bucket").select("target", "bucket", F.posexplode(walk("target", "n")).alias("turn", "p"))
+    sizes = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("step", stride("n"))
+    k = F.explode(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(count + 1)).cast("int") - 1)).alias("k")
+    turns = targets.join(sizes, "bucket").select("target", "bucket", "n", "step", k)
+    turns = turns.select("target", "bucket", F.col("k").alias("turn"), ((F.crc32("target") % F.col("n") + F.col("k") * F.col("step")) % F.col("n")).cast("int").alias("p"))
     hit = turns.join(places, ["bucket", "p"]).where(F.col("word") != F.col("target"))
     return hit.withColumn("turn", F.row_number().over(Window.partitionBy("target").orderBy("turn"))).where(F.col("turn") <= count).select("target", "word", "turn")
 

@@ -68,7 +68,7 @@ def lookalike_words(spark, sf_dir):
 
 @query()
 def pool_walk(spark, sf_dir):
-    """Seeded by crc32, which DuckDB lacks: tested against a plain walk."""
+    """Seeded by crc32, which DuckDB lacks; tests/test_operators.py compares it with a walk word by word."""
     w = levels(spark, sf_dir).where((F.col("df") >= 3) & (F.length("word") >= 4))
     p = w.select(F.when(F.col("level") <= 3, "tier1").otherwise("tier2").alias("bucket"), "word")
     return candidates.pool_walk(p.select(F.col("word").alias("target"), "bucket"), p)

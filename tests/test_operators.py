@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexmill.functions import text
-from lexmill.operators import graph
+from lexmill.operators import candidates, discourse, graph, quotes, sense
 
 
 def one(spark, column):
@@ -49,3 +49,67 @@ def test_route(spark):
     names = spark.createDataFrame([("rosetta_12_vocabulary", "wiki_vocabulary"), ("rosetta", "source")], "name string, type string")
     got = graph.route(q, names).collect()
     assert [r.name for r in got] == ["rosetta_12_vocabulary"] and got[0].score == 45
+
+
+def test_choose_blanks():
+    body = ["Opening words which stay.", "Although it rained, they made use of several tools that he is able to use.", "However, more than half of them would keep on walking themselves.", "Closing words which stay."]
+    got = discourse.choose_blanks(body, 10)
+    assert all(2 <= g[0] <= 3 for g in got)
+    assert got == sorted(got) and len({g[2] for g in got}) == len(got)
+    at = [g[1] for g in got]
+    assert all(b - a >= 5 for a, b in zip(at, at[1:], strict=False))
+    assert (got[0][2], got[0][3], got[0][4]) == ("although", "subordinating_conjunction", 1)
+    assert discourse.choose_blanks(["If only one sentence is there."], 3)[0][2] == "if"
+    assert discourse.choose_blanks([], 3) == []
+
+
+def test_blank_categories():
+    cases = {("on", ""): "bound_preposition", ("away", ""): "phrasal_particle", ("used", "to"): "modal_structure", ("used", "it"): None, ("so", "that"): None, ("so", "good"): "degree_operator", ("than", ""): "comparative_operator", ("their", ""): "anaphoric_determiner"}
+    assert {k: discourse.blank_category(*k) for k in cases} == cases
+
+
+def test_cloze_blanks_of_documents(spark):
+    text = "\n\n".join("Opening words are here. They would rather wait until somebody pays for each of the meals. Nobody left." for _ in range(3))
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    got = discourse.cloze_blanks(docs).collect()
+    assert got and {r.doc_id for r in got} == {1} and [r.blank for r in got] == list(range(1, len(got) + 1))
+    assert discourse.cloze_blanks(docs.limit(0)).count() == 0
+
+
+def test_contained_quotes(spark):
+    q = spark.createDataFrame([(1, "two words"), (2, "cat sat on the mat"), (3, None), (4, ""), (5, "two words")], "item_id long, quote string")
+    d = spark.createDataFrame([(1, "here are two words in it"), (2, "a bobcat sat on the matter"), (3, None), (4, "nothing")], "doc_id long, text string")
+    want = {(1, 1), (5, 1), (2, 2), (4, 1), (4, 2), (4, 4)}
+    assert {tuple(r) for r in quotes.contained(d, q).collect()} == want
+    assert {tuple(r) for r in quotes.contained(d, q, most=5).collect()} == want  # several automata
+    assert quotes.contained(d.limit(0), q).count() == 0 and quotes.contained(d, q.limit(0)).count() == 0
+
+
+def test_cue_peers_both_ways(spark):
+    """Lists of the first hosts of each set of cues give what pairing by cue gives."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"h{i}", c, 0, w) for i in range(150) for c, w in zip(rng.sample("abcdef", 4), (30, 25, 20, 15), strict=True)] + [("two words", "a", 0, 30), ("two words", "b", 0, 30), ("h1", "z", 1, 15)]
+    cue = spark.createDataFrame(rows, "host_word string, cue_word string, sense_idx int, weight int")
+    a, b = (sorted(map(tuple, sense.cue_peers(cue, limit=7, few=f).collect())) for f in (8, 0))
+    assert a == b and len(a) > 900
+
+
+def test_pool_walk(spark):
+    """Against a walk word by word."""
+    import zlib
+
+    words = [(f"b{i % 2}", f"word{i:02d}") for i in range(23)]
+    pool = spark.createDataFrame(words, "bucket string, word string")
+    targets = spark.createDataFrame([("word03", "b1"), ("word04", "b0"), ("else", "b1"), ("gone", "b9")], "target string, bucket string")
+    want = set()
+    for t, b in (("word03", "b1"), ("word04", "b0"), ("else", "b1")):
+        own = sorted(w for x, w in words if x == b)
+        at, step, seen = zlib.crc32(t.encode()) % len(own), candidates.step_of(len(own)), []
+        while len(seen) < 3:
+            if own[at] != t:
+                seen.append(own[at])
+            at = (at + step) % len(own)
+        want |= {(t, w, n + 1) for n, w in enumerate(seen)}
+    assert {tuple(r) for r in candidates.pool_walk(targets, pool).collect()} == want
