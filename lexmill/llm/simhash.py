@@ -5,11 +5,13 @@ repeats included. Texts link if their fingerprints differ in at most `radius` bi
 
 Search works on distinct fingerprints. A fingerprint is two 32-bit halves, and of two fingerprints within r bits, one
 half is within floor(r / 2) bits: so there is one vantage-point tree for each half, with that smaller radius, which
-leaves far fewer branches open than one tree over 64 bits would. Each tree is built on the driver from a bounded sample
-(`sample`, 8192 fingerprints). Its nodes hold a vantage point and a median distance; its leaves are the shards. A
-fingerprint lives in one shard of each tree. As a query it goes, by the triangle bounds |d - median| <= radius, to each
-shard that its ball overlaps; there it is held against the shard's fingerprints with the exact 64-bit distance. In a
-shard the residents are in memory (about `leaf` of them) and the queries stream past in sorted order.
+leaves far fewer branches open than one tree over 64 bits would. Each tree is built on the driver from a sample that grows
+with the number of shards (at most `sample`, 2**20 fingerprints). Its nodes hold a vantage point and a median distance; its
+leaves are the shards. A fingerprint lives in one shard of each tree. As a query it goes, by the triangle bounds
+|d - median| <= radius, to each shard that its ball overlaps; there it is held against the shard's fingerprints with the
+exact 64-bit distance. In a shard the residents are in memory and the queries stream past in sorted order. A shard of more
+than twice `leaf` residents, as where fingerprints crowd in one ball, or where the sample can't part them any further, is
+cut into slices of about `leaf` residents by hash, which go to tasks of their own; its queries go to each slice.
 
 A shard returns no pairs but a spanning forest of what it linked: at most one link for each resident and query, however
 dense a group is. Connected components are then found by alternating large-star and small-star rounds, joins and
@@ -78,10 +80,10 @@ class VantageTree:
         rng = np.random.default_rng(7)
         held: dict[int, np.ndarray] = {0: sample}
         for i in range(len(self.points)):
-            own = held.pop(i)
+            own, few = held.pop(i), max(4, tries - (i + 1).bit_length())
             if len(own):
                 best = (2.0, 0, 16)
-                for v in own[rng.integers(0, len(own), min(tries, len(own)))]:
+                for v in own[rng.integers(0, len(own), min(few, len(own)))]:
                     d = np.bitwise_count(own ^ v)
                     m = int(np.sort(d)[(len(d) - 1) // 2])
                     # the share of queries in both branches, and how far from even the residents are
@@ -107,6 +109,13 @@ class VantageTree:
         return who, at - len(self.points)
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Spreads each bit over all bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 class Forest:
     """Union-find over the residents of a shard."""
 
@@ -158,25 +167,63 @@ class Shard:
         return self.fp[odd], self.fp[roots[odd]]
 
 
-def similar_links(distinct: DataFrame, radius: int = 3, leaf: int = 4096, sample: int = 8192) -> DataFrame:
+def crowded_shards(distinct: DataFrame, shared, leaf: int) -> dict[int, int]:
+    """The slices of each shard with more than twice `leaf` residents."""
+
+    def count(batches):
+        total: dict[int, int] = {}
+        for b in batches:
+            fp = b.column("fp").to_numpy(zero_copy_only=False)
+            for t, tree in enumerate(shared.value):
+                for at, n in zip(*np.unique(tree.home(_half(fp, t)), return_counts=True), strict=True):
+                    total[int(at) * 2 + t] = total.get(int(at) * 2 + t, 0) + int(n)
+        keys = list(total)
+        for i in range(0, len(keys), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 16)], pa.int64()), pa.array([total[k] for k in keys[i : i + (1 << 16)]], pa.int64())], ["shard", "n"])
+
+    big = distinct.select("fp").mapInArrow(count, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n")).where(F.col("n") > 2 * leaf)
+    return {r["shard"]: -(-r["n"] // leaf) for r in big.collect()}  # at most a row for each 2 * leaf fingerprints
+
+
+SLICES = 20  # bits of a shard's key that number its slices
+
+
+def similar_links(distinct: DataFrame, radius: int = 3, leaf: int = 4096, sample: int = 1 << 20) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp), enough to connect all that differ in <= radius bits."""
     spark, n = distinct.sparkSession, distinct.count()
     levels = max(0, math.ceil(math.log2(max(1, n) / leaf)))
-    some = np.array([r[0] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()], np.int64)
-    trees = [VantageTree(_half(some, t), min(levels, 14), radius // 2) for t in range(2)]
+    levels = min(levels, int(math.log2(sample)) - 3)  # eight of the sample to a leaf; slices do the rest
+    size = min(sample, max(8192, 8 << levels))
+    few = distinct.where(F.xxhash64("fp") < int(min(1.0, 1.5 * size / max(1, n) + 1e-9) * 2**64) - 2**63) if n > 2 * size else distinct
+    some = few.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(size).toArrow().column("fp").to_numpy()
+    trees = [VantageTree(_half(some, t), levels, radius // 2) for t in range(2)]
     shared = spark.sparkContext.broadcast(trees)
+    crowded = spark.sparkContext.broadcast(crowded_shards(distinct, shared, leaf))
 
     def route(batches):
+        slices = crowded.value
+        many = np.array(sorted(slices), np.int64)
         for b in batches:
             fp = b.column("fp").to_numpy(zero_copy_only=False)
+            own = mixed(fp.view(np.uint64))
             for t, tree in enumerate(shared.value):
                 half = _half(fp, t)
                 home = tree.home(half)
                 who, at = tree.visits(half)
-                guest = (home[who] != at).astype(np.int8)
-                for i in range(0, len(who), 1 << 16):
-                    s = slice(i, i + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(at[s] * 2 + t), pa.array(guest[s]), pa.array(fp[who[s]])], ["shard", "guest", "fp"])
+                shard, guest = at * 2 + t, home[who] != at
+                out = [(shard << SLICES, guest, who)]
+                if len(many):
+                    split = np.isin(shard, many)
+                    out = [tuple(x[~split] for x in out[0])]
+                    for s in np.unique(shard[split]):
+                        k, here = slices[int(s)], np.nonzero(shard == s)[0]
+                        lives = np.where(guest[here], -1, (own[who[here]] % np.uint64(k)).astype(np.int64))
+                        for piece in range(k):
+                            out.append((np.full(len(here), (int(s) << SLICES) | piece), lives != piece, who[here]))
+                for keys, g, w in out:
+                    for i in range(0, len(w), 1 << 16):
+                        c = slice(i, i + (1 << 16))
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[c]), pa.array(g[c].astype(np.int8)), pa.array(fp[w[c]])], ["shard", "guest", "fp"])
 
     def search(batches):
         """A partition holds whole shards one after another, each with its residents first."""
@@ -216,7 +263,7 @@ def similar_links(distinct: DataFrame, radius: int = 3, leaf: int = 4096, sample
         if shard is not None:
             yield from emit(shard.links())
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4096, 2 ** (levels + 1)))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 16, 2 ** (levels + 1) + sum(crowded.value.values())))
     routed = distinct.select("fp").mapInArrow(route, "shard long, guest tinyint, fp long")
     return routed.repartition(parts, "shard").sortWithinPartitions("shard", "guest").mapInArrow(search, "a long, b long")
 

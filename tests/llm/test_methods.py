@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from lexmill.llm import ann, bpe, passages, quality, queries, topk
+from lexmill.llm import ann, bpe, passages, quality, queries, simhash, topk
 from lexmill.llm.common import table
 
 from ..oracle import SF, check
@@ -167,3 +167,29 @@ def test_ann_crowds_and_thin_lists(spark):
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert len(got) == 220 and all(len(x) == 5 for x in got.values())
     assert got[0] == [1, 2, 3, 4, 5] and got[100] == [0, 1, 2, 3, 4] and 50 not in got[50]
+
+
+def test_simhash_one_dense_ball(spark):
+    """20,000 fingerprints that no vantage point parts well: slices, and the same links as a plain search."""
+    rng = np.random.default_rng(6)
+    base = np.int64(0x0F0F_3333_5555_7777)
+    fps = np.unique(np.array([base ^ sum(np.int64(1) << np.int64(b) for b in rng.choice(40, rng.integers(0, 7), replace=False)) for _ in range(20_000)], np.int64))
+    df = spark.createDataFrame([(int(x),) for x in fps], "fp long")
+    star = {r.node: r.root for r in simhash.stars(simhash.similar_links(df, 3, leaf=512)).collect()}
+    bits = fps.view(np.uint64)
+    near = [np.nonzero(np.bitwise_count(bits ^ x) <= 3)[0] for x in bits]
+    seen, label = np.zeros(len(fps), bool), np.full(len(fps), -1)
+    for i in range(len(fps)):
+        if not seen[i]:
+            todo, seen[i] = [i], True
+            while todo:
+                j = todo.pop()
+                label[j] = i
+                new = near[j][~seen[near[j]]]
+                seen[new] = True
+                todo += new.tolist()
+    groups: dict[int, set] = {}
+    for f, own in zip(fps.tolist(), label.tolist(), strict=True):
+        groups.setdefault(own, set()).add(star.get(f, f))
+    assert all(len(x) == 1 for x in groups.values()) and len({next(iter(x)) for x in groups.values()}) == len(groups)
+    assert len(fps) > 10_000
