@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="lexmill-")
+        fs, p = _fs(spark, _own_dir[app])
+        fs.deleteOnExit(p)
     return _own_dir[app]
 
 

@@ -13,7 +13,7 @@ which AQE splits where a line is hot.
 
 Null texts stay null. Blank lines and lines under `min_words` words are never boilerplate: they are parts of ordinary
 prose. A null source counts as one site. Rows that repeat a doc_id and text are treated alike (all keep what the first
-keeps). Other columns pass through; empty tables give empty tables.
+keeps). Other columns pass through, whatever their names; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -55,19 +55,20 @@ def boilerplate_lines(lines: DataFrame, min_sites: int, lg_k: int, sigmas: float
 def dedup_lines(
     docs: DataFrame, id_: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 5, min_words: int = 3, keep_first: bool = True, lg_k: int = 12, sigmas: float = 3.0, broadcast_rows: int = 500_000, counts: bool = False
 ) -> DataFrame:
-    """docs without the boilerplate lines; with counts, also n_lines and n_removed."""
-    lines = _lines(docs, id_, text, site, min_words)
+    """docs without the boilerplate lines; with counts, also n_lines and n_removed (columns of these names give way)."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # names that can't clash with those used here
+    docs = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    i, t = names[id_], names[text]
+    lines = _lines(docs, i, t, names[site], min_words)
     found = bounded(boilerplate_lines(lines, min_sites, lg_k, sigmas, broadcast_rows), broadcast_rows)
     hits = lines.join(found, ["__k1", "__k2"])
     if keep_first:
         hits = hits.where(~F.struct("__id", "__th", "__pos").eqNullSafe(F.col("__first")))
     drop = hits.groupBy(F.col("__id").alias("__did"), F.col("__th").alias("__dth")).agg(F.collect_set("__pos").alias("__drop"))
     # texts travel as their lines, split once below the join: an expression above it would be split anew for each line
-    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    out = docs.select(*others, F.col(f"`{id_}`").alias("__id"), F.xxhash64(f"`{text}`").alias("__th"), F.split(f"`{text}`", "\n").alias("__lines"))
+    out = docs.select(*(F.col(n) for n in names.values() if n != t), F.col(i).alias("__id"), F.xxhash64(t).alias("__th"), F.split(t, "\n").alias("__lines"))
     out = out.join(drop, F.col("__id").eqNullSafe(F.col("__did")) & (F.col("__th") == F.col("__dth")), "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop"))
     clean = F.array_join(F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(F.transform(kept, lambda i: F.element_at("__lines", i + 1))), "\n")
     more = {"n_lines": F.coalesce(F.size("__lines"), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("__drop"), F.lit(0)).cast("long")} if counts else {}
-    cols = [clean.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c not in more]
-    return out.select(*cols, *(v.alias(k) for k, v in more.items()))
+    return out.select(*((clean if c == text else F.col(n)).alias(c) for c, n in names.items() if c not in more), *(v.alias(k) for k, v in more.items()))

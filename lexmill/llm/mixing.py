@@ -84,7 +84,8 @@ def thresholds(docs: DataFrame, plan: DataFrame, bits: int = 12, levels: int = 3
         )
     step = 1 << (HASH_BITS - bits * levels)
     nearer = F.col("edge_words") - F.col("rest") < F.col("rest")
-    return state.select("source", "source_size", "target", "copies", F.when(nearer, F.col("low") + step).otherwise(F.col("low")).alias("below"))
+    whole = F.col("copies") * F.col("source_size") >= F.col("target")  # nothing is wanted beyond whole copies, not even empty texts
+    return state.select("source", "source_size", "target", "copies", F.when(whole, F.lit(0).cast("long")).when(nearer, F.col("low") + step).otherwise(F.col("low")).alias("below"))
 
 
 def mix(docs: DataFrame, id_: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, most: float = 3.0, bits: int = 12, levels: int = 3) -> DataFrame:
@@ -100,7 +101,9 @@ def mixed_documents(docs: DataFrame, id_: str = "doc_id", text: str = "text", so
     """docs, each as many times as the mix takes it, without a shuffle of texts: the thresholds alone are joined."""
     rows = stash(docs.select(F.col(f"`{source}`").alias("source"), n_words(text).alias("size"), doc_hash(id_).alias("hash")), "sizes")
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    found = stash(thresholds(rows, stash(plan, "targets"), bits, levels).select(F.col("source").alias("__s"), "copies", "below"), "found")
-    times = F.col("copies") + F.when(doc_hash(id_) < F.col("below"), 1).otherwise(0)
-    out = docs.join(bounded(found, MOST_SOURCES), F.col(f"`{source}`").eqNullSafe(F.col("__s"))).withColumn("__n", F.sequence(F.lit(1), times.cast("int")))
-    return out.where(times > 0).withColumn("__n", F.explode("__n")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    found = stash(thresholds(rows, stash(plan, "targets"), bits, levels).select(F.col("source").alias("__s"), F.col("copies").alias("__copies"), F.col("below").alias("__below")), "found")
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # names that can't clash with those used here
+    times = F.col("__copies") + F.when(F.col("__hash") < F.col("__below"), 1).otherwise(0)
+    out = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), doc_hash(id_).alias("__hash"))
+    out = out.join(bounded(found, MOST_SOURCES), F.col(names[source]).eqNullSafe(F.col("__s"))).withColumn("__n", times)
+    return out.where("__n > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*(F.col(n).alias(c) for c, n in names.items()))

@@ -98,9 +98,10 @@ class DigestArray:
 
 def filter_urls(df: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", default: str = "allow", max_rules: int = 5_000_000) -> DataFrame:
     """df with the columns host, path, rule and verdict (existing columns of these names give way). rules: (verdict,
-    host, path), at most max_rules of them; see filter_urls_joined for more."""
+    host, path); more than max_rules of them are joined as a table."""
     if len(rules) > max_rules:
-        raise ValueError(f"more than {max_rules} rules: use filter_urls_joined")
+        last = {(h, p): v for v, h, p in rules}
+        return filter_urls_joined(df, df.sparkSession.createDataFrame([(v, h, p) for (h, p), v in last.items()], "verdict string, host string, path string"), url, default)
     data = digest_file(rules)
     name = f"urlrules-{hashlib.sha256(data).hexdigest()[:24]}.bin"
     put_file(df.sparkSession, name, data)
@@ -122,7 +123,8 @@ def filter_urls(df: DataFrame, rules: list[tuple[str, str, str]], url: str = "ur
 def filter_urls_joined(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """As filter_urls for rule tables (verdict, host, path) of any size: the candidates of each distinct (host, path) meet
     the rules in a join on the key, and the stored strings confirm. Only the distinct (labels, length) shapes of the
-    rules, which are few, go to the driver."""
+    rules, which are few, go to the driver. Rows of a table have no order: of two verdicts of one rule the greater string holds
+    (block before allow)."""
     text = F.concat("host", "path")
     last = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     shaped = last.select(F.xxhash64(text).alias("__key"), text.alias("rule"), "verdict", F.size(F.split("host", r"\.")).alias("__k"), F.length("path").alias("__n"))
