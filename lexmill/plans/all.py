@@ -1,4 +1,4 @@
 """All query modules; importing this registers them."""
 
-from . import audit, checks, discourse, graph, jobs, lexicon, similarity, text, transcripts  # noqa: F401
+from . import audit, checks, discourse, forms, graph, jobs, lexicon, prompts, similarity, text, transcripts  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
