@@ -33,12 +33,13 @@ def complexity(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_sents, avg_len, long_share, marks, markers, bonus: 0 to 0.35 by sentence length, share of sentences from
     22 words on, clause punctuation and academic markers. Sentences of four words and more count; under three: 0."""
     body = F.split(F.col(text), r"(?i)\n#+\s*(?:Word\s*List|Vocabulary|New\s*Words)", 2)[0]
-    sents = docs.select("doc_id", body.alias("b")).select("doc_id", F.explode(F.split("b", SENTENCE_END)).alias("s"))
-    n_words = F.regexp_count("s", F.lit("[A-Za-z]+"))
-    s = sents.select("doc_id", n_words.alias("n"), F.regexp_count("s", F.lit(r"[,;:()—–-]")).alias("p")).where("n >= 4")
-    s = s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sents"), F.avg("n").alias("avg_len"), F.avg((F.col("n") >= 22).cast("double")).alias("long_share"), F.avg("p").alias("marks"))
-    m = docs.select("doc_id", F.regexp_count(body, F.lit(MARKERS)).alias("m"))
-    j = m.join(s, "doc_id", "left").select("doc_id", F.coalesce("n_sents", F.lit(0)).alias("n_sents"), F.coalesce("avg_len", F.lit(0.0)).alias("avg_len"), F.coalesce("long_share", F.lit(0.0)).alias("long_share"), F.coalesce("marks", F.lit(0.0)).alias("marks"), F.coalesce(F.col("m") / F.col("n_sents") * 10.0, F.lit(0.0)).alias("markers"))
+    counts = F.transform(F.split("b", SENTENCE_END), lambda s: F.struct(F.regexp_count(s, F.lit("[A-Za-z]+")).alias("n"), F.regexp_count(s, F.lit(r"[,;:()—–-]")).alias("p")))
+    # a text's sentences are counted where the text is, without a shuffle
+    s = docs.select("doc_id", body.alias("b")).select("doc_id", F.regexp_count("b", F.lit(MARKERS)).alias("m"), F.filter(counts, lambda x: x["n"] >= 4).alias("s"))
+    total = lambda f: F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + f(x).cast("long"))
+    s = s.select("doc_id", "m", F.coalesce(F.size("s"), F.lit(0)).cast("long").alias("n_sents"), total(lambda x: x["n"]).alias("n"), total(lambda x: x["n"] >= 22).alias("long"), total(lambda x: x["p"]).alias("p"))
+    n_sents = F.when(F.col("n_sents") > 0, F.col("n_sents"))
+    j = s.select("doc_id", "n_sents", *(F.coalesce(x / n_sents, F.lit(0.0)).alias(k) for k, x in (("avg_len", F.col("n")), ("long_share", F.col("long")), ("marks", F.col("p")), ("markers", F.col("m") * 10.0))))
 
     def part(c: str, least: float, base: float, slope: float, most: float) -> Column:
         return F.when(F.col(c) >= least, F.least(F.lit(most), (F.col(c) - base) * slope)).otherwise(0.0)

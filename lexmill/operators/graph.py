@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import kebab  # noqa: F401
+from .quotes import contained
 
 WIKILINK = r"\[\[(.*?)(?:\|.*?)?\]\]"
 HREF = r'<a href="([^"]*)"'
@@ -62,13 +62,15 @@ def question_tokens(question: Column) -> Column:
 
 def route(questions: DataFrame, names: DataFrame, count: int = 3, least: int = 15) -> DataFrame:
     """q_id, name, score, place: the items that a question is about. A token in a name counts 10, a number 20, a type named in
-    the question 5; over `least`; the first `count` by score, then name. Distinct tokens meet names in one join on
-    containment: questions are few, and a token that names nothing makes no row."""
+    the question 5; over `least`; the first `count` by score, then name. Distinct tokens are looked for in
+    each distinct name at once, so no name is held against each token."""
     boost = {"vocabulary": "wiki_vocabulary", "grammar": "wiki_grammar", "summary": "wiki_summaries"}
     q = questions.select("q_id", question_tokens(F.col("question")).alias("ts"))
     t = q.select("q_id", F.explode("ts").alias("t")).groupBy("q_id", "t").agg(F.count(F.lit(1)).alias("n"))
     items = names.select("name", "type").distinct()
-    hit = items.join(F.broadcast(t), F.contains(F.lower("name"), F.col("t"))).groupBy("q_id", "name", "type").agg(F.sum(F.col("n") * F.when(F.col("t").rlike("^[0-9]+$"), 20).otherwise(10)).alias("s"))
+    found = contained(items.select(F.col("name").alias("doc_id"), F.lower("name").alias("text")).distinct(), t.select(F.xxhash64("t").alias("item_id"), F.col("t").alias("quote")).distinct())
+    tokens = found.join(t, F.xxhash64("t") == F.col("item_id")).select(F.col("doc_id").alias("name"), "q_id", "t", "n").where(F.contains(F.lower("name"), F.col("t")))
+    hit = items.join(tokens, "name").groupBy("q_id", "name", "type").agg(F.sum(F.col("n") * F.when(F.col("t").rlike("^[0-9]+$"), 20).otherwise(10)).alias("s"))
     more = sum((F.when(F.array_contains("ts", k) & (F.col("type") == v), 5).otherwise(0) for k, v in boost.items()), F.lit(0))
     s = hit.join(q, "q_id").select("q_id", "name", (F.col("s") + more).alias("score")).where(F.col("score") > least)
     return s.withColumn("place", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "name"))).where(F.col("place") <= count)

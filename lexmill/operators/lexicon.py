@@ -7,8 +7,8 @@ cxn: subcat_group, word, pos, sense_idx (-1: all), zipf, pattern
 trap: word, pos, sense_idx, trap_type, forbidden_frame
 edge: word, relation, other
 
-`from_corpus` derives all of them from a table of documents, by rank and by company; a real lexicon takes their place as
-tables of the same columns. A lookup is a join of needles with a table, ranked where the first of several hits counts.
+`corpus_levels` derives levels from a table of documents, and the queries in `plans` other tables by rank and by company; a
+real lexicon takes their place as tables of the same columns. A lookup is a join of needles with a table, ranked where the first of several hits counts.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def corpus_levels(docs: DataFrame, text: str = "text", least: int = 2) -> DataFr
     ranks = by.select("df", before.alias("before"), F.sum("n").over(Window.partitionBy()).alias("all"))
     share = (F.col("before") + 1) / F.col("all")
     level = F.round(F.greatest(F.lit(1.0), F.least(F.lit(6.0), 6.0 + F.log10(share) * 1.25)), 2)
-    return df.join(F.broadcast(ranks.select("df", level.alias("level"))), "df").select("word", "df", "level")
+    return df.join(ranks.select("df", level.alias("level")), "df").select("word", "df", "level")
 
 
 def headword_candidates(surface: Column) -> Column:

@@ -1 +1 @@
-"""Readers and writers."""
+"""Files of other kinds as tables: subtitles, logs of model calls."""

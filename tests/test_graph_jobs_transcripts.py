@@ -33,6 +33,12 @@ def test_job_stream(spark, tmp_path: Path):
     q.awaitTermination(60)
     got = spark.read.parquet(f"{tmp_path}/out/v=0").select("job_id", "status", "progress")
     assert {tuple(r) for r in got.collect()} == {(1, "done", 100.0), (2, "failed", 20.0), (3, None, None)}
+    more = spark.createDataFrame([(1, "failed", 10.0, dt.datetime(2024, 2, 1), 9)], stream.UPDATES)
+    more.write.mode("append").parquet(f"{tmp_path}/in")
+    stream.keep_states(source, f"{tmp_path}/out", f"{tmp_path}/at", available_now=True).awaitTermination(60)
+    assert spark.read.parquet(f"{tmp_path}/out/v=1").count() == 1  # what changed alone
+    got = stream.read_states(spark, f"{tmp_path}/out").select("job_id", "status", "progress", "n_updates")
+    assert {tuple(r) for r in got.collect()} == {(1, "failed", 100.0, 4), (2, "failed", 20.0, 2), (3, None, None, 1)}
 
 
 def sentences(spark, lines: list[str | None]):
@@ -57,3 +63,30 @@ def test_long_sentences_part_at_commas(spark):
 
 def test_no_lines(spark):
     assert sentences(spark, ["no time", None]) == []
+
+
+def test_subtitles(spark):
+    from lexmill.sources import transcripts as files
+
+    srt = "1\n00:01:02,500 --> 00:01:03,000\nHello there.\nSecond line\n\nbroken\n\n2\nno time\nx\n\n3\n01:00:00.000 --> x\nEnd"
+    vtt = "WEBVTT\n\n00:01.000 --> 00:02.000\n<c>one two</c>\n\nid\n00:02.000 --> 00:03.000\none two\nthree\n\n01:00:03.500 --> 01:00:04.000\nthree\n four  five \n\n00:09.000 --> 00:10.000\n \n"
+    df = spark.createDataFrame([("a", srt), ("n", None), ("e", "")], "file string, text string")
+    assert [(r.file, r.sec, r.text) for r in files.parse_srt(df).orderBy("n").collect()] == [("a", 62.5, "Hello there. Second line"), ("a", 3600.0, "End")]
+    df = spark.createDataFrame([("v", vtt), ("n", None), ("e", "")], "file string, text string")
+    got = files.parse_vtt(df)
+    assert [(r.sec, r.text) for r in got.orderBy("n").collect()] == [(1.0, "one two"), (2.0, "three"), (3603.5, "four five")]
+    assert [r.line for r in files.stamped(got).orderBy("n").collect()] == ["[00:01.00] one two", "[00:02.00] three", "[01:00:03.50] four five"]
+    assert files.parse_vtt(df.limit(0)).count() == files.parse_srt(df.limit(0)).count() == 0
+    lines = "\n\n".join(f"00:0{i}.000 --> 00:0{i}.500\nl{i % 4}" for i in range(9))
+    few = spark.createDataFrame([("v", lines)], "file string, text string")
+    assert files.parse_vtt(few).count() == 4 and files.parse_vtt(few, recent=2).count() == 9
+
+
+def test_logs(spark):
+    from lexmill.sources import logs
+
+    text = "=== TASK: t 1 ===\r\n=== MODEL: m ===\n--- SYSTEM PROMPT ---\nsys\n--- USER PROMPT ---\nuser\n--- CONSOLIDATED ITEM 1\nx\n--- RAW RESPONSE ---\n<think>{</think> so ```json\n{\"a\": 1}\n``` done\n=== END OF LOG ==="
+    got = logs.parse_logs(spark.createDataFrame([("a", text), ("b", "=== TASK: x ==="), ("c", None)], "log_name string, text string")).collect()
+    assert len(got) == 1
+    r = got[0]
+    assert (r.task, r.model, r.status, r.timestamp, r.failure_category, r.system_prompt, r.user_prompt, r.response_json) == ("t 1", "m", "SUCCESS", "", None, "sys", "user", '{"a": 1}')
