@@ -21,7 +21,7 @@ def bounded_distance(a: Column, b: Column) -> Column:
     return F.when(d < 0, F.lit(FAR)).otherwise(d)
 
 
-LONGEST = 32  # letters up to which prefixes are compared without a loop
+LONGEST = 20  # letters up to which prefixes are compared without a loop
 
 
 def common_prefix(a: Column, b: Column) -> Column:

@@ -23,39 +23,55 @@ def sounded(words: DataFrame) -> DataFrame:
 
 
 def blocks(s: DataFrame) -> DataFrame:
-    """A row for each block of a word: first and second letter, consonant skeleton, rhyme, ending. Letter blocks hold the
-    length as well, with its neighbours, so that a frequent letter isn't one group and pairs stay within three letters."""
+    """A row for each block of a word: first and second letter, consonant skeleton, rhyme, ending. Each block holds the length
+    as well, and a word asks for the lengths within what a hit may differ by, so that a frequent letter or ending isn't one
+    group and pairs that can't be hits don't arise."""
     w, n = F.col("word"), F.length("word")
-    near = F.transform(F.sequence(n - 3, n + 3), lambda k: k.cast("string"))
-    own = [F.when(F.length("skel") >= 3, F.concat(F.lit("k:"), "skel")), F.when(F.length("rhyme") >= 3, F.concat(F.lit("r:"), "rhyme")), F.when(n >= 6, F.concat(F.lit("e:"), F.substring(w, n - 3, F.lit(4)))), *(F.when(F.endswith(w, F.lit(x)) & (n >= len(x) + 2), F.lit(f"a:{x}")) for x in SCHOLARLY)]
-    letters = F.concat(F.transform(near, lambda k: F.concat(F.lit("1:"), F.substring(w, F.lit(1), F.lit(3)), F.lit(":"), k)), F.transform(near, lambda k: F.concat(F.lit("2:"), F.substring(w, F.lit(2), F.lit(3)), F.lit(":"), k)))
-    exact = F.array(F.concat(F.lit("1:"), F.substring(w, F.lit(1), F.lit(3)), F.lit(":"), n.cast("string")), F.concat(F.lit("2:"), F.substring(w, F.lit(2), F.lit(3)), F.lit(":"), n.cast("string")))
-    named = F.array_compact(F.array(*own))
-    return s.withColumn("ask", F.concat(named, letters)).withColumn("has", F.concat(named, exact))
+    named = [(F.when(F.length("skel") >= 3, F.concat(F.lit("k:"), "skel")), 2), (F.when(F.length("rhyme") >= 3, F.concat(F.lit("r:"), "rhyme")), 3), (F.when(n >= 6, F.concat(F.lit("e:"), F.substring(w, n - 3, F.lit(4)))), 3)]
+    named += [(F.when(F.endswith(w, F.lit(x)) & (n >= len(x) + 2), F.lit(f"a:{x}")), 4) for x in SCHOLARLY]
+    named += [(F.concat(F.lit(f"{i}:"), F.substring(w, F.lit(i), F.lit(3))), 3) for i in (1, 2)]
 
+    def keyed(c: Column, gap: int) -> Column:
+        return F.when(c.isNotNull(), F.transform(F.sequence(n - gap, n + gap), lambda k: F.concat(c, F.lit(":"), k.cast("string"))))
 
-def lookalike_score(t: dict[str, Column], c: dict[str, Column]) -> tuple[Column, Column]:
-    """(is a look-alike, score) of a target and a candidate: edit distance, common ends, sound."""
+    ask = F.flatten(F.array_compact(F.array(*(keyed(c, gap) for c, gap in named))))
+    has = F.array_compact(F.array(*(F.concat(c, F.lit(":"), n.cast("string")) for c, _ in named)))
+    return s.withColumn("ask", ask).withColumn("has", has)
+
+
+#: What counts for how much in the score of a look-alike.
+NEAR, CLOSE, PREFIX, SUFFIX, GAP, SKELETON, SAME_BEAT, RHYME, CONTAINED, LEARNED, LEARNED_BEAT = 45, 26, 4, 2, 2, 18, 14, 12, 30, 44, 4
+
+
+def compared(t: dict[str, Column], c: dict[str, Column]) -> Column:
+    """What the score of a pair needs, as a struct: edit distance, common ends, difference in length, sound."""
     a, b = t["word"], c["word"]
     gap = F.abs(F.length(a) - F.length(b))
-    pref, suff, d = S.common_prefix(a, b), S.common_prefix(t["back"], c["back"]), S.bounded_distance(a, b)
-    skel = (t["skel"] != "") & (t["skel"] == c["skel"]) & (gap <= 2)
-    contains = (F.least(F.length(a), F.length(b)) >= 5) & (gap <= 3) & (F.endswith(a, b) | F.endswith(b, a)) & (t["rhyme"] == c["rhyme"])
-    rhyme = ((F.length(t["rhyme"]) >= 3) & (t["rhyme"] == c["rhyme"]) & (d <= 2)) | contains
     scholarly = F.lit(False)
     for x in SCHOLARLY:
         scholarly = scholarly | (F.endswith(a, F.lit(x)) & F.endswith(b, F.lit(x)))
-    scholarly = scholarly & (F.abs(t["syl"] - c["syl"]) <= 2)
-    hit = (d <= 2) | skel | rhyme | scholarly | ((pref >= 4) & (F.length(a) >= 6) & (gap <= 3)) | ((pref >= 3) & (suff >= 2))
+    return F.struct(
+        gap.alias("gap"), S.common_prefix(a, b).alias("pref"), S.common_prefix(t["back"], c["back"]).alias("suff"), S.bounded_distance(a, b).alias("d"), F.length(a).alias("n"),
+        ((t["skel"] != "") & (t["skel"] == c["skel"]) & (gap <= 2)).alias("skel"),
+        ((F.least(F.length(a), F.length(b)) >= 5) & (gap <= 3) & (F.endswith(a, b) | F.endswith(b, a)) & (t["rhyme"] == c["rhyme"])).alias("contains"),
+        ((F.length(t["rhyme"]) >= 3) & (t["rhyme"] == c["rhyme"])).alias("rhyme"), F.abs(t["syl"] - c["syl"]).alias("beats"), (scholarly & (F.abs(t["syl"] - c["syl"]) <= 2)).alias("scholarly"),
+    )
+
+
+def lookalike_score(m: str) -> tuple[Column, Column]:
+    """(is a look-alike, score) of a pair from what `compared` says, in column m."""
+    gap, pref, suff, d, n, skel, contains, rhyme, beats, scholarly = (F.col(f"{m}.{k}") for k in ("gap", "pref", "suff", "d", "n", "skel", "contains", "rhyme", "beats", "scholarly"))
+    rhymes = (rhyme & (d <= 2)) | contains
+    hit = (d <= 2) | skel | rhymes | scholarly | ((pref >= 4) & (n >= 6) & (gap <= 3)) | ((pref >= 3) & (suff >= 2))
     score = (
-        F.when(d == 1, 45).when(d == 2, 26).otherwise(0)
-        + pref * 4
-        + suff * 2
-        - F.when(scholarly, 0).otherwise(gap * 2)
-        + F.when(skel & (d <= 2), 18).when(skel & (t["syl"] == c["syl"]), 14).otherwise(0)
-        + F.when(rhyme & (t["syl"] == c["syl"]), 12).otherwise(0)
-        + F.when(contains, 30).otherwise(0)
-        + F.when(scholarly, 44 + F.when(F.abs(t["syl"] - c["syl"]) <= 1, 4).otherwise(0)).otherwise(0)
+        F.when(d == 1, NEAR).when(d == 2, CLOSE).otherwise(0)
+        + pref * PREFIX
+        + suff * SUFFIX
+        - F.when(scholarly, 0).otherwise(gap * GAP)
+        + F.when(skel & (d <= 2), SKELETON).when(skel & (beats == 0), SAME_BEAT).otherwise(0)
+        + F.when(rhymes & (beats == 0), RHYME).otherwise(0)
+        + F.when(contains, CONTAINED).otherwise(0)
+        + F.when(scholarly, LEARNED + F.when(beats <= 1, LEARNED_BEAT).otherwise(0)).otherwise(0)
     )
     return hit & (gap <= F.when(scholarly, 4).otherwise(3)), score
 
@@ -71,8 +87,10 @@ def lookalikes(targets: DataFrame, pool: DataFrame, count: int = 3) -> DataFrame
     parts = ("word", "back", "skel", "rhyme", "syl")
     of = [d.withColumn("back", F.reverse("word")).select(F.col("word").alias(k), F.struct(*parts).alias(f"{k}s")) for d, k in ((own, "t"), (every, "c"))]
     pairs = pairs.join(of[0], "t").join(of[1], "c")
-    hit, score = lookalike_score({k: F.col(f"ts.{k}") for k in parts}, {k: F.col(f"cs.{k}") for k in parts})
-    scored = pairs.where(hit).select(F.col("t").alias("target"), F.col("c").alias("word"), score.alias("score"))
+    # exploded, so that the comparisons of a pair are made once and not for each place where the score uses them
+    m = F.explode(F.array(compared({k: F.col(f"ts.{k}") for k in parts}, {k: F.col(f"cs.{k}") for k in parts}))).alias("m")
+    hit, score = lookalike_score("m")
+    scored = pairs.select("t", "c", m).where(hit).select(F.col("t").alias("target"), F.col("c").alias("word"), score.alias("score"))
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("score"), "word"))).where(F.col("place") <= count)
 
 
