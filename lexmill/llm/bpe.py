@@ -1,14 +1,15 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
 A text of more than `chunk` + `overlap` characters is cut into chunks of `chunk` characters, each followed by `overlap`
-characters of the next, and the chunks become rows that are dealt to all tasks. Every chunk is pre-tokenised by itself, from
+characters of the next. The chunks of a text of more than `spread` characters become rows that are dealt to all tasks;
+those of a shorter one, a fraction of a second's work, are read where the text stands. Every chunk is pre-tokenised by itself, from
 its own first character, which may lie within a pre-token, and its pre-tokens are encoded, each by itself; a bounded cache
 holds those that are frequent. A row per chunk then goes to its document, in order: its ids, and its pre-token boundaries
 within the two overlaps. Where two neighbours overlap, the first place that is a boundary in both is the stitch: the pattern
 looks at nothing before a match, so from a common boundary on both go the same way. The left chunk's ids count up to the
 stitch, the right one's from there on. (A chunk's last boundary is not used: the pattern looks one character ahead.) If an
-overlap has no common boundary, as within a word of thousands of letters, that document is read in one piece. Shorter texts
-are encoded where they stand, without a shuffle. Decoding concatenates the bytes of the ids.
+overlap has no common boundary, as within a word of thousands of letters, that document is read in one piece. Decoding
+concatenates the bytes of the ids.
 
 The rank file is read on the driver and broadcast (under 1 MB here; refused above `MAX_RANKS` bytes). Null texts are
 empty; empty texts have no ids. Rows that repeat are encoded one by one. Lone surrogates can't occur in Spark strings.
@@ -110,7 +111,7 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))
 
 
-def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, id_: str = "doc_id", text: str = "text", ids: bool = True, digests: bool = False, chunk: int = 1 << 15, overlap: int = 256) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, id_: str = "doc_id", text: str = "text", ids: bool = True, digests: bool = False, chunk: int = 1 << 15, overlap: int = 256, spread: int = 1 << 18) -> DataFrame:
     """doc_id, n_tokens and, as asked for, ids (array of ints) or ids_sha256 and decoded_sha256."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(ranks)
@@ -172,7 +173,7 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, id_: str = "do
                 yield result(codec, part.column("doc_id"), [got])
 
     src = docs.select(F.col(f"`{id_}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("__t"))
-    is_long = F.coalesce(F.length("__t") > chunk + overlap, F.lit(False))
+    is_long = F.coalesce(F.length("__t") > max(spread, chunk + overlap), F.lit(False))
     long_ = stash(src.where(is_long).withColumn("__k", F.monotonically_increasing_id()), "long")
     short = src.where(~is_long).mapInArrow(whole, schema)
     if long_.isEmpty():
