@@ -1,14 +1,22 @@
-"""Near copies by word shingles: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near copies: SimHash near-dedup for documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 Words are those of `simhash`: A-Z lower-cased, parted by ASCII blanks. Texts under k words are one shingle; null and
 wordless texts have the empty set and are copies of one another. A shingle is a 64-bit hash.
 
-Documents of equal sets link to the one of smallest doc_id, which alone goes on. Candidates are pairs that agree in all
-ROWS MinHash values of one of BANDS bands: a pair of similarity s is missed with a chance of (1 - s**4)**32, which is 5e-8
-at 0.8 and less above. Each candidate is confirmed by its exact similarity before it links. First each document of a bucket
-is held against the bucket's smallest doc_id; then, in buckets that are not one component yet, all pairs of different
-components. So a dense group takes as many confirmations as it has members, and no link is lost. Components are those of
-`simhash.stars`. Rows that repeat a doc_id are one document with the links of all its rows.
+Documents of equal sets link to the one of smallest doc_id, which alone goes on. Candidates come from two searches. The
+vantage-point trees of `simhash` find fingerprints (of k-word shingles) within `radius` bits. At a similarity of 0.8 these
+differ in some ten of 64 bits, beyond what trees can prune, so MinHash finds the rest: pairs that agree in all ROWS MinHash
+values of one of BANDS bands; a pair of similarity s is missed with a chance of (1 - s**4)**32, which is 5e-8 at 0.8.
+
+A candidate pair goes on if at least LEAST_EQUAL of one byte each of all 128 MinHash values are equal (under 1e-5 of pairs of
+similarity 0.8 fail that, hardly any below 0.55 pass), and links if its exact similarity is high enough. Candidates are
+taken in three turns, each without the pairs that earlier ones connected: what the trees found, and each document with the
+smallest doc_id of all its buckets; each document with the smallest doc_id of each bucket; pairs of different components
+within a bucket, where the byte test is part of the join, so that a dense bucket makes no row for each pair. Components are
+those of `simhash.stars`.
+
+Rows that repeat a doc_id are one document with the links of all its rows. Rows with a null doc_id stay. Empty tables give
+empty tables; columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -16,23 +24,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, stash, text_slices
-from .simhash import stars
+from .simhash import fingerprint, mixed, similar_links, stars
 
 BANDS, ROWS = 32, 4
 _rng = np.random.default_rng(11)
 TURNS, ADDS = _rng.integers(0, 2**63, BANDS * ROWS, np.uint64) | np.uint64(1), _rng.integers(0, 2**63, BANDS * ROWS, np.uint64)
 PIECE = 1 << 10
 STEP = 256  # rows that leave a Python worker at once
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+LEAST_EQUAL = 82  # of 128 bytes; 102.5 are expected at a similarity of 0.8, give or take 4.5
+LONGS = BANDS * ROWS // 8
 
 
 def shingles(text: bytes | None, k: int = 5) -> np.ndarray:
@@ -48,19 +52,36 @@ def shingles(text: bytes | None, k: int = 5) -> np.ndarray:
     return np.unique(out)
 
 
-def bands(s: np.ndarray) -> np.ndarray:
-    """One hash for each band of a set's MinHash values."""
+def minima(s: np.ndarray) -> np.ndarray:
+    """The MinHash values of a set."""
     low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
     for i in range(0, len(s), PIECE):
         x = s[i : i + PIECE, None] * TURNS
         x += ADDS
         np.minimum(low, x.min(0), out=low)
+    return low
+
+
+def bands(low: np.ndarray) -> np.ndarray:
+    """One hash for each band of MinHash values."""
     out = np.arange(BANDS, dtype=np.uint64)
     for r in range(ROWS):
         out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + low[r::ROWS])
     return out
 
 
+def alike(a: str, b: str) -> Column:
+    """Whether enough bytes of two signatures (arrays of longs) are equal: of a byte's bits some is set in the exclusive or if
+    they differ."""
+    equal = F.lit(0)
+    for i in range(LONGS):
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        for n in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, n))
+        equal = equal + 8 - F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return equal >= LEAST_EQUAL
+
+
 def _steps(batches):
     for b in batches:
         for i in range(0, b.num_rows, STEP):
@@ -72,15 +93,19 @@ def _texts(docs: DataFrame, id_: str, text: str) -> DataFrame:
 
 
 def signatures(docs: DataFrame, id_: str, text: str, k: int) -> DataFrame:
-    """doc_id, key (of the whole set), bands (none for an empty set)."""
+    """doc_id, key (of the whole set), fp (fingerprint), bands and sig (none for an empty set)."""
 
     def run(batches):
         for b in _steps(batches):
-            sets = [shingles(t, k) for _, t in text_slices(b, "__t")]
+            texts = [t for _, t in text_slices(b, "__t")]
+            sets = [shingles(t, k) for t in texts]
+            lows = [minima(s) if len(s) else None for s in sets]
             keys = pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), keys, pa.array([bands(s).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64()))], ["doc_id", "key", "bands"])
+            fps = np.fromiter((fingerprint(t, k) for t in texts), np.uint64, len(texts)).view(np.int64)
+            of = lambda f: pa.array([[] if x is None else f(x).view(np.int64) for x in lows], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), keys, pa.array(fps), of(bands), of(lambda x: mixed(x).astype(np.uint8))], ["doc_id", "key", "fp", "bands", "sig"])
 
-    return _texts(docs, id_, text).mapInArrow(run, "doc_id long, key binary, bands array<long>")
+    return _texts(docs, id_, text).mapInArrow(run, "doc_id long, key binary, fp long, bands array<long>, sig array<long>")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, id_: str, text: str, k: int, least: float) -> DataFrame:
@@ -107,28 +132,54 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_: str, text: str, k: int, le
     return both.select("a", "b", "s", "t").mapInArrow(compare, "a long, b long")
 
 
-def near_links(docs: DataFrame, id_: str = "doc_id", text: str = "text", k: int = 5, least: float = 0.8) -> DataFrame:
+def near_links(docs: DataFrame, id_: str = "doc_id", text: str = "text", k: int = 5, least: float = 0.8, radius: int = 3) -> DataFrame:
     """Links (a, b) between doc_ids, enough to connect all near copies."""
     signed = stash(signatures(docs, id_, text, k), "signatures")
     reps = signed.groupBy("key").agg(F.min("doc_id").alias("rep"))
     same = signed.select("doc_id", "key").join(reps, "key").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    first = signed.join(reps, (signed["key"] == reps["key"]) & (signed["doc_id"] == reps["rep"]), "left_semi")
+    first = stash(signed.join(reps, (signed["key"] == reps["key"]) & (signed["doc_id"] == reps["rep"]), "left_semi").where("size(bands) > 0").dropDuplicates(["doc_id", "key"]), "first")
+    sigs = first.select("doc_id", "sig")
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        """The pairs that pass the byte test, confirmed."""
+        both = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
+        passed = stash(both.where(alike("sa", "sb")).select("a", "b").distinct(), "pairs")
+        return stash(confirmed(passed, docs, id_, text, k, least), "near")
+
+    def joined(d: DataFrame, of: str, root: str, roots: DataFrame) -> DataFrame:
+        """d with the root of column `of`; itself where it has no links."""
+        return d.join(roots.withColumnRenamed("root", "__r"), d[of] == roots["node"], "left").withColumn(root, F.coalesce("__r", of)).drop("node", "__r")
+
+    prints = stash(first.groupBy("fp").agg(F.min("doc_id").alias("rep")), "prints")
+    crowd = first.select("doc_id", "fp").join(prints, "fp").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    trees = stash(similar_links(prints.select("fp"), radius), "trees")
+    trees = trees.join(prints.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+
     entries = first.select("doc_id", F.explode("bands").alias("h")).distinct()
     lows = entries.groupBy("h").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
     held = stash(entries.join(lows.drop("n"), "h"), "buckets")
-    pairs = stash(held.where("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct(), "pairs")
-    links = stash(confirmed(pairs, docs, id_, text, k, least), "near")
-    roots = stars(links)
-    named = held.join(roots, held["doc_id"] == roots["node"], "left").select("h", "doc_id", "low", F.coalesce("root", "doc_id").alias("root"))
+    lowest = held.groupBy("doc_id").agg(F.min("low").alias("b")).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+    one = tested(crowd.unionByName(trees).unionByName(lowest).where("a <> b").distinct())
+    roots = stars(one)
+
+    rest = joined(joined(held.where("doc_id <> low"), "doc_id", "ra", roots), "low", "rb", roots).where("ra <> rb")
+    two = tested(rest.select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct())
+    roots = stars(one.unionByName(two))
+
+    named = joined(held, "doc_id", "root", roots)
     open_ = named.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y AND n > 2").select("h")
-    named = stash(named.join(open_, "h", "left_semi"), "open")
-    x, y = (named.select("h", F.col("doc_id").alias(d), F.col("root").alias(f"r{d}"), F.col("low").alias(f"l{d}")) for d in "ab")
-    rest = stash(x.join(y, "h").where("a > b AND ra <> rb AND b <> lb").select("a", "b").distinct(), "pairs")
-    return links.unionByName(confirmed(rest, docs, id_, text, k, least)).unionByName(same)
+    named = stash(named.join(open_, "h", "left_semi").join(sigs, "doc_id"), "open")
+    x, y = (named.select("h", F.col("doc_id").alias(d), F.col("root").alias(f"r{d}"), F.col("low").alias(f"l{d}"), F.col("sig").alias(f"s{d}")) for d in "ab")
+    rest = stash(x.join(y, (x["h"] == y["h"]) & (F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & (F.col("b") != F.col("lb")) & alike("sa", "sb")).select("a", "b").distinct(), "pairs")
+    three = stash(confirmed(rest, docs, id_, text, k, least), "near")
+    return one.unionByName(two).unionByName(three).unionByName(same)
 
 
-def drop_near_copies(docs: DataFrame, id_: str = "doc_id", text: str = "text", k: int = 5, least: float = 0.8, broadcast_rows: int = 4_000_000) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_: str = "doc_id", text: str = "text", k: int = 5, least: float = 0.8, radius: int = 3, broadcast_rows: int = 4_000_000) -> DataFrame:
     """docs with one document, the one of smallest doc_id, of each component."""
-    gone = stars(near_links(docs, id_, text, k, least)).select("node").distinct()
+    gone = stars(near_links(docs, id_, text, k, least, radius)).select(F.col("node").alias("__gone")).distinct()
     gone = bounded(stash(gone, "duplicates"), broadcast_rows)
-    return docs.join(gone, docs[id_].cast("long") == gone["node"], "left_anti")
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    inner = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    left = inner.join(gone, F.col(names[id_]).cast("long") == F.col("__gone"), "left_anti")
+    return left.select(*(F.col(n).alias(c) for c, n in names.items()))

@@ -74,7 +74,9 @@ def test_bpe_long_texts_over_tasks(spark):
     lib = bpe.Codec(ranks, pattern).bpe
     docs = [(1, "the quick brown fox 123's " * 40_000), (2, "a" * 200_000), (3, None), (4, ""), (1, "short"), (None, "x y\n" * 30_000), (7, "x y\n" * 30_000)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
+    every = bpe.encode_documents(df, ranks, pattern, spread=0)
     coded = bpe.encode_documents(df, ranks, pattern)
+    assert sorted(map(str, every.collect())) == sorted(map(str, coded.collect()))
     assert sorted((str(r.doc_id), list(r.ids)) for r in coded.collect()) == sorted((str(i), lib.encode_ordinary(t or "")) for i, t in docs)
     back = bpe.decode_documents(coded, ranks, pattern)
     assert sorted((str(r.doc_id), bytes(r.decoded)) for r in back.collect()) == sorted((str(i), (t or "").encode()) for i, t in docs)
