@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, lines, mixing, passages, quality, simhash, topk, toxicity, urls
+from . import ann, bpe, infill, lines, merkle, mixing, passages, prefixes, quality, simhash, topk, toxicity, urls
 from .common import table
 from .labels import held_out
 
@@ -71,13 +71,35 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, model).select("doc_id", F.coalesce(held_out("doc_id", 5, 0), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    proofs = merkle.Manifest(docs, merkle.even_crc(F.col("doc_id"))).proofs()
+    return proofs.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    spec = prefixes.read_spec(public_tokenizers.path("word_bpe_49k.json"))
+    return prefixes.count_tokens(table(spark, sf_dir, "documents"), spec, limit=2048)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_line_dedup, op3_simhash, op4_bpe, op5_topk, op6_mixing, op7_ann, op8_substring_dedup, op9_toxicity, op10_quality)}
+    return {f.__name__: f for f in (op1_url_filters, op2_line_dedup, op3_simhash, op4_bpe, op5_topk, op6_mixing, op7_ann, op8_substring_dedup, op9_toxicity, op10_quality, op11_merkle, op12_infill, op13_prefix_counts)}
 
 
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 
+#: The CRC-32 of an id's digits: a bit at a time, the reflected polynomial.
+CRC32 = """xor(4294967295, list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+                        lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filters": """
@@ -123,4 +145,33 @@ def oracle_sql() -> dict[str, str]:
             x AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d WHERE len(ws) > 0),
             y AS (SELECT x.doc_id, count(*) AS n, count(g.i) AS gone, coalesce(string_agg(word, ' ' ORDER BY x.i) FILTER (g.i IS NULL), '') AS kept FROM x LEFT JOIN g ON x.doc_id = g.doc_id AND x.i = g.i GROUP BY x.doc_id)
             SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN y ON d.doc_id = y.doc_id""",
+        "op11_merkle": rf"""
+            WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, source, text,
+                    sha256(concat_ws('', x.doc, x.src, x.lng, x.chr, coalesce(octet_length(encode(text)) || ':' || text, '-'))) AS leaf,
+                    CASE WHEN tamper THEN sha256(concat_ws('', x.doc, x.src, x.lng, x.chr, coalesce(octet_length(encode(replace(text, chr(10), ''))) || ':' || replace(text, chr(10), ''), '-'))) END AS changed
+                FROM (SELECT *, {{'doc': coalesce(length(doc_id::VARCHAR) || ':' || doc_id, '-'), 'src': coalesce(octet_length(encode(source)) || ':' || source, '-'), 'lng': coalesce(octet_length(encode(lang)) || ':' || lang, '-'), 'chr': coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-')}} AS x,
+                    coalesce({CRC32} % 2 = 0, false) AS tamper FROM documents)),
+            p AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM d),
+            up AS (SELECT tree, 0 AS level, idx, leaf AS h, count(*) OVER (PARTITION BY tree) AS size FROM p
+                UNION ALL SELECT tree, level + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (any_value(size) + 2) // 3 FROM up WHERE size > 1 GROUP BY tree, level, idx // 3),
+            tops AS (SELECT tree, h AS subroot, level AS top FROM up WHERE size = 1),
+            above AS (SELECT 0 AS level, row_number() OVER (ORDER BY tree) - 1 AS idx, subroot AS h, count(*) OVER () AS size FROM tops
+                UNION ALL SELECT level + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (any_value(size) + 2) // 3 FROM above WHERE size > 1 GROUP BY level, idx // 3),
+            nodes AS (SELECT tree, level, idx, h FROM up WHERE size > 1 UNION ALL SELECT t.tree, 1000 + a.level, a.idx, a.h FROM above a, (SELECT -1 AS tree) t WHERE size > 1),
+            runs AS (SELECT tree, level, idx, coalesce(string_agg(h, '' ORDER BY idx) OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before, coalesce(string_agg(h, '' ORDER BY idx) OVER (b ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+                FROM nodes WINDOW b AS (PARTITION BY tree, level, idx // 3 ORDER BY idx)),
+            down AS (SELECT r, p.tree, 0 AS level, idx, coalesce(changed, leaf) AS h, '' AS proof, subroot, p.tree - 1 AS at_top, false AS done, top FROM p JOIN tops USING (tree)
+                UNION ALL SELECT r, CASE WHEN level = top THEN -1 ELSE w.tree END, CASE WHEN level = top THEN 1000 ELSE level + 1 END, CASE WHEN level = top THEN at_top ELSE w.idx // 3 END,
+                    CASE WHEN level = top THEN w.h WHEN n.before IS NULL THEN w.h ELSE sha256(n.before || w.h || n.after) END, CASE WHEN level = top THEN proof WHEN n.before IS NULL THEN proof ELSE proof || n.before || n.after END, subroot, at_top,
+                    level <> top AND n.before IS NULL, CASE WHEN level = top THEN -1 ELSE top END
+                FROM (SELECT *, CASE WHEN level = top THEN -2 ELSE tree END AS k FROM down) w LEFT JOIN (SELECT tree AS k, level AS l, idx AS i, before, after FROM runs) n ON n.k = w.k AND n.l = w.level AND n.i = w.idx WHERE NOT done)
+            SELECT doc_id, leaf, subroot, a.h AS root, sha256(proof) AS proof_sha256, w.h AS folded_root, w.h = a.h AS verified FROM down w JOIN p USING (r), above a WHERE w.done AND a.size = 1""",
+        "op12_infill": r"""
+            WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+            g AS (SELECT *, len(u) AS n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::BIGINT) AS x FROM d),
+            c AS (SELECT *, least(x[1] % (n + 1), x[2] % (n + 1)) AS i, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS j,
+                CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR x[3] % 100 >= 50 THEN 'plain' WHEN x[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM g),
+            s AS (SELECT *, array_to_string(u[1 : i], '') AS p, array_to_string(u[i + 1 : j], '') AS m, array_to_string(u[j + 1 : n], '') AS e FROM c)
+            SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+                sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || e || '<M>' || m ELSE '<S>' || e || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM s""",
     }
