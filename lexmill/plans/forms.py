@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import forms as V
+from ..functions import irregular as R
 from .lexicon import LEVELS, levels
 from .registry import query
 
@@ -13,13 +14,19 @@ def listed(words) -> str:
     return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
-IN_Y = "(regexp_matches(w, '[^aeiou]y$') AND length(w) > 2)"
-DOUBLES = f"(regexp_matches(w, '{V.DOUBLING}') AND length(w) BETWEEN 3 AND 8)"
-PAST = f"CASE WHEN w LIKE '%ie' THEN w[:-3] || 'ied' WHEN {IN_Y} THEN w[:-2] || 'ied' WHEN w LIKE '%e' THEN w || 'd' WHEN {DOUBLES} THEN w || w[-1] || 'ed' ELSE w || 'ed' END"
-ING = f"CASE WHEN w LIKE '%ie' THEN w[:-3] || 'ying' WHEN regexp_matches(w, '(ee|oe|ye)$') THEN w || 'ing' WHEN w LIKE '%e' AND length(w) > 2 THEN w[:-2] || 'ing' WHEN {DOUBLES} THEN w || w[-1] || 'ing' ELSE w || 'ing' END"
-THIRD = f"CASE WHEN regexp_matches(w, '(s|x|z|ch|sh)$') OR w IN {listed(V.VERBS_OES)} THEN w || 'es' WHEN {IN_Y} THEN w[:-2] || 'ies' ELSE w || 's' END"
+IN_Y = "(regexp_matches(b, '[^aeiou]y$') AND length(b) > 2)"
+DOUBLES = f"((regexp_matches(b, '{V.DOUBLING}') AND length(b) BETWEEN 3 AND 8) OR b IN {listed(R.DOUBLED)})"
+PAST = f"CASE WHEN b LIKE '%ie' THEN b[:-3] || 'ied' WHEN {IN_Y} THEN b[:-2] || 'ied' WHEN b LIKE '%e' THEN b || 'd' WHEN {DOUBLES} THEN b || b[-1] || 'ed' ELSE b || 'ed' END"
+ING = f"CASE WHEN b LIKE '%ie' THEN b[:-3] || 'ying' WHEN regexp_matches(b, '(ee|oe|ye)$') THEN b || 'ing' WHEN b LIKE '%e' AND length(b) > 2 THEN b[:-2] || 'ing' WHEN {DOUBLES} THEN b || b[-1] || 'ing' ELSE b || 'ing' END"
+THIRD = f"CASE WHEN regexp_matches(b, '(s|x|z|ch|sh)$') OR b IN {listed(V.VERBS_OES)} THEN b || 'es' WHEN {IN_Y} THEN b[:-2] || 'ies' ELSE b || 's' END"
+#: Irregular verbs as a table, their surfaces, and the verbs with a prefix before one; then bases with their four forms.
+VERB_SQL = f"""irr(b, vbd, vbn, vbg, vbz) AS (VALUES {", ".join(f"('{b}', {', '.join(map(repr, fs))})" for b, fs in R.IRREGULAR.items())}),
+    surf AS (SELECT s, arg_min(b, n) AS b FROM (SELECT b, unnest([vbd, vbn, vbg, vbz]) AS s, row_number() OVER () AS n FROM irr) WHERE s NOT IN (SELECT b FROM irr) AND s NOT IN {listed(R.BASES)} GROUP BY s),
+    pre AS (SELECT unnest({list(R.PREFIXES)}) AS p, unnest(range({len(R.PREFIXES)})) AS n), bw AS (SELECT w, coalesce(surf.b, w) AS b FROM ex LEFT JOIN surf ON surf.s = w),
+    px AS (SELECT x.b AS b, arg_min(p || irr.vbd, n) AS vbd, arg_min(p || irr.vbn, n) AS vbn, arg_min(p || irr.vbg, n) AS vbg, arg_min(p || irr.vbz, n) AS vbz FROM (SELECT DISTINCT b FROM bw) x JOIN pre ON starts_with(x.b, p) AND length(x.b) > length(p) + 2 JOIN irr ON irr.b = x.b[length(p) + 1:] GROUP BY x.b),
+    vf AS (SELECT w, b, coalesce(irr.vbd, px.vbd, {PAST}) AS vbd, coalesce(irr.vbn, px.vbn, {PAST}) AS vbn, coalesce(irr.vbg, px.vbg, {ING}) AS vbg, coalesce(irr.vbz, px.vbz, {THIRD}) AS vbz FROM bw LEFT JOIN irr USING (b) LEFT JOIN px USING (b))"""
 #: The corpus' words, and words that rules single out.
-EXTRA = ("die", "stop", "lean", "carry", "agree", "go", "box", "tie", "colour", "organise", "analyse", "travelled", "centre", "catalogue", "defence", "hotter", "happiest", "nicer", "larger", "better", "child", "leaf", "wife", "series", "hero", "four", "fulfil", "programme", "filled", "skilful")
+EXTRA = ("die", "stop", "lean", "carry", "agree", "go", "box", "tie", "colour", "organise", "analyse", "travelled", "centre", "catalogue", "defence", "hotter", "happiest", "nicer", "larger", "better", "child", "leaf", "wife", "series", "hero", "four", "fulfil", "programme", "filled", "skilful", "break", "went", "taken", "prefer", "admit", "quiz", "overtake", "withdraw", "rebuild", "found", "saw", "visit", "lay", "control", "led", "mistake")
 POOL = f"{LEVELS}, ex AS (SELECT word AS w FROM levels UNION SELECT unnest([{', '.join(repr(x) for x in EXTRA)}]))"
 
 
@@ -28,10 +35,10 @@ def words(spark, sf_dir):
     return levels(spark, sf_dir).select(F.col("word").alias("w")).unionByName(extra).distinct()
 
 
-@query(f"WITH {POOL} SELECT w, {PAST} AS vbd, {ING} AS vbg, {THIRD} AS vbz FROM ex")
+@query(f"WITH {POOL}, {VERB_SQL} SELECT w, vbd, vbn, vbg, vbz FROM vf")
 def verb_forms(spark, sf_dir):
-    c = F.col("w")
-    return words(spark, sf_dir).select("w", *(V.verb_form(c, F.lit(t.upper())).alias(t) for t in ("vbd", "vbg", "vbz")))
+    made = words(spark, sf_dir).select("w", V.verb_forms(F.col("w")).alias("f"))
+    return made.select("w", *(F.col("f")[i].alias(t) for i, t in enumerate(("vbd", "vbn", "vbg", "vbz"))))
 
 
 OWN = "CASE " + " ".join(f"WHEN w = '{k}' THEN '{v}'" for k, v in V.PLURALS.items()) + f" WHEN w IN {listed([*V.SAME, *V.PLURALS.values()])} THEN w"
