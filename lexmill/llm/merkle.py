@@ -8,10 +8,11 @@ child in the next superstep. What the parents have heard is the manifest, a tabl
 supersteps back down: the top sends each child the digests of its siblings, a child passes on what it got together with its
 children's siblings, and what reaches a leaf is its proof: all digests that it takes to compute the root from the leaf alone.
 
-A key has three messages at most, so no source, however large, meets in one task, but for its documents of one doc_id with
-equal rows, which are told apart by where they stood. A document's place is that in a sort by ranges: partitions are counted,
-and a place is the count of what stands before. Two passes over the texts hash them (one for the leaf, one for what a tampered
-text gives); the rest moves digests. Leaves, places and nodes are written tables, where a lost executor's work resumes.
+Nodes are dealt to tasks by blocks: the 243 nodes, at most, under one node five levels up. Within a block five supersteps pass
+their messages without a shuffle, then the block's top goes to the next block. So no source, however large, meets in one task,
+and rows that are equal are told apart by where they stood. A document's place is that in a sort by ranges: partitions are counted,
+and a place is the count of what stands before. One pass over the texts hashes them (twice where a tampered
+text differs); the rest moves digests. Leaves, places and nodes are written tables, where a lost executor's work resumes.
 
 Nulls in any column have a digest of their own (`-`); a null source is a source, a null doc_id a leaf that isn't tampered
 with. Rows that repeat are leaves each. Empty tables have no leaves and no root: no rows. Other columns don't matter.
@@ -29,6 +30,8 @@ from .common import bounded, stash
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 ARITY = 3
+#: Levels between two shuffles: a block holds the nodes under one node so many levels up, 243 at most.
+STRIDE = 5
 #: The tree whose leaves are the tops of all others.
 TOP_TREE = -1
 NODES = "tree long, level int, idx long, size long, digest binary, children array<binary>"
@@ -71,15 +74,15 @@ def ranked(rows: DataFrame, group: str | None, order: list[str]) -> DataFrame:
     return joined.select(*rows.columns, (F.col("__before") + F.col("__at") - F.col("__first")).alias("idx"), "size")
 
 
-def complete(message) -> tuple:
-    """A parent with what its children sent: ((tree, idx), (size of its level, digest, children))."""
-    (tree, idx), sent = message
+def complete(parent: int, sent: list[tuple[int, int, bytes]]) -> tuple[int, bytes, list[bytes]]:
+    """A parent that has heard from its children, each with its place in the run, its level's size and its digest: the size
+    of its own level, its digest, and theirs."""
     sent = sorted(sent)
     below = sent[0][1]
-    if [s[0] for s in sent] != list(range(min(ARITY, below - ARITY * idx))):
-        raise ValueError(f"node {idx} of tree {tree} has heard from {len(sent)} children only")
+    if [s[0] for s in sent] != list(range(min(ARITY, below - ARITY * parent))):
+        raise ValueError(f"node {parent} has heard from {len(sent)} children only")
     children = [s[2] for s in sent]
-    return (tree, idx), (-(-below // ARITY), digest_of(children), children)
+    return -(-below // ARITY), digest_of(children), children
 
 
 def height(size: int) -> int:
@@ -94,13 +97,30 @@ def partitions(leaves_: int, level: int, most: int) -> int:
     return max(1, min(most, leaves_ // ARITY**level // 4000))
 
 
+def up_steps(block, base: int):
+    """The supersteps of one block: nodes (tree, level, idx, size, digest, children) above those of level `base`."""
+    (tree, _), sent = block
+    now = {idx: (size, digest) for idx, size, digest in sent}
+    for level in range(base + 1, base + STRIDE + 1):
+        messages: dict[int, list] = {}
+        for idx, (size, digest) in now.items():
+            if size > 1:
+                messages.setdefault(idx // ARITY, []).append((idx % ARITY, size, digest))
+        now = {}
+        for parent, got in messages.items():
+            size, digest, children = complete(parent, got)
+            now[parent] = size, digest
+            yield tree, level, parent, size, digest, children
+
+
 def grow(level: RDD, largest: int, total: int, most: int) -> list[RDD]:
-    """The supersteps upward. level: ((tree, idx), (size, digest)) of leaves; nodes of levels 1, 2, ... as complete() has them."""
+    """The supersteps upward. level: (tree, idx, size, digest) of leaves; rows of nodes, STRIDE levels in each RDD."""
     out = []
-    for n in range(1, height(largest) + 1):
-        sent = level.filter(lambda v: v[1][0] > 1).map(lambda v: ((v[0][0], v[0][1] // ARITY), (v[0][1] % ARITY, v[1][0], v[1][1])))
-        level = sent.groupByKey(partitions(total, n, most)).map(complete)
-        out.append(level)
+    for base in range(0, height(largest), STRIDE):
+        blocks = level.filter(lambda v: v[2] > 1).map(lambda v: ((v[0], v[1] // ARITY**STRIDE), v[1:])).groupByKey(partitions(total, base, most))
+        done = blocks.flatMap(lambda b, base=base: up_steps(b, base))
+        level = done.filter(lambda v, top=base + STRIDE: v[1] == top).map(lambda v: (v[0], v[2], v[3], v[4]))
+        out.append(done)
     return out
 
 
@@ -108,27 +128,40 @@ def nodes_table(level: RDD, largest: int, total: int, spark) -> DataFrame:
     """The manifest of trees: tree, level, idx, size of the level, digest, children's digests; written out. The supersteps
     are one job, whose shuffles are what a lost executor's work restarts from."""
     most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = [rdd.map(lambda v, n=n: (v[0][0], n, v[0][1], v[1][0], v[1][1], v[1][2])) for n, rdd in enumerate(grow(level, largest, total, most), 1)]
+    rows = grow(level, largest, total, most)
     return stash(spark.createDataFrame(spark.sparkContext.union(rows) if rows else spark.sparkContext.emptyRDD(), NODES, verifySchema=False), "nodes")
 
 
-def links(message) -> list[tuple]:
-    """What a parent tells its children: each its place, its siblings and the parent's own path."""
-    (tree, idx), (children, (top, path)) = message
-    children = [bytes(c) for c in children]
-    return [((tree, ARITY * idx + s), (top, bytes((s, len(children) - 1)) + b"".join(children[:s] + children[s + 1 :]) + path)) for s in range(len(children))]
+def down_steps(block, base: int):
+    """The reverse supersteps of one block: ((tree, idx), (top, path)) of its nodes of level `base`. A parent tells each child
+    its place, its siblings and the parent's own path."""
+    (tree, _), (nodes, arrived) = block
+    children = {(level, idx): [bytes(c) for c in below] for level, idx, below in nodes}
+    for level, idx, top, path in arrived:
+        now = {idx: path}
+        for at in range(level, base, -1):
+            told = {}
+            for parent, above in now.items():
+                run = children[at, parent]
+                for s in range(len(run)):
+                    told[ARITY * parent + s] = bytes((s, len(run) - 1)) + b"".join(run[:s] + run[s + 1 :]) + above
+            now = told
+        for leaf, own in now.items():
+            yield (tree, leaf), (top, own)
 
 
 def send_down(nodes: DataFrame, starts: RDD, largest: int, total: int, most: int) -> RDD:
     """The supersteps downward. starts: ((tree, 0), (height, top, path)); ((tree, idx), (top, path)) of the leaves."""
     got = None
-    for n in range(height(largest), -1, -1):
-        here = starts.filter(lambda v, n=n: v[1][0] == n).map(lambda v: (v[0], v[1][1:]))
-        here = here if got is None else here.union(got)
-        if n == 0:
-            return here
-        parents = nodes.where(F.col("level") == n).select("tree", "idx", "children").rdd.map(lambda r: ((r[0], r[1]), r[2]))
-        got = parents.join(here, partitions(total, n, most)).flatMap(links)
+    for base in reversed(range(0, height(largest), STRIDE)):
+        own = nodes.where((F.col("level") > base) & (F.col("level") <= base + STRIDE)).select("tree", "level", "idx", "children")
+        own = own.rdd.map(lambda r, base=base: ((r[0], r[2] // ARITY ** (base + STRIDE - r[1])), (r[1], r[2], r[3])))
+        here = starts.filter(lambda v, base=base: base < v[1][0] <= base + STRIDE).map(lambda v: (v[0], (v[1][0], 0, *v[1][1:])))
+        if got is not None:
+            here = here.union(got.map(lambda v, base=base: (v[0], (base + STRIDE, v[0][1], *v[1]))))
+        got = own.cogroup(here, numPartitions=partitions(total, base, most)).flatMap(lambda b, base=base: down_steps(b, base))
+    alone = starts.filter(lambda v: v[1][0] == 0).map(lambda v: (v[0], v[1][1:]))
+    return alone if got is None else alone.union(got)
 
 
 def climb(digest: bytes, path: bytes) -> tuple[bytes, bytes]:
@@ -154,12 +187,12 @@ class Manifest:
         sources = stash(ranked(placed.groupBy("source").agg(F.max("size").alias("n")), None, ["source"]).select(F.col("idx").alias("tree"), F.col("source").alias("__s"), "n", F.col("size").alias("n_sources")), "sources")
         self.leaves = placed.join(bounded(sources.select("tree", "__s"), 200_000), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
         self.total, self.largest, self.n_sources = sources.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.count("*")).first()
-        vertices = self.leaves.select("tree", "idx", "size", "leaf").rdd.map(lambda r: ((r[0], r[1]), (r[2], bytes(r[3]))))
+        vertices = self.leaves.select("tree", "idx", "size", "leaf").rdd.map(lambda r: (r[0], r[1], r[2], bytes(r[3])))
         self.nodes = nodes_table(vertices, self.largest, self.total, spark)
         tops = self.nodes.where("size = 1").select("tree", "digest").union(self.leaves.where("size = 1").select("tree", "leaf"))
         self.sources = stash(sources.join(tops.withColumnRenamed("tree", "__t").withColumnRenamed("digest", "subroot"), F.col("tree") == F.col("__t")).select("tree", F.col("__s").alias("source"), F.col("n").alias("size"), "subroot"), "tops")
         n = self.n_sources
-        above = self.sources.select("tree", "subroot").rdd.map(lambda r: ((TOP_TREE, r[0]), (n, bytes(r[1]))))
+        above = self.sources.select("tree", "subroot").rdd.map(lambda r: (TOP_TREE, r[0], n, bytes(r[1])))
         self.top_nodes = nodes_table(above, n, n, spark)
         root = self.top_nodes.where("size = 1").select("digest").union(self.sources.where(F.lit(n) == 1).select("subroot")).first()
         self.root = root and bytes(root[0]).hex()
