@@ -9,10 +9,15 @@ of smaller doc_id goes; windows are judged on the input.
    `gram`-word sequences within a window, the one with the least hash. Equal windows have equal anchors, neighbouring
    windows share one, so a quarter as many counts suffice. A sketch is kept sparse (the cells that count anything), so it
    grows with the input and its row can be wide enough (2**40 cells) not to fill up. Partition sketches travel by blocks of
-   cells and are summed block by block; what is left are the cells that count two or more. Of these a bitmap is made, 32
-   bits a cell, and broadcast. One bitmap has at most 2**most_bits bits (128 MB); where more cells count two or more, they
-   are dealt to several bitmaps by hash and step 3 reads the texts once for each. Counts are never too small, so no
-   repeated window is lost; a window that passes for another's sake goes on to step 3, which is exact by itself.
+   cells and are summed block by block; what is left are the cells that count two or more. Counts are never too small, so no
+   repeated window is lost; a window that passes for another's sake goes on to step 3, which is exact by itself. (The sketch
+   has a depth of one: a row this wide errs less than several narrow ones of the same size together, and each row more
+   would shuffle every count again.)
+   If so few cells count two or more that a bitmap of them, 32 bits a cell, has at most 2**most_bits bits (128 MB), that
+   bitmap is broadcast. Beyond that nothing of this passes the driver: for each 4 MB of text a task answers what these texts
+   have in common by itself and sends each block its cells, each with one document; the block answers the documents whose
+   cells others have sent as well, and a join brings the answers to the texts. A cell of a third of all documents is so one
+   entry for each 4 MB. Either way texts are read twice, whatever their number.
 3. Windows with an estimate of two or more are grouped by a 96-bit hash. A task first judges them among themselves: of its
    rows of a window only that of the smallest doc_id goes on, the others are found, so that a window of a third of all
    documents is one row for each task. The rest is shuffled once, sorted by window and doc_id, and streams past.
@@ -167,36 +172,99 @@ def overlapping(docs: DataFrame, width: int, gram: int, bits: int) -> DataFrame:
 
 
 class Bitmap:
-    """The cells of one of `passes` shares, as a bitmap of 2**bits bits."""
+    """Cells as a bitmap of 2**bits bits."""
 
-    def __init__(self, bits: int, share: int, passes: int):
-        self.bits, self.share, self.passes, self.map = bits, share, passes, np.zeros(1 << (bits - 3), np.uint8)
+    def __init__(self, bits: int):
+        self.bits, self.map = bits, np.zeros(1 << (bits - 3), np.uint8)
 
-    def place(self, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(which cells are of this share, the bit of each cell)."""
-        h = mixed(cell + np.uint64(WEIGHTS[2]))
-        return h % np.uint64(self.passes) == np.uint64(self.share), mixed(h) >> np.uint64(64 - self.bits)
+    def place(self, cell: np.ndarray) -> np.ndarray:
+        return mixed(cell + np.uint64(WEIGHTS[2])) >> np.uint64(64 - self.bits)
 
     def add(self, cell: np.ndarray) -> None:
-        own, at = self.place(cell)
-        at = at[own]
+        at = self.place(cell)
         np.bitwise_or.at(self.map, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
 
     def holds(self, cell: np.ndarray) -> np.ndarray:
-        own, at = self.place(cell)
-        return own & ((self.map[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1)
+        at = self.place(cell)
+        return (self.map[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def bitmaps(found: DataFrame, most_bits: int):
-    """The bitmaps of the cells that `overlapping` found, one after another; rows stream past the driver."""
+def bitmap_of(found: DataFrame, most_bits: int) -> Bitmap | None:
+    """The bitmap of the cells that `overlapping` found; None if it would have over 2**most_bits bits."""
     n = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bits = min(most_bits, max(12, (32 * n - 1).bit_length() if n else 0))
-    passes = max(1, -(-32 * n // (1 << bits)))
-    for share in range(passes):
-        out = Bitmap(bits, share, passes)
-        for r in found.toLocalIterator():
-            out.add(np.frombuffer(r["low"], "<u4").astype(np.uint64) | np.uint64(r["block"]) << np.uint64(r["low_bits"]))
-        yield out
+    if 32 * n > 1 << most_bits:
+        return None
+    out = Bitmap(max(12, (32 * n - 1).bit_length() if n else 0))
+    for r in found.toLocalIterator():
+        out.add(np.frombuffer(r["low"], "<u4").astype(np.uint64) | np.uint64(r["block"]) << np.uint64(r["low_bits"]))
+    return out
+
+
+def answered(docs: DataFrame, width: int, gram: int, bits: int) -> DataFrame:
+    """docs with __cells, the cells of each document that count two or more documents (8 bytes each; null if it has none)."""
+    spark = docs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+
+    def count(batches):
+        for b in batches:
+            b = b.filter(pc.and_(pc.invert(b.column("__copy")), pc.is_valid(b.column("doc_id"))))
+            ids = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            for start, texts in groups_of_texts(b, "__t"):
+                w = Words(texts, width, gram)
+                if not len(w.anchors):
+                    continue
+                cell, doc = cells(w.anchors, bits), ids[start + w.doc[w.starts]]
+                order = np.lexsort((doc, cell))
+                cell, doc = cell[order], doc[order]
+                new = np.concatenate([[True], (cell[1:] != cell[:-1]) | (doc[1:] != doc[:-1])])
+                cell, doc = cell[new], doc[new]
+                first = np.concatenate([[True], cell[1:] != cell[:-1]])
+                many = np.diff(np.append(np.nonzero(first)[0], len(cell)))[np.cumsum(first) - 1] > 1
+                block = (mixed(cell) % np.uint64(parts * 4)).astype(np.int64)
+                # what these texts have in common is answered here, and one document of them speaks for all
+                block = np.concatenate([block[first], -1 - block[many]])
+                cell, doc = np.concatenate([cell[first], cell[many]]), np.concatenate([doc[first], doc[many]])
+                order = np.argsort(block, kind="stable")
+                block, cell, doc = block[order], cell[order], doc[order]
+                cuts = np.concatenate([[0], np.nonzero(np.diff(block))[0] + 1, [len(block)]]).tolist()
+                spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([int(block[x]) for x, _ in spans], pa.int64()), *(pa.array([v[x:y].astype("<i8").tobytes() for x, y in spans], pa.binary()) for v in (cell.view(np.int64), doc))], ["block", "cell", "doc"])
+
+    def answer(batches):
+        """A partition holds whole blocks one after another. Those of negative numbers are answers already."""
+        now, held = None, []
+
+        def told(doc, cell):
+            ids, own = packed(doc, cell)
+            for i in range(0, len(ids), 1 << 14):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + (1 << 14)]), pa.array(own[i : i + (1 << 14)], pa.binary())], ["__a", "own"])
+
+        def done():
+            if now is not None:
+                cell, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+                order = np.lexsort((doc, cell))
+                cell, doc = cell[order], doc[order]
+                first = np.concatenate([[True], cell[1:] != cell[:-1]])
+                lows = np.nonzero(first)[0]
+                highs = np.append(lows[1:], len(cell)) - 1
+                many = (doc[lows] != doc[highs])[np.cumsum(first) - 1]
+                yield from told(doc[many], cell[many])
+
+        for b in batches:
+            for block, x, y in zip(b.column("block").to_pylist(), b.column("cell").to_pylist(), b.column("doc").to_pylist(), strict=True):
+                cell, doc = np.frombuffer(x, "<i8"), np.frombuffer(y, "<i8")
+                if block < 0:
+                    yield from told(doc, cell)
+                    continue
+                if block != now:
+                    yield from done()
+                    now, held = block, []
+                held.append((cell, doc))
+        yield from done()
+
+    sent = docs.mapInArrow(count, "block long, cell binary, doc binary").repartition(parts, "block").sortWithinPartitions("block").mapInArrow(answer, "__a long, own binary")
+    answers = sent.groupBy("__a").agg(F.array_join(F.transform(F.collect_list("own"), F.hex), "").alias("own")).select("__a", F.unhex("own").alias("__cells"))
+    return docs.join(answers, F.col("doc_id") == F.col("__a"), "left").drop("__a")
 
 
 def text_tag(text: bytes) -> int:
@@ -222,7 +290,9 @@ def repeated_windows(docs: DataFrame, found: DataFrame, width: int, gram: int, b
     """doc_id, at (binary): the places (text tag and place, 8 bytes each) of windows that a smaller doc_id has as well."""
     spark = docs.sparkSession
 
-    def of_share(shared):
+    def of_all(src, holds):
+        """holds: which of some windows' cells count two or more, by the cells, their rows and the batch."""
+
         def candidates(batches):
             held: list[tuple[np.ndarray, ...]] = []
 
@@ -254,7 +324,7 @@ def repeated_windows(docs: DataFrame, found: DataFrame, width: int, gram: int, b
                 ids = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
                 for start, texts in groups_of_texts(b, "__t"):
                     w = Words(texts, width, gram)
-                    hit = w.starts[shared.value.holds(cells(w.anchors, bits))]
+                    hit = w.starts[holds(cells(w.anchors, bits), start + w.doc[w.starts], b)]
                     k1, k2 = rolled(w.h, width, WEIGHTS[0])[hit], (rolled(w.h, width, WEIGHTS[1])[hit] >> np.uint64(32)).astype(np.uint32)
                     tags = np.fromiter(map(text_tag, texts), np.int64, len(texts))
                     held.append((k1, k2, ids[start + w.doc[hit]], tags[w.doc[hit]] << 32 | w.place[hit]))
@@ -262,7 +332,7 @@ def repeated_windows(docs: DataFrame, found: DataFrame, width: int, gram: int, b
                         yield from emit()
             yield from emit()
 
-        return docs.mapInArrow(candidates, FOUND)
+        return src.mapInArrow(candidates, FOUND)
 
     def judge(batches):
         """Rows of a window stand one after another, the smallest doc_id first."""
@@ -285,10 +355,21 @@ def repeated_windows(docs: DataFrame, found: DataFrame, width: int, gram: int, b
                 yield pa.RecordBatch.from_arrays([further.column("doc_id"), further.column("more")], ["doc_id", "at"])
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    rows = None
-    for bitmap in bitmaps(found, most_bits):
-        own = of_share(spark.sparkContext.broadcast(bitmap))
-        rows = own if rows is None else rows.unionByName(own)
+    bitmap = bitmap_of(found, most_bits)
+    if bitmap is not None:
+        shared = spark.sparkContext.broadcast(bitmap)
+        rows = of_all(docs, lambda cell, row, batch: shared.value.holds(cell))
+    else:
+
+        def own(cell, row, batch):
+            out, held = np.zeros(len(cell), bool), batch.column("__cells")
+            cuts = [0, *(np.nonzero(np.diff(row))[0] + 1).tolist(), len(row)] if len(row) else [0]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if held[int(row[x])].is_valid:
+                    out[x:y] = np.isin(cell[x:y], np.frombuffer(held[int(row[x])].as_buffer(), "<u8"))
+            return out
+
+        rows = of_all(answered(docs, width, gram, bits), own)
     return rows.repartition(parts, "k1", "k2").sortWithinPartitions("k1", "k2", "doc_id").mapInArrow(judge, "doc_id long, at binary")
 
 

@@ -92,24 +92,26 @@ def test_bpe_decodes_odd_ids(spark):
 
 @pytest.mark.parametrize("how", [{"bits": 13}, {"broadcast_rows": 0}, {"most_bits": 12}, {"bits": 13, "most_bits": 13, "broadcast_rows": 0}])
 def test_passages_with_full_sketches(spark, how):
-    """Every cell full, several bitmaps, no step for copies: the same rows."""
+    """Every cell full, cells answered by blocks instead of a bitmap, no step for copies: the same rows."""
     check(spark, lambda s, d: passages.dedup_passages(table(s, d, "documents"), **how), queries.oracle_sql()["op8_substring_dedup"])
 
 
-def test_passages_of_odd_rows(spark):
+@pytest.mark.parametrize("most_bits", [30, 10])
+def test_passages_of_odd_rows(spark, most_bits):
     base = " ".join(f"b{i}" for i in range(30))
     rows = [(1, base), (None, base), (2, "x " + base), (2, base + " y"), (3, None), (4, "one two"), (5, (" ".join(f"c{i}" for i in range(14)) + " ") * 3)]
     docs = spark.createDataFrame([(i, t, 0, 0) for i, t in rows], "doc_id long, text string, k1 int, at int")
-    got = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in passages.dedup_passages(docs, texts=True).collect()]
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in passages.dedup_passages(docs, texts=True, most_bits=most_bits).collect()]
     assert sorted(got, key=str) == sorted([(1, 30, 0, base), (None, 30, 0, base), (2, 31, 30, "x"), (2, 31, 30, "y"), (3, 0, 0, ""), (4, 2, 0, "one two"), (5, 42, 0, rows[-1][1].strip())], key=str)
     assert passages.dedup_passages(docs.limit(0)).count() == 0
 
 
-def test_passages_hot_window(spark):
+@pytest.mark.parametrize("most_bits", [30, 4])
+def test_passages_hot_window(spark, most_bits):
     """A passage of every document is removed from all but the first, over several tasks."""
     hot = " ".join(f"h{i}" for i in range(20))
     docs = spark.createDataFrame([(i, f"own{i} {hot} end{i}") for i in range(3000)], "doc_id long, text string").repartition(6)
-    got = {r.doc_id: (r.n_removed, r.kept) for r in passages.dedup_passages(docs, texts=True).collect()}
+    got = {r.doc_id: (r.n_removed, r.kept) for r in passages.dedup_passages(docs, most_bits=most_bits, texts=True).collect()}
     assert got[0][0] == 0 and all(got[i] == (20, f"own{i} end{i}") for i in range(1, 3000))
 
 
