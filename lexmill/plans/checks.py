@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import checks as C
@@ -12,7 +13,7 @@ from ..sources import logs, transcripts
 from .discourse import table
 from .lexicon import CXN, constructions
 from .registry import query
-from .text import WORDS, core
+from .text import WORDS, core, forms_sql
 
 
 def quoted(s: str) -> str:
@@ -72,8 +73,6 @@ PAIRS = "pr AS (SELECT * FROM (SELECT conv_id, turn, text, lag(text) OVER (PARTI
 
 
 def pairs(spark, sf_dir):
-    from pyspark.sql import Window
-
     c = table(spark, sf_dir, "conversations").withColumn("prior", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
     return c.where("prior IS NOT NULL")
 
@@ -125,7 +124,7 @@ def listed_targets(spark, sf_dir):
 
 
 @query(r"""WITH s AS (SELECT item_id, list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+'), lambda w: w <> '') AS tk, regexp_replace(lower(split_part(text, ' ', 2)), '[^a-z]', '', 'g') AS w FROM benchmark),
-    v AS (SELECT item_id, tk, list_filter(tk, lambda t: NOT list_contains(f, t) OR length(t) < 3) AS kept FROM (SELECT *, """ + """{forms} AS f FROM s)) SELECT item_id, CASE WHEN len(kept) = len(tk) THEN 1 ELSE 2 END::INT AS n, md5(array_to_string(kept, ' ')) AS kept FROM v""".replace("{forms}", __import__("lexmill.plans.text", fromlist=["forms_sql"]).forms_sql("w")))
+    v AS (SELECT item_id, tk, list_filter(tk, lambda t: NOT list_contains(f, t) OR length(t) < 3) AS kept FROM (SELECT *, """ + """{forms} AS f FROM s)) SELECT item_id, CASE WHEN len(kept) = len(tk) THEN 1 ELSE 2 END::INT AS n, md5(array_to_string(kept, ' ')) AS kept FROM v""".replace("{forms}", forms_sql("w")))
 def source_variants(spark, sf_dir):
     v = table(spark, sf_dir, "benchmark").select("item_id", C.source_variants(F.col("text"), F.split_part("text", F.lit(" "), F.lit(2))).alias("v"))
     return v.select("item_id", F.size("v").alias("n"), F.md5(F.array_join(F.element_at("v", -1), " ")).alias("kept"))
@@ -243,8 +242,6 @@ TICKETS = f"""{MADE}, nm AS (SELECT fl.*, {SQL_FIELD} AS field, nullif(lower(tri
 
 
 def made_flags(spark, sf_dir):
-    from pyspark.sql import Window
-
     n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
     t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("quiz_id"), n.alias("n"), "text", F.replace(F.replace(F.split_part("text", F.lit(" "), F.lit(3)), F.lit("."), F.lit("")), F.lit(","), F.lit("")).alias("w0"))
     wd = F.when(F.col("n") % 3 == 0, F.upper("w0")).when(F.col("n") % 5 == 0, "zzz").otherwise(F.col("w0"))

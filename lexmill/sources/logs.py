@@ -21,7 +21,7 @@ def header(text: Column, name: str) -> Column:
 
 def section(text: Column, title: str, ends: tuple[str, ...]) -> Column:
     """What stands between `--- TITLE ---` and the first of the ends; empty if there is no such part."""
-    rest = F.substring_index(F.concat(F.lit("\n"), F.element_at(F.split(text, rf"--- {title} ---\n", 2), -1)), "\x00", 1)
+    rest = F.concat(F.lit("\n"), F.element_at(F.split(text, rf"--- {title} ---\n", 2), -1))
     for e in ends:
         rest = F.substring_index(rest, f"\n{e}", 1)
     return F.when(F.contains(text, F.lit(f"--- {title} ---\n")), F.regexp_replace(rest, r"^\s+|\s+$", "")).otherwise("")

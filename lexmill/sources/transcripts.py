@@ -12,7 +12,7 @@ RECENT = 8
 
 
 def _blocks(files: DataFrame, text: str) -> DataFrame:
-    cut = F.transform(F.split(F.col(text), r"\n\s*\n"), lambda b: F.regexp_replace(b, r"^\s+|\s+$", ""))
+    cut = F.transform(F.split(F.regexp_replace(F.col(text), "\r\n?", "\n"), r"\n\s*\n"), lambda b: F.regexp_replace(b, r"^\s+|\s+$", ""))
     return files.select("file", F.posexplode(cut).alias("n", "block")).where("block <> ''").withColumn("parts", F.split("block", "\n"))
 
 

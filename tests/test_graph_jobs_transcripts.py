@@ -90,3 +90,19 @@ def test_logs(spark):
     assert len(got) == 1
     r = got[0]
     assert (r.task, r.model, r.status, r.timestamp, r.failure_category, r.system_prompt, r.user_prompt, r.response_json) == ("t 1", "m", "SUCCESS", "", None, "sys", "user", '{"a": 1}')
+
+
+def test_subrip_with_carriage_returns(spark):
+    from lexmill.sources.transcripts import parse_srt
+
+    text = "1\r\n00:00:01,000 --> 00:00:02,000\r\nHello\r\nSecond\r\n\r\n2\r\n00:00:03,500 --> 00:00:04,000\r\nBye\r\n"
+    files = spark.createDataFrame([("a", text)], "file string, text string")
+    assert [(r.sec, r.text) for r in parse_srt(files).orderBy("n").collect()] == [(1.0, "Hello Second"), (3.5, "Bye")]
+
+
+def test_logs_keep_null_characters(spark):
+    from lexmill.sources.logs import parse_logs
+
+    log = "=== TASK: t ===\n=== MODEL: m ===\n--- USER PROMPT ---\na\x00b\n--- RAW RESPONSE ---\n{}\x00\n=== END OF LOG ==="
+    r = parse_logs(spark.createDataFrame([("l", log)], "log_name string, text string")).first()
+    assert (r.user_prompt, r.raw_response) == ("a\x00b", "{}\x00")
