@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by cosine: an inverted file with product-quantised residuals.
 
 Fit, on the driver, from a bounded sample (at most `sample` rows, those of smallest id hash): coarse centroids by k-means,
-`spread` times the root of the row count, so that lists stay short as the table grows; above FLAT of them in two levels
+`spread` times the root of the row count, but not more than `sample` / 24 of them (2,730, reached at some 116,000 rows), as a
+centroid needs rows to be fitted on: up to there lists stay short as the table grows, beyond it they grow with it; above FLAT of them in two levels
 (groups of centroids, then the centroids of a group), which fit and assignment go down. Then a codebook of up to 256 words
 for each of `parts` groups of components, on the residuals. The number of lists that a query probes is the smallest that
 holds `recall` of the nearest neighbours among a third of the sample, which the fit leaves out (a sample of

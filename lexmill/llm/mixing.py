@@ -13,7 +13,7 @@ source that holds a third of all rows is 2**bits rows; the running sums work on
 budgets need one row for each source.
 
 Null texts have size 0. A null source is a source, last in order. Rows that repeat a document fall on the same side of
-the threshold. Empty tables give empty tables.
+the threshold; so do all rows of a source with a null doc_id, which hash alike. Empty tables give empty tables.
 """
 
 from __future__ import annotations

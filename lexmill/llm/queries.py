@@ -118,7 +118,8 @@ def oracle_sql() -> dict[str, str]:
             k AS (SELECT doc_id, site, pos, line, trim(line) AS key, regexp_matches(line, '^\\s*(\\S+\\s+){2}\\S') AS long_enough FROM l),
             b AS (SELECT key, min((doc_id, pos)) AS first FROM k WHERE long_enough GROUP BY key HAVING count(DISTINCT site) >= 5),
             m AS (SELECT k.*, b.key IS NOT NULL AND (k.doc_id, k.pos) <> b.first AS gone FROM k LEFT JOIN b ON k.key = b.key AND k.long_enough)
-            SELECT doc_id, count(*)::BIGINT AS n_lines, sum(gone::INT)::BIGINT AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS text_sha256 FROM m GROUP BY doc_id""",
+            SELECT doc_id, count(*)::BIGINT AS n_lines, sum(gone::INT)::BIGINT AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS text_sha256 FROM m GROUP BY doc_id
+            UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL""",
         "op5_topk": """
             WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
                 WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

@@ -18,7 +18,8 @@ dense a group is. Connected components are then found by alternating large-star
 aggregations over links alone, written to the shared folder each round. Nothing but the sample reaches the driver.
 
 Null and wordless texts have fingerprint zero and link as any other. Texts under k words are one shingle. Rows that
-repeat a doc_id are one document with the links of all its rows. Empty tables give empty tables.
+repeat a doc_id are one document with the links of all its rows. Rows with a null doc_id have the component of the rows
+that share or link to their fingerprint; if none of those has an id, it is null. Empty tables give empty tables.
 """
 
 from __future__ import annotations

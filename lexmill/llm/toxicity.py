@@ -271,7 +271,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_: str = "doc_id", text:
 
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """docs without the rows that the model rejects."""
+    """docs without the rows that the model rejects; all of them where training rows had one class, which tells nothing apart."""
+    if model.lm is None:
+        return docs
     weights, columns = model.weights, docs.columns
     own = {c: free_name(columns, f"__c{i}") for i, c in enumerate(columns)}  # names that can't clash with __t and __g
     inner = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items()), F.col(f"`{text}`").alias("__t"))

@@ -93,3 +93,44 @@ def test_pipeline_stages_on_odd_tables(spark, empty, tmp_path):
         docs = spark.createDataFrame(docs.collect(), docs.schema)
         assert (docs.count() == 0) == empty, name
     assert "n_tokens" in docs.columns
+
+
+def test_urls_of_one_key(tmp_path, monkeypatch):
+    """Strings that share a key: the stored string decides."""
+    monkeypatch.setattr(urls.xxhash, "xxh64_intdigest", lambda t, seed: 7)
+    (tmp_path / "rules").write_bytes(urls.digest_file(queries.URL_RULES))
+    index = urls.DigestArray(str(tmp_path / "rules"))
+    at = index.judge(["example.com", "www.example.com", "a.net", "b.org", "x.com"], ["/en/a", "/en/", "/fr/", "/es/", "/"])
+    assert [index.rule(i).decode() if i >= 0 else None for i in at] == ["example.com/en/", "www.example.com/en/", "net/fr/", None, "com/"]
+    assert len(set(index.keys.tolist())) == 1 and index.probe([b"never heard of"]).tolist() == [-1]
+
+
+def test_lines_of_null_texts_against_sql(spark, tmp_path):
+    import duckdb
+
+    from ..oracle import plain
+
+    rows = [(i, None if i % 4 == 0 else f"own words here {i}\nthis stands on every site", "en", f"s{i % 7}", 3) for i in range(1, 30)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op2_line_dedup(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(queries.oracle_sql()["op2_line_dedup"])
+    names = [d[0] for d in want.description]
+    assert sorted(repr([plain(r[c]) for c in names]) for r in got.collect()) == sorted(repr([plain(v) for v in r]) for r in want.fetchall())
+
+
+def test_models_of_one_class_and_empty_texts(spark):
+    """Labels of one class alone: nothing can be told apart, so all texts score as the share of that class, and nothing is
+    dropped. Empty and null texts score alike."""
+    from lexmill.llm import quality
+
+    docs = spark.createDataFrame([(i, f"some words {i} here", "s") for i in range(40)] + [(90, "", "s"), (91, None, "s")], "doc_id long, text string, source string")
+    one = spark.createDataFrame([(i, 1, 1) for i in range(40)], "doc_id long, toxic int, quality int")
+    m = toxicity.train(toxicity.training_rows(docs, one))
+    assert toxicity.drop_toxic(docs, m).count() == 42 and {(r.score, r.predicted) for r in toxicity.score_documents(docs, m).collect()} == {(1.0, 1)}
+    none = toxicity.train(toxicity.training_rows(docs, one.limit(0)))
+    assert {(r.score, r.predicted) for r in toxicity.score_documents(docs, none).collect()} == {(0.0, 0)}
+    q = quality.train(quality.training_rows(docs, one))
+    scores = {r.doc_id: r.score for r in quality.score_documents(docs, q).collect()}
+    assert len(scores) == 42 and scores[90] == scores[91] and all(0 <= x <= 1 for x in scores.values())
