@@ -16,6 +16,8 @@ def core(c: str) -> str:
     return rf"trim(regexp_replace({NORM.format(c=c)}, '[^\p{{L}}\p{{N}}_ ]', '', 'g'))"
 
 
+#: 3-grams of quotes that are broadcast; some 100 bytes each.
+MOST_GRAMS = 1_000_000
 WORDS = "list_filter(string_split({c}, ' '), lambda w: w <> '')"
 
 
@@ -34,18 +36,21 @@ def _grams(src: str, n: int = 3) -> str:
     p AS (SELECT qg.id AS item_id, sg.id AS doc_id, count(*) AS shared FROM qg JOIN sg ON qg.g = sg.g GROUP BY ALL)
     SELECT item_id, doc_id, shared, shared / n.n AS coverage, shared / n.n >= 0.8 AS verbatim FROM p JOIN n ON n.id = item_id""")
 def quote_coverage(spark, sf_dir):
-    """Share of each benchmark item's distinct 3-grams that a document has, for all pairs that share one. Quotes are the
-    small side; pairs come from a join on the 3-gram, never from a cross join, and counts are combined map-side."""
+    """Share of each benchmark item's distinct 3-grams that a document has, for all pairs that share one. Pairs come from a
+    join on the 3-gram, never from a cross join. The quotes' 3-grams are the small side: they are counted, and broadcast up
+    to MOST_GRAMS, so that of the documents' only those that match are shuffled and made distinct; beyond, both sides are."""
 
     def grams(name: str, key: str):
         c = table(spark, sf_dir, name).select(key, F.regexp_replace(T.clean_core(F.col("text")), " +", " ").alias("c"))
-        # at each word's beginning, the word and the two after it
-        return c.select(key, F.array_distinct(F.regexp_extract_all("c", F.lit(r"(?<![^ ])(?=([^ ]+ [^ ]+ [^ ]+))"), 1)).alias("gs"))
-
-    q, s = grams("benchmark", "item_id"), grams("documents", "doc_id")
-    n = F.size("gs").alias("n")
-    pairs = s.select("doc_id", F.explode("gs").alias("g")).join(q.select("item_id", n, F.explode("gs").alias("g")), "g")
-    out = pairs.groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"))
+        # at each word's beginning, the word and the two after it; exploded where they are made, as a column of them would
+        # be computed again for the filter that Spark puts before an explode
+        return c.select(key, F.explode(F.regexp_extract_all("c", F.lit(r"(?<![^ ])(?=([^ ]+ [^ ]+ [^ ]+))"), 1)).alias("g"))
+
+    few = grams("benchmark", "item_id").distinct()
+    few = few.join(few.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")), "item_id")
+    few = F.broadcast(few) if few.limit(MOST_GRAMS + 1).count() <= MOST_GRAMS else few
+    pairs = grams("documents", "doc_id").join(few, "g")
+    out = pairs.groupBy("item_id", "doc_id").agg(F.countDistinct("g").alias("shared"), F.first("n").alias("n"))
     cover = F.col("shared") / F.col("n")
     return out.select("item_id", "doc_id", "shared", cover.alias("coverage"), (cover >= 0.8).alias("verbatim"))
 
