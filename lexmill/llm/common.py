@@ -72,7 +72,9 @@ def bounded(df: DataFrame, most_rows: int) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; documents of fewer partitions than there are cores, as of one row group, are dealt to all cores."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name == "documents" and df.rdd.getNumPartitions() < cores else df
 
 
 def free_name(columns: list[str], wanted: str) -> str:

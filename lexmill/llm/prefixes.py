@@ -88,7 +88,7 @@ class Beside(dict):
 class PrefixCounter:
     """spec: the bytes of a tokenizer's JSON file."""
 
-    def __init__(self, spec: bytes, cache: int = 400_000):
+    def __init__(self, spec: bytes, cache: int = 250_000):
         whole = json.loads(spec)
         model = whole["model"]
         split = whole["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
@@ -121,6 +121,8 @@ class PrefixCounter:
         #: By token: which tokens stay beside it. At a piece's start all do.
         self.beside = [Beside(self.stays, i) for i in range(len(names))] + [Beside(lambda a, b: True, len(names))]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.settled: set[str] = set()  # characters that the tables at hand know
         self.cache = cache
 
     def stays(self, a: int, b: int, below: int | None = None) -> bool:
@@ -176,24 +178,28 @@ class PrefixCounter:
         return counts
 
     def steps(self, piece: str) -> bytes:
-        """By how much the count grows with each code point of a piece, as 16-bit integers; a piece may have a space before it."""
-        got = self.known.get(piece)
+        """By how much the count grows with each code point of a piece, as 16-bit integers; a piece may have a space before it.
+        Kept in two generations: when the newer one is full it becomes the older, from which what is used again returns."""
+        got = self.known.get(piece) or self.older.get(piece)
         if got is None:
-            if self.space.match(piece):
-                core = piece[1:] if piece[0] == " " else ""
-                got = bytes(2) + (self.known.get(core) or self.steps(core)) if core and not self.space.match(core) else bytes(2 * len(piece))
-            elif not piece.isascii() and any(unicodedata.category(c) == "Cn" for c in piece):
-                raise Odd  # newer than the tables at hand
+            spaced = piece[0] == " " and len(piece) > 1 and not self.space.match(piece, 1)
+            core = piece[1:] if spaced else piece
+            if self.space.match(core):
+                got = bytes(2 * len(piece))
             else:
-                counts = self.piece_counts(piece)
-                got = array("h", map(sub, counts, [0, *counts])).tobytes()
+                if not core.isascii() and not self.settled.issuperset(core):
+                    if any(unicodedata.category(c) == "Cn" for c in core):
+                        raise Odd  # newer than the tables at hand
+                    self.settled.update(core)
+                counts = self.piece_counts(core)
+                got = bytes(2 * spaced) + array("h", map(sub, counts, [0, *counts])).tobytes()
+        if len(piece) <= 64:
             if len(self.known) >= self.cache:
-                self.known.clear()
+                self.older, self.known = self.known, {}
                 if sum(map(len, self.beside)) > 2_000_000:
                     for row in self.beside:
                         row.clear()
-            if len(piece) <= 64:
-                self.known[piece] = got
+            self.known[piece] = got
         return got
 
     def plain_steps(self, text: str) -> np.ndarray:
@@ -201,7 +207,7 @@ class PrefixCounter:
         if text.isascii() or "İ" not in text and unicodedata.is_normalized("NFC", text):
             low = (text if text.isascii() else text.replace("Σ", "σ")).lower()  # each letter by itself: no final sigma
             if len(low) == len(text):
-                get, miss = self.known.get, self.steps
+                get, miss = self.known.get, self.steps  # of a generation that may end meanwhile
                 try:
                     return np.frombuffer(b"".join([get(p) or miss(p) for p in self.pieces.findall(low)]), "<i2")
                 except Odd:
