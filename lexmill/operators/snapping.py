@@ -27,35 +27,22 @@ def snap(quotes: DataFrame, pool: DataFrame) -> DataFrame:
     quarters and more of its words of three letters; of several the first, by rule 4 the one with most. Null where there is
     none, and for null and empty quotes. quote_id tells quotes of a document apart; rows that repeat it are taken together.
 
-    Candidates come from joins on the document and a seed. A part is looked for in sentences that have its longest inner
-    word. A sentence with three quarters of k words has one of any k - ceil(0.75 k) + 1 of them, so the longest so many are
-    seeds, and only candidates are compared in full. A quote goes to a later rule only if earlier ones found nothing."""
+    One join by document; the best sentence of a quote is a minimum, combined map-side, so sentences are shuffled once. A
+    sentence with three quarters of k words has one of any k - ceil(0.75 k) + 1 of them: the longest so many are seeds, and
+    the words of a sentence that has none as a substring aren't looked at."""
     p = pool.select(F.col("doc_id").alias("d"), "sid", bare(F.col("text")).alias("sentence"))
     q = quotes.select("doc_id", "quote_id", F.trim("quote").alias("raw")).where("raw <> ''").dropDuplicates(["doc_id", "quote_id"])
-    q = q.withColumn("clean", bare(F.col("raw"))).withColumn("part", F.trim(F.regexp_replace(F.lower("clean"), r"\.{3,}|…", "")))
-    found = lambda df, rule, order=None: df.groupBy("doc_id", "quote_id").agg(F.min_by("sid", order if order is not None else F.col("sid")).alias("sid")).withColumn("rule", F.lit(rule))
-    rest = lambda df, got: df.join(got, ["doc_id", "quote_id"], "left_anti")
-    on_doc = F.col("doc_id") == F.col("d")
-
-    named = q.withColumn("n", F.regexp_extract("raw", POINTER, 1).try_cast("long"))
-    one = found(named.where("n IS NOT NULL").join(p.select("d", "sid"), on_doc & (F.col("n") == F.col("sid"))), 1)
-    q2 = rest(q, one)
-    two = found(q2.join(p, on_doc & (F.lower("clean") == F.lower("sentence"))), 2)
-    q3 = rest(q2, two)
-    inner = F.regexp_extract_all("part", F.lit(r"(?<=[^\p{L}\p{N}_])([\p{L}\p{N}_]{3,})(?=[^\p{L}\p{N}_])"), 1)
-    seed = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
-    parts = q3.where(F.length("part") >= LEAST_PART).withColumn("seed", F.when(F.size(inner) > 0, seed))
-    words = p.select("d", "sid", "sentence", F.explode(tokens(F.lower("sentence"))).alias("w"))
-    holds = F.contains(F.lower("sentence"), F.col("part"))
-    three = found(parts.where("seed IS NOT NULL").join(words, on_doc & (F.col("seed") == F.col("w"))).where(holds).select("doc_id", "quote_id", "sid").unionByName(parts.where("seed IS NULL").join(p, on_doc).where(holds).select("doc_id", "quote_id", "sid")), 3)
-    q4 = rest(q3, three).withColumn("ts", tokens(F.col("part"))).where(F.size("ts") > 0)
+    q = q.select("doc_id", "quote_id", F.regexp_extract("raw", POINTER, 1).try_cast("long").alias("no"), F.lower(bare(F.col("raw"))).alias("clean"))
+    q = q.withColumn("part", F.trim(F.regexp_replace("clean", r"\.{3,}|…", ""))).withColumn("ts", tokens(F.col("part")))
     n = F.size("ts")
     by_length = F.transform(F.array_sort(F.transform("ts", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
-    seeds = q4.select("doc_id", "quote_id", F.explode(F.slice(by_length, 1, n - F.ceil(n * LEAST_SHARE).cast("int") + 1)).alias("w"))
-    near = seeds.join(words.select("d", "sid", F.col("w").alias("v")), on_doc & (F.col("w") == F.col("v"))).select("doc_id", "quote_id", "sid").distinct()
-    near = near.join(q4.select("doc_id", "quote_id", "ts"), ["doc_id", "quote_id"]).join(p.select("d", F.col("sid").alias("s"), "sentence"), on_doc & (F.col("sid") == F.col("s")))
-    near = near.withColumn("share", F.size(F.array_intersect("ts", tokens(F.lower("sentence")))) / F.size("ts")).where(F.col("share") >= LEAST_SHARE)
-    four = found(near, 4, F.struct(-F.col("share"), "sid"))
-    got = one.unionByName(two).unionByName(three).unionByName(four)
-    got = got.join(p.select("d", F.col("sid").alias("s"), "sentence"), on_doc & (F.col("sid") == F.col("s")), "left").select(F.col("doc_id").alias("d"), F.col("quote_id").alias("i"), "sid", "rule", "sentence")
-    return quotes.join(got, (quotes["doc_id"] == F.col("d")) & (quotes["quote_id"] == F.col("i")), "left").select(quotes["*"], "sid", "rule", "sentence")
+    q = q.withColumn("seeds", F.slice(by_length, 1, F.when(n > 0, n - F.ceil(n * LEAST_SHARE).cast("int") + 1).otherwise(0)))
+    low = F.lower("sentence")
+    early = F.when(F.col("no") == F.col("sid"), 1).when(F.col("clean") == low, 2).when((F.length("part") >= LEAST_PART) & F.contains(low, F.col("part")), 3)
+    seeded = F.exists("seeds", lambda w: F.contains(low, w))
+    share = F.when(F.col("early").isNull() & seeded, F.size(F.array_intersect("ts", tokens(low))) / n)
+    pairs = q.join(p, F.col("doc_id") == F.col("d")).withColumn("early", early).withColumn("share", share).where((F.col("share") >= LEAST_SHARE) | F.col("early").isNotNull())
+    pairs = pairs.select("doc_id", "quote_id", F.struct(F.coalesce("early", F.lit(4)).alias("rule"), (-F.coalesce("share", F.lit(0.0))).alias("less")).alias("r"), "sid", "sentence")
+    got = pairs.groupBy(F.col("doc_id").alias("d"), F.col("quote_id").alias("i")).agg(F.min(F.struct("r", "sid", "sentence")).alias("best"))
+    out = quotes.join(got, (quotes["doc_id"] == F.col("d")) & (quotes["quote_id"] == F.col("i")), "left")
+    return out.select(quotes["*"], F.col("best.sid").alias("sid"), F.col("best.r.rule").alias("rule"), F.col("best.sentence").alias("sentence"))

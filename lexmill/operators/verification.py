@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.forms import base_verb, inflected_forms
 from ..functions.text import clean_core, ngram_coverage, words
+from .iterate import cut
 from .snapping import bare, snap
 
 #: Words of a headword that stand for any other; the least coverage of a quote that is taken for genuine.
@@ -56,34 +57,43 @@ def verify(items: DataFrame, docs: DataFrame, pool: DataFrame, families: DataFra
     answer; forms are made once for each word."""
     it = items.select("doc_id", "item", F.coalesce("word", F.lit("")).alias("word"), F.coalesce("quote", F.lit("")).alias("quote"))
     it = it.withColumn("clean", headword(F.col("word")))
-    vocabulary = it.select(F.explode(words(F.col("clean"))).alias("w")).distinct().select("w", forms_of(F.col("w")).alias("forms"))
+    vocabulary = it.select(F.explode(words(F.col("clean"))).alias("w")).distinct()
+    vocabulary = cut(vocabulary.select("w", forms_of(F.col("w")).alias("forms")))
     toks = it.select("doc_id", "item", F.posexplode(words(F.col("clean"))).alias("n", "w")).where(~F.col("w").isin(*STOPS)).join(vocabulary, "w")
     toks = toks.groupBy("doc_id", "item").agg(F.sort_array(F.collect_list(F.struct("n", "w", "forms"))).alias("toks"))
     snapped = snap(it.select("doc_id", F.col("item").alias("quote_id"), "quote"), pool).select("doc_id", F.col("quote_id").alias("item"), "sentence")
     it = it.join(toks, ["doc_id", "item"], "left").join(snapped, ["doc_id", "item"], "left")
     it = it.withColumn("toks", F.coalesce("toks", F.array().cast("array<struct<n: int, w: string, forms: array<string>>>"))).withColumn("q", F.coalesce("sentence", bare(F.col("quote"))))
+    it = cut(it)
     per = it.groupBy("doc_id").agg(F.collect_list(F.struct("item", "word", "clean", "quote", "toks", "q")).alias("items"))
     sents = pool.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("sid", bare(F.col("text")).alias("s"), clean_core(bare(F.col("text"))).alias("core")))).alias("sents"))
     source = docs.select("doc_id", F.coalesce(clean_core(F.col("text")), F.lit("")).alias("source"))
     per = per.join(source, "doc_id", "left").join(sents, "doc_id", "left").withColumn("source", F.coalesce("source", F.lit(""))).withColumn("sents", F.coalesce("sents", F.array().cast(sents.schema["sents"].dataType)))
 
-    def mend(x: Column) -> Column:
-        n = F.size(x["toks"])
-        lacks = (n > 0) & (matched(x["toks"], clean_core(x["q"])) < enough(x["toks"])) & (matched(x["toks"], F.col("source")) == n)
-        fit = F.filter("sents", lambda s: matched(x["toks"], s["core"]) == n)
-        best = F.array_min(F.transform(fit, lambda s: F.struct(F.length(s["s"]).alias("n"), s["sid"].alias("sid"), s["s"].alias("s"))))["s"]
-        return F.struct(*(x[c].alias(c) for c in ("item", "word", "clean", "quote", "toks", "q")), F.when(lacks, best).alias("swap"))
-
-    def judge(x: Column) -> Column:
-        final = F.coalesce(x["swap"], x["q"])
-        n, core = F.size(x["toks"]), clean_core(final)
-        has = lambda text: F.when(n > 0, matched(x["toks"], text) >= enough(x["toks"])).otherwise(F.contains(text, x["clean"]))
-        here, there = has(core), has(F.col("source"))
-        unknown = (core != "") & ~F.contains(F.col("source"), core) & (ngram_coverage(core, F.col("source")) < GENUINE)
-        fault = F.when((x["word"] == "") & (final == ""), REASONS[0]).when(~here & ~there, REASONS[3]).when(~here & unknown, REASONS[4])
-        return F.struct(x["item"].alias("item"), x["word"].alias("word"), x["clean"].alias("clean"), final.alias("final_quote"), F.when(x["swap"].isNotNull(), "swapped").when(x["q"] != F.trim(x["quote"]), "snapped").alias("mended"), fault.alias("fault"))
-
-    out = per.select("doc_id", "source", F.transform("items", mend).alias("items"), "sents").select("doc_id", F.explode(F.transform("items", judge)).alias("x")).select("doc_id", "x.*")
+    with_ = lambda x, names, **more: F.struct(*(x[c].alias(c) for c in names), *(v.alias(k) for k, v in more.items()))
+    # step by step, so that what a step takes from the one before is a field, not an expression repeated
+    base = ("item", "word", "clean", "quote", "toks", "q")
+    items_ = F.transform("items", lambda x: with_(x, base, core=clean_core(x["q"]), n=F.size(x["toks"])))
+
+    def lacking(x: Column) -> Column:
+        lacks = (x["n"] > 0) & (matched(x["toks"], x["core"]) < enough(x["toks"])) & (matched(x["toks"], F.col("source")) == x["n"])
+        fit = F.when(lacks, F.filter("sents", lambda s: matched(x["toks"], s["core"]) == x["n"]))
+        best = F.array_min(F.transform(fit, lambda s: F.struct(F.length(s["s"]).alias("n"), s["sid"].alias("sid"), s["s"].alias("s"), s["core"].alias("core"))))
+        return with_(x, (*base, "core", "n"), best=best)
+
+    def settled(x: Column) -> Column:
+        mended = F.when(x["best"].isNotNull(), "swapped").when(x["q"] != F.trim(x["quote"]), "snapped")
+        return with_(x, ("item", "word", "clean", "toks", "n"), final_quote=F.coalesce(x["best"]["s"], x["q"]), core=F.coalesce(x["best"]["core"], x["core"]), mended=mended)
+
+    def judged(x: Column) -> Column:
+        has = lambda text: F.when(x["n"] > 0, matched(x["toks"], text) >= enough(x["toks"])).otherwise(F.contains(text, x["clean"]))
+        return with_(x, ("item", "word", "clean", "final_quote", "core", "mended"), here=has(x["core"]), there=has(F.col("source")), inside=(x["core"] == "") | F.contains(F.col("source"), x["core"]))
+
+    items_ = F.transform(F.transform(F.transform(items_, lacking), settled), judged)
+    out = per.select("doc_id", "source", F.explode(items_).alias("x")).select("doc_id", "source", "x.*")
+    unknown = ~F.col("inside") & (ngram_coverage(F.col("core"), F.col("source")) < GENUINE)
+    fault = F.when((F.col("word") == "") & (F.col("final_quote") == ""), REASONS[0]).when(~F.col("here") & ~F.col("there"), REASONS[3]).when(~F.col("here") & unknown, REASONS[4])
+    out = cut(out.select("doc_id", "item", "word", "clean", "final_quote", "mended", fault.alias("fault")))
     # repeats are looked for among all items that aren't repeats themselves, whatever becomes of them later
     out = out.join(families.select(F.col("w").alias("fw"), "family"), F.col("clean") == F.col("fw"), "left").withColumn("kin", F.coalesce("family", "clean"))
     empty = (F.col("clean") == "") | (F.col("fault") == REASONS[0])
