@@ -5,21 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .iterate import cut
+
 #: Words that spoil an example, its ends, and the lengths that suit one best.
 GRITTY = r"(?i)\b(?:sleazy|corpse|murder|sex|sexy|bastard|damn|hell|suicide|prostitute|whore|bitch|shit|fuck|piss|rape|cocaine|heroin)\b"
 ENDS = r"[.!\"']$"
 SHORT, LONG, IDEAL = 40, 135, 85
 LEAST = 8
 WORD = r"([a-z0-9_-]{2,})"
+#: A word's postings are dealt to so many parts, as some words are in every other sentence; hits up to so many are broadcast.
+SALTS = 16
+MOST_HITS = 200_000
 
 
 def index(pool: DataFrame) -> DataFrame:
     """w, doc_id, sid, places: the words of two characters and more of each sentence (doc_id, sid, text) longer than LEAST
-    characters, with the places at which they stand. Of sentences of one text the first alone is indexed. Dealt and sorted
-    by word, so that a table made of it answers a word from one of its parts."""
-    first = pool.where(F.length("text") > LEAST).groupBy("text").agg(F.min(F.struct("doc_id", "sid")).alias("s")).select("s.doc_id", "s.sid", "text")
-    ws = first.select("doc_id", "sid", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), 1)).alias("i", "w"))
-    return ws.groupBy("w", "doc_id", "sid").agg(F.sort_array(F.collect_list("i")).alias("places")).repartition("w").sortWithinPartitions("w", "doc_id", "sid")
+    characters, with the places at which they stand, found where the sentence is. Dealt and sorted by word, so that a table
+    made of it answers a word from one of its parts; one shuffle."""
+    ws = F.regexp_extract_all(F.lower("text"), F.lit(WORD), 1)
+    by_word = lambda ws: F.transform(F.array_distinct(ws), lambda w: F.struct(w.alias("w"), F.filter(F.transform(ws, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull()).alias("places")))
+    made = F.element_at(F.transform(F.array(ws), by_word), 1)
+    rows = pool.where(F.length("text") > LEAST).select("doc_id", "sid", F.explode(made).alias("x")).select("x.w", "doc_id", "sid", "x.places")
+    return rows.repartition("w", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).sortWithinPartitions("w", "doc_id", "sid")
 
 
 def rank(text: Column, exact: Column) -> Column:
@@ -30,7 +37,7 @@ def rank(text: Column, exact: Column) -> Column:
 
 def search(queries: DataFrame, idx: DataFrame, pool: DataFrame, limit: int = 3) -> DataFrame:
     """query_id, place, doc_id, sid, exact, text: the best `limit` sentences for each query (query_id, query), those with
-    all its words; exact if they stand one after another. Ties go to the smaller doc_id, then sid. A query's rarest word
+    all its words; exact if they stand one after another. Ties go to the smaller doc_id, then sid; of equal texts the first counts. A query's rarest word
     names the candidates, which the postings of its other words then narrow by joins on word and sentence; the texts are
     read for what is left alone. Null queries and those without a word find nothing; a word asked for twice must stand twice
     only in an exact match."""
@@ -46,6 +53,9 @@ def search(queries: DataFrame, idx: DataFrame, pool: DataFrame, limit: int = 3)
     at = hit.withColumn("begins", F.transform("places", lambda p: p - F.col("k")))
     whole = at.groupBy("query_id", "doc_id", "sid", "n", "kinds").agg(F.countDistinct("w").alias("some"), F.collect_list(F.struct("k", "begins")).alias("b")).where("some = kinds")
     common = F.aggregate("b", F.element_at("b", 1)["begins"], lambda a, x: F.array_intersect(a, x["begins"]))
-    found = whole.select("query_id", "doc_id", "sid", (F.size(common) > 0).alias("exact")).join(pool.select("doc_id", "sid", "text"), ["doc_id", "sid"])
+    hits = cut(whole.select("query_id", "doc_id", "sid", (F.size(common) > 0).alias("exact")))
+    hits = F.broadcast(hits) if hits.limit(MOST_HITS + 1).count() <= MOST_HITS else hits
+    found = pool.select("doc_id", "sid", "text").join(hits, ["doc_id", "sid"])
+    found = found.groupBy("query_id", "text", "exact").agg(F.min(F.struct("doc_id", "sid")).alias("s")).select("query_id", "text", "exact", "s.doc_id", "s.sid")
     order = Window.partitionBy("query_id").orderBy(rank(F.col("text"), F.col("exact")), "doc_id", "sid")
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("query_id", "place", "doc_id", "sid", "exact", "text")
