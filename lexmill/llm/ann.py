@@ -4,18 +4,24 @@ Fit, on the driver, from a bounded sample (at most `sample` rows, those of small
 `spread` times the root of the row count, but not more than `sample` / 24 of them (2,730, reached at some 116,000 rows), as a
 centroid needs rows to be fitted on: up to there lists stay short as the table grows, beyond it they grow with it; above FLAT of them in two levels
 (groups of centroids, then the centroids of a group), which fit and assignment go down. Then a codebook of up to 256 words
-for each of `parts` groups of components, on the residuals. The number of lists that a query probes is the smallest that
-holds `recall` of the nearest neighbours among a third of the sample, which the fit leaves out (a sample of
-under 1,536 rows is fitted whole, and a third of the loss is admitted).
+for each of `parts` groups of components, on the residuals.
 
-Index: every row gets its list and its code. Rows are dealt by (list, salt), where long lists are salted by their counts, and
-written to the shared folder, sorted by list; the original vector lies beside the code.
+Index: every row gets its list, its code and the length of what the code leaves out. Rows are dealt by (list, salt), where
+long lists are salted by their counts, and written to the shared folder, sorted by list; the original vector lies beside the
+code.
 
-Search: the query block (at most `block` queries a pass) is broadcast with its probes; a query whose lists hold fewer than k
-other rows probes on until they do. For a run of rows, the asymmetric distance tables (query parts against code words, made
-once a pass) give approximate cosines to the queries that probe their lists; the `rerank` best of the run are reranked with
-exact double-precision cosines of the original vectors, and each task keeps k of a query. Of rows with equal vectors a run
-keeps only as many as can be among the k, those of smallest id, so a crowd of equal vectors crowds nothing out.
+Probes: up to `measured` of the queries themselves, those of smallest id hash (all, if there are no more), are held against
+every row of the index by brute force. The number of lists that a query probes is the smallest whose lists hold their k
+nearest but for a fifth of the loss that `recall` admits. (The fit's own guess, from a third of its sample, holds only where
+no query takes part.) A query whose lists hold fewer than k other rows probes on until they do.
+
+Search: the query block (at most `block` queries a pass) is broadcast with its probes. For a run of rows, the asymmetric
+distance tables (query parts against code words, made once a pass) give approximate cosines to the queries that probe their
+lists. The `rerank` best of the run get exact double-precision cosines of the original vectors first; then all others whose
+approximate cosine and left-out length, its largest error, reach the query's k-th best so far. So codes rule out what can't
+be among the k and lose nothing: within the probed lists the search is exact, also among near copies, which codes can't
+tell apart. Each task keeps k of a query. Of rows with equal vectors a run keeps only as many as can be among the k, those
+of smallest id, so a crowd of equal vectors crowds nothing out.
 
 Null ids, null vectors, zero vectors and vectors with null or non-finite components take no part. A query isn't held
 against rows of its own id; rows that repeat an id are candidates one by one. Shorter vectors count as filled with zeros.
@@ -32,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stash
-from .vectors import Best, matrix, widened
+from .vectors import Best, best_of_each, matrix, widened
 
 FLAT = 2048
 CELLS = 1 << 22  # rows by queries that a task scores at once
@@ -48,6 +54,7 @@ def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     step = max(1, CELLS // max(1, len(c)))
+    c = c.astype(x.dtype, copy=False)
     size = (c * c).sum(1)[None, :]
     return np.concatenate([np.argmin(size - 2 * x[i : i + step] @ c.T, axis=1) for i in range(0, len(x), step)]) if len(x) else np.zeros(0, np.int64)
 
@@ -92,7 +99,8 @@ class Quantiser:
         self.probes = self._probes(apart, k, recall if apart is not whole else 1 - (1 - recall) / 3)
 
     def lists(self, x: np.ndarray) -> np.ndarray:
-        """The list of each row."""
+        """The list of each row, in double precision: single can't tell the centroids of near copies apart."""
+        x = x.astype(np.float64)
         if self.groups is None:
             return nearest(x, self.coarse)
         out, group = np.zeros(len(x), np.int64), nearest(x, self.groups)
@@ -115,13 +123,20 @@ class Quantiser:
         return int(need[min(len(need) - 1, int(np.ceil(recall * len(need))))]) + 1
 
     def distances(self, q: np.ndarray) -> np.ndarray:
-        return (self.coarse * self.coarse).sum(1)[None, :] - 2 * q.astype(np.float32) @ self.coarse.T
+        c = self.coarse.astype(np.float64)
+        return (c * c).sum(1)[None, :] - 2 * q.astype(np.float64) @ c.T
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = x.astype(np.float32)
+    def encode(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """List, code, and length of what the code leaves out, of each row of length 1."""
+        x = u[:, : self.width]
         lists = self.lists(x)
-        rest = x - self.coarse[lists]
-        return lists, np.stack([nearest(rest[:, a:b], book).astype(np.uint8) for a, b, book in zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)], 1)
+        left = u.copy()
+        left[:, : self.width] -= self.coarse[lists]
+        codes = np.empty((len(u), len(self.books)), np.uint8)
+        for j, (a, b, book) in enumerate(zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)):
+            codes[:, j] = nearest(left[:, a:b].astype(np.float32), book)
+            left[:, a:b] -= book[codes[:, j]]
+        return lists, codes, np.sqrt((left * left).sum(1))
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """(parts, words, queries): products of query parts and code words."""
@@ -148,7 +163,7 @@ def fit(rows: DataFrame, spread: float, parts: int, sample: int, k: int, recall:
 
 
 def build_index(rows: DataFrame, quantiser: Quantiser, run: int = 4096) -> tuple[DataFrame, np.ndarray]:
-    """The inverted file (list, id, code, v), written, dealt by list and salt, sorted by list; and the rows of each list."""
+    """The inverted file (list, id, code, left, v), written, dealt by list and salt, sorted by list; and the rows of each list."""
     shared = rows.sparkSession.sparkContext.broadcast(quantiser)
 
     def encode(batches):
@@ -160,10 +175,10 @@ def build_index(rows: DataFrame, quantiser: Quantiser, run: int = 4096) -> tuple
                 if not ok.any():
                     continue
                 ids, x, u = ids[ok], x[ok], u[ok]
-                lists, codes = qz.encode(u[:, : qz.width])
-                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), pa.array(ids), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(list(x), pa.list_(pa.float64()))], ["list", "id", "code", "v"])
+                lists, codes, left = qz.encode(u)
+                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), pa.array(ids), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(left), pa.array(list(x), pa.list_(pa.float64()))], ["list", "id", "code", "left", "v"])
 
-    coded = stash(rows.mapInArrow(encode, "list int, id long, code binary, v array<double>"), "coded")
+    coded = stash(rows.mapInArrow(encode, "list int, id long, code binary, left double, v array<double>"), "coded")
     counts = np.zeros(len(quantiser.coarse), np.int64)
     for x, n in coded.groupBy("list").count().collect():  # a row for each list
         counts[x] = n
@@ -174,7 +189,42 @@ def build_index(rows: DataFrame, quantiser: Quantiser, run: int = 4096) -> tuple
         coded = coded.join(F.broadcast(few), "list", "left")  # one row for each long list
         salts = F.coalesce("salts", F.lit(1))
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(counts.sum()) // run))
-    return stash(coded.repartition(parts, "list", F.pmod(F.xxhash64("id"), salts)).sortWithinPartitions("list", "id").select("list", "id", "code", "v"), "index"), counts
+    return stash(coded.repartition(parts, "list", F.pmod(F.xxhash64("id"), salts)).sortWithinPartitions("list", "id").select("list", "id", "code", "left", "v"), "index"), counts
+
+
+def measured_probes(index: DataFrame, queries: DataFrame, quantiser: Quantiser, k: int, recall: float, measured: int) -> int:
+    """The least number of lists that hold that share of the true k nearest of these queries, or of `measured` of them."""
+    some = queries.orderBy(F.xxhash64("id"), "id").limit(measured).toArrow().combine_chunks()
+    qid, q = matrix(some.to_batches()[0] if some.num_rows else pa.RecordBatch.from_pylist([], some.schema), "id", "v", quantiser.width)
+    u, ok = unit(q)
+    qid, u = qid[ok], u[ok]
+    if not len(qid):
+        return quantiser.probes
+    shared = index.sparkSession.sparkContext.broadcast((qid, u))
+
+    def scan(batches):
+        qid, u = shared.value
+        step = max(64, min(4096, CELLS // len(qid)))
+        for b in batches:
+            for part in (b.slice(i, step) for i in range(0, b.num_rows, step)):
+                ids, x = matrix(part, "id", "v", u.shape[1])
+                near = unit(x)[0] @ widened(u, x.shape[1]).T
+                near[ids[:, None] == qid[None, :]] = -np.inf
+                n = min(k, len(ids))
+                at = np.argpartition(-near, n - 1, axis=0)[:n]
+                rows, cols = at.ravel(), np.tile(np.arange(len(qid)), n)
+                score = near[rows, cols]
+                ok = score > -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(cols[ok]), pa.array(part.column("list").to_numpy()[rows[ok]]), pa.array(ids[rows[ok]]), pa.array(score[ok])], ["q", "list", "id", "score"])
+
+    hits = index.mapInArrow(scan, "q long, list int, id long, score double")
+    nearest_ = hits.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    true = np.array([tuple(r) for r in nearest_.select("q", "list").collect()], np.int64).reshape(-1, 2)  # k rows for each measured query
+    if not len(true):
+        return quantiser.probes
+    place = np.argsort(np.argsort(quantiser.distances(u[:, : quantiser.width]), axis=1, kind="stable"), axis=1)  # of each list for each query
+    need = np.sort(place[true[:, 0], true[:, 1]])
+    return int(need[max(0, math.ceil(recall * len(need)) - 1)]) + 1
 
 
 def kept_equals(x: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
@@ -189,6 +239,15 @@ def kept_equals(x: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
     return np.sort(order[place - first < most])
 
 
+def raised(held: np.ndarray, cols: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """The k best scores of each query (k, queries), ascending, when these come to those held."""
+    at = best_of_each(cols, score, len(held))
+    c, place = cols[at], np.arange(len(at))
+    more = np.full(held.shape, -np.inf)
+    more[place - np.searchsorted(c, c), c] = score[at]
+    return np.sort(np.concatenate([held, more]), axis=0)[len(held) :]
+
+
 def search(index: DataFrame, counts: np.ndarray, queries: DataFrame, quantiser: Quantiser, k: int, rerank: int = 48, block: int = 16_384) -> DataFrame:
     spark = index.sparkSession
     passes = max(1, -(-queries.count() // block))
@@ -209,6 +268,8 @@ def search(index: DataFrame, counts: np.ndarray, queries: DataFrame, quantiser:
                 return
             tables, base = qz.tables(u[:, : qz.width]), (u[:, : qz.width] @ qz.coarse.T).astype(np.float32)
             long_, found = np.sqrt((q * q).sum(1)), Best(k)
+            held = np.full((k, len(qid)), -np.inf)  # the k best scores of each query so far, ascending
+            slack = 3e-7 * (len(tables) + 4)  # what sums of single precision may be off by
             step = max(64, min(4096, CELLS // len(qid)))
             for b in batches:
                 for part in (b.slice(i, step) for i in range(0, b.num_rows, step)):
@@ -216,6 +277,7 @@ def search(index: DataFrame, counts: np.ndarray, queries: DataFrame, quantiser:
                     rows = kept_equals(x, ids, most)
                     ids, x, lists = ids[rows], x[rows], part.column("list").to_numpy()[rows]
                     codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(part.num_rows, -1)[rows]
+                    left = part.column("left").to_numpy()[rows]
                     near = np.full((len(ids), len(qid)), -np.inf, np.float32)
                     cuts = [0, *(np.nonzero(np.diff(lists))[0] + 1).tolist(), len(lists)]
                     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
@@ -226,14 +288,27 @@ def search(index: DataFrame, counts: np.ndarray, queries: DataFrame, quantiser:
                                 score += tables[j][codes[lo:hi, j, None], who[None, :]]
                             near[lo:hi, who] = score
                     near[ids[:, None] == qid[None, :]] = -np.inf
+                    qq, size = widened(q, x.shape[1]), np.sqrt((x * x).sum(1))
+
+                    def exact(rows, cols, ids=ids, x=x, qq=qq, size=size):
+                        nonlocal held
+                        score = np.concatenate([(x[rows[i : i + 65536]] * qq[cols[i : i + 65536]]).sum(1) for i in range(0, len(rows), 65536)] or [np.zeros(0)]) / (size[rows] * long_[cols])
+                        found.add(cols, score, ids[rows])
+                        held = raised(held, cols, score)
+
                     n = min(rerank, len(ids))
                     at = np.argpartition(-near, n - 1, axis=0)[:n]
                     rows, cols = at.ravel(), np.tile(np.arange(len(qid)), n)
                     ok = near[rows, cols] > -np.inf
-                    rows, cols = rows[ok], cols[ok]
-                    qq, size = widened(q, x.shape[1]), np.sqrt((x * x).sum(1))
-                    score = np.concatenate([(x[rows[i : i + 65536]] * qq[cols[i : i + 65536]]).sum(1) for i in range(0, len(rows), 65536)] or [np.zeros(0)])
-                    found.add(cols, score / (size[rows] * long_[cols]), ids[rows])
+                    exact(rows[ok], cols[ok])
+                    near[rows, cols] = -np.inf
+                    able = near + (left[:, None] + slack).astype(np.float32) >= held[0][None, :]
+                    able &= near > -np.inf
+                    who, some = np.nonzero(able.any(0))[0], np.nonzero(able.any(1))[0]
+                    if len(who):  # whole products first, the few that reach the k-th best exactly
+                        able = able[np.ix_(some, who)] & ((x[some] / size[some, None]) @ (qq[who] / long_[who, None]).T >= held[0][who] - 1e-12)
+                        rows, cols = np.nonzero(able)
+                        exact(some[rows], who[cols])
             col, score, ids = found.all()
             for i in range(0, len(col), 1 << 16):
                 s = slice(i, i + (1 << 16))
@@ -245,9 +320,10 @@ def search(index: DataFrame, counts: np.ndarray, queries: DataFrame, quantiser:
     return out
 
 
-def nearest_neighbours(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vec: str = "embedding", k: int = 5, spread: float = 8.0, parts: int = 16, sample: int = 65_536, recall: float = 0.9, rerank: int = 48) -> DataFrame:
+def nearest_neighbours(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vec: str = "embedding", k: int = 5, spread: float = 8.0, parts: int = 16, sample: int = 65_536, recall: float = 0.9, rerank: int = 48, measured: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score (cosine)."""
     rows, queries = (d.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vec}`").alias("v")) for d in (rows, queries))
     quantiser = fit(rows, spread, parts, sample, k, recall)
     index, counts = build_index(rows, quantiser)
+    quantiser.probes = measured_probes(index, queries, quantiser, k, 1 - (1 - recall) / 5, measured)
     return search(index, counts, queries, quantiser, k, rerank)

@@ -154,6 +154,49 @@ def test_ann_recall_of_a_larger_table(spark):
     assert len(quantiser.coarse) > 1000 and quantiser.probes < 0.2 * len(quantiser.coarse)
 
 
+@pytest.mark.parametrize("kind", ["near copies", "one direction", "tight clusters", "positive"])
+def test_ann_recall_of_other_rows(spark, kind):
+    """Rows that codes can't tell apart, and such as the sample misjudges: recall by id against brute force, each score."""
+    rng = np.random.default_rng(5)
+    if kind == "near copies":
+        x = rng.normal(size=(6000, 64))
+        x[:5400] = x[0] + 1e-3 * rng.normal(size=(5400, 64))
+    elif kind == "one direction":
+        x = 10 * rng.normal(size=64) + rng.normal(size=(6000, 64))
+    elif kind == "tight clusters":
+        x = rng.normal(size=(10, 64))[rng.integers(0, 10, 6000)] + 0.02 * rng.normal(size=(6000, 64))
+    else:
+        x = rng.random((4000, 128))
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found: dict[int, list] = {}
+    for r in ann.nearest_neighbours(df, df.where("vec_id % 50 = 0")).orderBy("rank").collect():
+        found.setdefault(r.query_id, []).append(r)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    hits = 0
+    for q in range(0, len(u), 50):
+        s = u @ u[q]
+        s[q] = -9
+        hits += len({r.vec_id for r in found[q]} & set(np.argsort(-s)[:5].tolist()))
+        assert len(found[q]) == 5 and all(abs(r.score - s[r.vec_id]) < 1e-12 for r in found[q])
+    assert hits >= 0.95 * 5 * len(found) and len(found) == len(u) // 50
+
+
+def test_ann_codes_lose_nothing(spark):
+    """Within the probed lists the search is exact, however few are reranked at first."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 24)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+    quantiser = ann.fit(df, 8.0, 4, 65_536, 5, 0.9)
+    index, counts = ann.build_index(df, quantiser)
+    quantiser.probes = len(quantiser.coarse)
+    got = [(r.query_id, r.rank, r.vec_id) for r in ann.search(index, counts, df.where("id % 100 = 0"), quantiser, 5, rerank=5).collect()]
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    want = [(q, r + 1, int(i)) for q in range(0, 3000, 100) for r, i in enumerate([j for j in np.argsort(-(u @ u[q])) if j != q][:5])]
+    assert sorted(got) == want
+    assert ann.measured_probes(index, df.where("id % 100 = 0"), quantiser, 5, 1.0, 1024) <= len(quantiser.coarse)
+
+
 def test_ann_two_levels(spark, monkeypatch):
     monkeypatch.setattr(ann, "FLAT", 8)
     df = table(spark, SF, "embeddings")
