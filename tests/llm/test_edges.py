@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexmill.llm import lines, mixing, queries, toxicity, urls
+from lexmill.llm import common, lines, mixing, queries, toxicity, urls
 
 NAMES = ("__id", "__th", "__lines", "__did", "__drop", "__n", "__s", "__t", "__g", "__h", "__hash", "c0", "c1", "copies", "below", "key", "node")
 
@@ -40,6 +40,26 @@ def test_lines_on_exactly_so_many_sites(spark, sites):
     assert lines.dedup_lines(docs.limit(0), counts=True).count() == 0
 
 
+def test_lines_written_in_few_files(spark, tmp_path, monkeypatch):
+    """The small tables of lines are a file a core at most, however many partitions their shuffles have; same rows."""
+    rows = [(i, "\n".join(f"this line {(i + j) % 300} stands here" for j in range(8)), f"s{i % 7}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(tuple(r) for r in lines.dedup_lines(docs, counts=True).collect())
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    now = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in now}
+    try:
+        for k, v in now.items():
+            spark.conf.set(k, v)
+        got = sorted(tuple(r) for r in lines.dedup_lines(docs, counts=True).collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    files = {d.name: len(list(d.glob("part-*"))) for d in tmp_path.iterdir()}
+    assert len(files) == 2 and all(0 < n <= spark.sparkContext.defaultParallelism for n in files.values()), files
+    assert got == want and sum(r[4] for r in got) == 2100
+
+
 def test_mixing_by_value(spark):
     words = lambda n: " ".join(["w"] * n)
     rows = [(i, words(1), "a") for i in range(30)] + [(100 + i, words(3), "b") for i in range(200)] + [(400, None, "a"), (401, "", "a"), (500, words(5), None)]
