@@ -67,6 +67,18 @@ def test_cuts_and_damage():
         assert healed(deep)
 
 
+def test_cut_within_later_keys():
+    """Wherever an answer is cut, its strings hold the beginning of theirs, also if the cut is in a key or string behind a comma."""
+    doc = {"role": "user", "text": 'He said "hi", "so",\n"x": y, (z).', "more": {"n": 1, "l": ["user", "us,er"]}}
+    for text in (json.dumps(doc), json.dumps(doc, separators=(",", ":")), json.dumps(doc, indent=2)):
+        for k in range(len(text)):
+            got = json.loads(healed(text[:k]))
+            for name in ("role", "text"):
+                assert doc[name].startswith(got.get(name) or ""), (text[:k], got)
+            for x, y in zip((got.get("more") or {}).get("l") or [], doc["more"]["l"], strict=False):
+                assert y.startswith(x), (text[:k], got)
+
+
 def test_heal_column(spark):
     rows = spark.createDataFrame([(1, None), (2, ""), (3, '{"a":[1'), (4, '{"a": 1}')], "id int, t string")
     assert {r.id: r.h for r in rows.select("id", heal("t").alias("h")).collect()} == {1: None, 2: "{}", 3: '{"a":[1]}', 4: '{"a": 1}'}
