@@ -76,7 +76,7 @@ def redacted(flag: Column) -> Column:
 def snippet(flag: Column) -> Column:
     """The longest quoted span of several words and eight characters, lower-cased, without closing dots; the first of
     equally long ones; null if there is none."""
-    spans = F.transform(F.regexp_extract_all(flag, F.lit(QUOTED), 1), lambda s: F.struct((-F.length(s)).alias("n"), F.lower(F.regexp_replace(F.trim(s), r"[.… ]+$", "")).alias("s")))
+    spans = F.transform(F.regexp_extract_all(flag, F.lit(QUOTED), 1), lambda s: F.struct((-F.length(s)).alias("n"), F.lower(F.regexp_replace(F.trim(s), r"[.… ]+\z", "")).alias("s")))
     spans = F.transform(spans, lambda x, i: F.struct(x["n"].alias("n"), i.alias("i"), x["s"].alias("s")))
     return F.try_element_at(F.array_sort(F.filter(spans, lambda x: (F.length(x["s"]) >= 8) & F.contains(x["s"], F.lit(" ")))), F.lit(1))["s"]
 

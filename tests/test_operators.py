@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexmill.functions import text
-from lexmill.operators import candidates, discourse, graph, quotes, sense
+from lexmill.operators import candidates, discourse, graph, quotes, sense, tickets
 
 
 def one(spark, column):
@@ -113,3 +113,17 @@ def test_pool_walk(spark):
             at = (at + step) % len(own)
         want |= {(t, w, n + 1) for n, w in enumerate(seen)}
     assert {tuple(r) for r in candidates.pool_walk(targets, pool).collect()} == want
+
+
+def broken_quotes(spark):
+    """Flags of one quiz that quote a line with its line break, behind a closing dot or not."""
+    quote = "Atin and. Stnd.\n"
+    flags = spark.createDataFrame([(1, 1, f"❌ Explanation anchor not grounded near '{quote}'"), (1, 2, f"❌ Explanation anchor not grounded near '{quote.strip()}'")], "quiz_id long, n int, flag string")
+    items = spark.createDataFrame([(1, [(["x"], ["Other."]), (["y"], [f"{quote}More of it."])])], "quiz_id long, items array<struct<names: array<string>, contents: array<string>>>")
+    return flags, items
+
+
+def test_tickets_of_quotes_with_line_breaks(spark):
+    """A quote that ends in a line break is looked for as it stands: its dot before the break isn't a closing one."""
+    got = tickets.repair_tickets(*broken_quotes(spark)).collect()
+    assert sorted((r.ticket, r.field) for r in got) == [(1, "items[1].explanation"), (2, "items[1].explanation")]
