@@ -127,3 +127,9 @@ def test_tickets_of_quotes_with_line_breaks(spark):
     """A quote that ends in a line break is looked for as it stands: its dot before the break isn't a closing one."""
     got = tickets.repair_tickets(*broken_quotes(spark)).collect()
     assert sorted((r.ticket, r.field) for r in got) == [(1, "items[1].explanation"), (2, "items[1].explanation")]
+
+
+def test_mandates_of_quotes_with_line_breaks(spark):
+    flags, items = broken_quotes(spark)
+    got = tickets.mandates(tickets.repair_tickets(flags.where("n = 1"), items)).collect()
+    assert [(r.quiz_id, r.fields) for r in got] == [(1, "items[1].explanation")]
