@@ -120,6 +120,20 @@ def pool_walk(targets: DataFrame, pool: DataFrame, count: int = 3) -> DataFrame:
     return hit.withColumn("turn", F.row_number().over(Window.partitionBy("target").orderBy("turn"))).where(F.col("turn") <= count).select("target", "word", "turn")
 
 
+def nearest_by_prefix(targets: DataFrame, pool: DataFrame, letters: int, most: int) -> DataFrame:
+    """target, word, ord: of the pool's words that share a target's first letters, those of the nearest length, then first by
+    word; ord is the difference in length. At least `most` of them, or all there are, the target itself among them. They
+    depend on the target's length and letters alone, so they are found once for all targets of the same, from the first
+    `most` words of each length: pairs of words don't arise."""
+    key = lambda c: [F.substring(c, 1, letters).alias("head"), F.length(c).alias("n")]
+    first = lambda *order: F.row_number().over(Window.partitionBy("head", "n").orderBy(*order)) <= most
+    of = pool.select("word", *key("word")).distinct().withColumn("first", first("word")).where("first").select("head", F.col("n").alias("length"), "word")
+    t = targets.select("target", *key("target"))
+    near = t.select("head", "n").distinct().join(of, "head").withColumn("ord", F.abs(F.col("n") - F.col("length")))
+    near = near.withColumn("first", first("ord", "word")).where("first").drop("first", "length")
+    return t.join(near, ["head", "n"]).select("target", "word", "ord")
+
+
 def ranked_union(tiers: list[DataFrame], banned: DataFrame | None = None, count: int = 3) -> DataFrame:
     """target, word, tier, place: candidates of several tiers (target, word, ord), the lowest tier of a word counting, without
     banned pairs (target, word); by tier, then order, then word."""

@@ -35,10 +35,16 @@ def words_of(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("([a-z]+)"), 1)).alias("i", "w"))
 
 
+def document_frequencies(docs: DataFrame, text: str = "text", least: int = 2) -> DataFrame:
+    """word, df: the number of documents that hold a word, of words of `least` letters or more."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("([a-z]+)"), 1))
+    return docs.select("doc_id", F.explode(words).alias("word")).where(F.length("word") >= least).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+
+
 def corpus_levels(docs: DataFrame, text: str = "text", least: int = 2) -> DataFrame:
     """word, df, level (1 to 6 by rank of document frequency, in steps by the logarithm of the rank) of words of `least`
     letters or more. The ranks are counted by frequency: one row for each frequency, so no global sort of words."""
-    df = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("([a-z]+)"), 1))).alias("word")).where(F.length("word") >= least).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    df = document_frequencies(docs, text, least)
     by = df.groupBy("df").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("df")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranks = by.select("df", before.alias("before"), F.sum("n").over(Window.partitionBy()).alias("all"))

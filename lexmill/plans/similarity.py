@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
-from ..operators import candidates
-from .lexicon import LEVELS, levels
+from ..operators import candidates, lexicon
+from .lexicon import LEVELS, english, levels
 from .registry import query
 
 SKEL = "w"
@@ -31,7 +31,10 @@ DIST = "CASE WHEN levenshtein(a, b) > 2 THEN 99 ELSE levenshtein(a, b) END"
 
 
 def pool(spark, sf_dir):
-    return levels(spark, sf_dir).where((F.col("df") >= 12) & (F.length("word") >= 4)).select("word")
+    """Without the levels, as the pool takes none. The word isn't nullable, or each join would put its own filter for nulls
+    before the counting, and the documents would be read again for each."""
+    df = lexicon.document_frequencies(english(spark, sf_dir))
+    return df.where((F.col("df") >= 12) & (F.length("word") >= 4)).select(F.coalesce("word", F.lit("")).alias("word"))
 
 
 @query(f"WITH {POOL}, {TARGETS}, p AS (SELECT tg.word AS a, pool.word AS b FROM tg JOIN pool ON tg.word <> pool.word AND tg.word[1:3] = pool.word[1:3]) SELECT a AS target, b AS word, {PREF} AS pref, {SUFF} AS suff, {DIST} AS dist FROM p")
@@ -80,10 +83,8 @@ def tiered_alternatives(spark, sf_dir):
     """Tiers: same five letters, same three letters; plural forms are banned."""
     w = pool(spark, sf_dir)
     b = w.select(F.col("word").alias("target"))
-
-    def near(n: int):
-        j = b.join(w, F.substring("target", 1, n) == F.substring("word", 1, n))
-        return j.select("target", "word", F.abs(F.length("target") - F.length("word")).alias("ord"))
-
-    forms = near(3).where((F.col("word") == F.concat("target", F.lit("s"))) | (F.col("target") == F.concat("word", F.lit("s"))))
+    # three places, the target, its two forms, and in the second tier the words that the first one has: two, or there is no need
+    near = lambda letters: candidates.nearest_by_prefix(b, w, letters, most=3 + 1 + 2 + 2)
+    s = F.lit("s")
+    forms = b.select("target", F.concat("target", s).alias("word")).unionByName(b.select(F.concat("target", s).alias("target"), F.col("target").alias("word")))
     return candidates.ranked_union([near(99).limit(0), near(5), near(3)], forms)

@@ -133,3 +133,15 @@ def test_mandates_of_quotes_with_line_breaks(spark):
     flags, items = broken_quotes(spark)
     got = tickets.mandates(tickets.repair_tickets(flags.where("n = 1"), items)).collect()
     assert [(r.quiz_id, r.fields) for r in got] == [(1, "items[1].explanation")]
+
+
+def test_nearest_by_prefix(spark):
+    """Against all pairs; a crowded prefix makes no more rows than are asked for of each target."""
+    import random
+
+    rng = random.Random(7)
+    words = sorted({"the" + "".join(rng.choices("aes", k=rng.randint(0, 6))) for _ in range(300)} | {"thaw", "abc"})
+    w = spark.createDataFrame([(x,) for x in words], "word string")
+    got = candidates.nearest_by_prefix(w.select(F.col("word").alias("target")), w, 3, 4).collect()
+    best = {a: sorted((abs(len(a) - len(b)), b) for b in words if b[:3] == a[:3])[:4] for a in words}
+    assert sorted((r.target, r.ord, r.word) for r in got) == sorted((a, n, b) for a in words for n, b in best[a])
