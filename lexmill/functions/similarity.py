@@ -28,9 +28,46 @@ def common_prefix(a: Column, b: Column) -> Column:
     """Number of equal leading characters. Words of up to LONGEST letters are compared prefix by prefix, in generated code."""
     n = F.least(F.length(a), F.length(b))
     steps = sum(((F.substring(a, 1, k) == F.substring(b, 1, k)) & (n >= k)).cast("int") for k in range(1, LONGEST + 1))
+    return F.when(n <= LONGEST, steps).otherwise(looped_prefix(a, b))
+
+
+def looped_prefix(a: Column, b: Column) -> Column:
+    """common_prefix of words of any length, by little code."""
+    n = F.least(F.length(a), F.length(b))
     # the longest prefix is where the first difference is: no loop beyond it has to be kept
     differ = F.array_position(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))), True)
-    return F.when(n <= LONGEST, steps).when(differ == 0, n).otherwise(differ.cast("int") - 1)
+    return F.when(n == 0, 0).when(differ == 0, n).otherwise(differ.cast("int") - 1)
+
+
+#: Words of up to this many characters, all ASCII, are compared as numbers.
+PACKED = 24
+
+
+def packed(word: Column) -> Column:
+    """What the comparison of many pairs needs of a word, computed once: n, its characters as numbers of eight each (null for
+    words that aren't ASCII or longer than PACKED), and which letters it has an odd number of times, by code point mod 64."""
+    number = lambda i: F.conv(F.hex(F.rpad(F.substring(word, 8 * i + 1, 8), 8, "\0")), 16, 10).cast("long")
+    fits = (F.length(word) <= PACKED) & (F.octet_length(word) == F.length(word))
+    odd = F.aggregate(F.filter(F.split(word, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda m, c: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % 64)))
+    return F.struct(F.length(word).alias("n"), *(F.when(fits, number(i)).alias(f"w{i}") for i in range(PACKED // 8)), odd.alias("odd"))
+
+
+def packed_prefix(a: Column, b: Column, a_word: Column, b_word: Column) -> Column:
+    """common_prefix of two words by what `packed` says of them: the place of the first byte that differs."""
+    least = F.least(a["n"], b["n"])
+    out = least
+    for i in reversed(range(PACKED // 8)):
+        x = a[f"w{i}"].bitwiseXOR(b[f"w{i}"])  # never negative, as no byte of ASCII has the highest bit
+        place = F.when(x >= 1 << 32, F.when(x >= 1 << 48, F.when(x >= 1 << 56, 0).otherwise(1)).otherwise(F.when(x >= 1 << 40, 2).otherwise(3))).otherwise(F.when(x >= 1 << 16, F.when(x >= 1 << 24, 4).otherwise(5)).otherwise(F.when(x >= 1 << 8, 6).otherwise(7)))
+        out = F.when(x != 0, place + 8 * i).otherwise(out)
+    return F.when(a["w0"].isNotNull() & b["w0"].isNotNull(), out).otherwise(looped_prefix(a_word, b_word))
+
+
+def packed_distance(a: Column, b: Column, a_word: Column, b_word: Column) -> Column:
+    """bounded_distance of two words by what `packed` says of them: an edit changes the length by one at most and the parity
+    of two letters at most, so that most pairs need no comparison."""
+    far = (F.abs(a["n"] - b["n"]) > 2) | (F.bit_count(a["odd"].bitwiseXOR(b["odd"])) > 4)
+    return F.when(far, FAR).otherwise(bounded_distance(a_word, b_word))
 
 
 def common_suffix(a: Column, b: Column) -> Column:

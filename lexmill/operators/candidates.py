@@ -120,6 +120,22 @@ def pool_walk(targets: DataFrame, pool: DataFrame, count: int = 3) -> DataFrame:
     return hit.withColumn("turn", F.row_number().over(Window.partitionBy("target").orderBy("turn"))).where(F.col("turn") <= count).select("target", "word", "turn")
 
 
+def pair_distances(targets: DataFrame, pool: DataFrame, letters: int = 3, slices: int = 16) -> DataFrame:
+    """target, word, pref, suff, dist: each target with each other word of the pool that begins with the same letters; lengths
+    of common prefix and suffix, edit distance up to 2, else 99. All pairs come out. The targets of a prefix are dealt to
+    `slices` parts, with its words in each, so that a frequent prefix isn't one task; what the comparison needs of a word is
+    computed before the join."""
+    part = F.pmod(F.xxhash64("word"), F.lit(slices)).alias("part")
+    parts = max(slices * 4, targets.sparkSession.sparkContext.defaultParallelism * 4)
+    of = [S.packed(F.col("word")).alias("p"), S.packed(F.reverse("word")).alias("r"), F.reverse("word").alias("back"), F.substring("word", 1, letters).alias("head")]
+    t = targets.select(F.col("word").alias("target"), part, *of).repartition(parts, "head", "part").alias("t")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("part")
+    w = pool.select("word", *of).select("*", each).repartition(parts, "head", "part").alias("w")
+    j = t.hint("shuffle_hash").join(w, (F.col("t.head") == F.col("w.head")) & (F.col("t.part") == F.col("w.part")) & (F.col("target") != F.col("word")))
+    p, r = ((F.col(f"t.{k}"), F.col(f"w.{k}")) for k in ("p", "r"))
+    return j.select("target", "word", S.packed_prefix(*p, F.col("target"), F.col("word")).alias("pref"), S.packed_prefix(*r, F.col("t.back"), F.col("w.back")).alias("suff"), S.packed_distance(*p, F.col("target"), F.col("word")).alias("dist"))
+
+
 def nearest_by_prefix(targets: DataFrame, pool: DataFrame, letters: int, most: int) -> DataFrame:
     """target, word, ord: of the pool's words that share a target's first letters, those of the nearest length, then first by
     word; ord is the difference in length. At least `most` of them, or all there are, the target itself among them. They

@@ -39,11 +39,9 @@ def pool(spark, sf_dir):
 
 @query(f"WITH {POOL}, {TARGETS}, p AS (SELECT tg.word AS a, pool.word AS b FROM tg JOIN pool ON tg.word <> pool.word AND tg.word[1:3] = pool.word[1:3]) SELECT a AS target, b AS word, {PREF} AS pref, {SUFF} AS suff, {DIST} AS dist FROM p")
 def pair_distances(spark, sf_dir):
-    w = pool(spark, sf_dir).select("word", F.reverse("word").alias("back"))
-    t = w.where(F.length("word") >= 6).select(F.col("word").alias("target"), F.col("back").alias("behind"))
-    p = t.join(w, (F.substring("target", 1, 3) == F.substring("word", 1, 3)) & (F.col("target") != F.col("word")))
-    a, b = F.col("target"), F.col("word")
-    return p.select("target", "word", S.common_prefix(a, b).cast("long").alias("pref"), S.common_prefix(F.col("behind"), F.col("back")).cast("long").alias("suff"), S.bounded_distance(a, b).cast("long").alias("dist"))
+    w = pool(spark, sf_dir)
+    p = candidates.pair_distances(w.where(F.length("word") >= 6), w)
+    return p.select("target", "word", *(F.col(c).cast("long").alias(c) for c in ("pref", "suff", "dist")))
 
 
 def _block(own: bool) -> str:

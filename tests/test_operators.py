@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.functions import text
+from lexmill.functions import similarity, text
 from lexmill.operators import candidates, discourse, graph, quotes, sense, tickets
 
 
@@ -145,3 +145,13 @@ def test_nearest_by_prefix(spark):
     got = candidates.nearest_by_prefix(w.select(F.col("word").alias("target")), w, 3, 4).collect()
     best = {a: sorted((abs(len(a) - len(b)), b) for b in words if b[:3] == a[:3])[:4] for a in words}
     assert sorted((r.target, r.ord, r.word) for r in got) == sorted((a, n, b) for a in words for n, b in best[a])
+
+
+def test_pair_distances(spark):
+    """Long words, words beyond ASCII and words that are the beginning of others, against the expressions pair by pair."""
+    words = ["theabcdeé", "theabcdef", "theabcde", "theabcdefghijklmnopqrstuvwxyz", "theabcdefghijklmnopqrstuvwxyza", "theabcdefghijklmnopqrstu", "theabcdefghijklmnopqrstv", "thébcdef", "thecbadef", "the", "thefedcba"]
+    w = spark.createDataFrame([(x,) for x in words], "word string")
+    got = sorted(tuple(r) for r in candidates.pair_distances(w, w, slices=3).select("target", "word", "pref", "suff", "dist").collect())
+    t = w.select(F.col("word").alias("target"))
+    want = t.join(w, (F.col("target") != F.col("word")) & (F.substring("target", 1, 3) == F.substring("word", 1, 3)))
+    assert got == sorted(tuple(r) for r in want.select("target", "word", similarity.common_prefix(F.col("target"), F.col("word")), similarity.common_suffix(F.col("target"), F.col("word")), similarity.bounded_distance(F.col("target"), F.col("word"))).collect())
