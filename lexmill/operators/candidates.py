@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,74 +24,143 @@ def sounded(words: DataFrame) -> DataFrame:
 
 
 def blocks(s: DataFrame) -> DataFrame:
-    """A row for each block of a word: first and second letter, consonant skeleton, rhyme, ending. Each block holds the length
-    as well, and a word asks for the lengths within what a hit may differ by, so that a frequent letter or ending isn't one
-    group and pairs that can't be hits don't arise."""
+    """A row for each block of a word: first three letters, second to fourth letter, consonant skeleton, rhyme, ending."""
     w, n = F.col("word"), F.length("word")
-    named = [(F.when(F.length("skel") >= 3, F.concat(F.lit("k:"), "skel")), 2), (F.when(F.length("rhyme") >= 3, F.concat(F.lit("r:"), "rhyme")), 3), (F.when(n >= 6, F.concat(F.lit("e:"), F.substring(w, n - 3, F.lit(4)))), 3)]
-    named += [(F.when(F.endswith(w, F.lit(x)) & (n >= len(x) + 2), F.lit(f"a:{x}")), 4) for x in SCHOLARLY]
-    named += [(F.concat(F.lit(f"{i}:"), F.substring(w, F.lit(i), F.lit(3))), 3) for i in (1, 2)]
-
-    def keyed(c: Column, gap: int) -> Column:
-        return F.when(c.isNotNull(), F.transform(F.sequence(n - gap, n + gap), lambda k: F.concat(c, F.lit(":"), k.cast("string"))))
-
-    ask = F.flatten(F.array_compact(F.array(*(keyed(c, gap) for c, gap in named))))
-    has = F.array_compact(F.array(*(F.concat(c, F.lit(":"), n.cast("string")) for c, _ in named)))
-    return s.withColumn("ask", ask).withColumn("has", has)
+    named = [F.when(F.length("skel") >= 3, F.concat(F.lit("k:"), "skel")), F.when(F.length("rhyme") >= 3, F.concat(F.lit("r:"), "rhyme")), F.when(n >= 6, F.concat(F.lit("e:"), F.substring(w, n - 3, F.lit(4))))]
+    named += [F.when(F.endswith(w, F.lit(x)) & (n >= len(x) + 2), F.lit(f"a:{x}")) for x in SCHOLARLY]
+    named += [F.concat(F.lit(f"{i}:"), F.substring(w, F.lit(i), F.lit(3))) for i in (1, 2)]
+    return s.select("*", F.explode(F.array_compact(F.array(*named))).alias("block"))
 
 
 #: What counts for how much in the score of a look-alike.
 NEAR, CLOSE, PREFIX, SUFFIX, GAP, SKELETON, SAME_BEAT, RHYME, CONTAINED, LEARNED, LEARNED_BEAT = 45, 26, 4, 2, 2, 18, 14, 12, 30, 44, 4
-
-
-def compared(t: dict[str, Column], c: dict[str, Column]) -> Column:
-    """What the score of a pair needs, as a struct: edit distance, common ends, difference in length, sound."""
-    a, b = t["word"], c["word"]
-    gap = F.abs(F.length(a) - F.length(b))
-    scholarly = F.lit(False)
-    for x in SCHOLARLY:
-        scholarly = scholarly | (F.endswith(a, F.lit(x)) & F.endswith(b, F.lit(x)))
-    return F.struct(
-        gap.alias("gap"), S.common_prefix(a, b).alias("pref"), S.common_prefix(t["back"], c["back"]).alias("suff"), S.bounded_distance(a, b).alias("d"), F.length(a).alias("n"),
-        ((t["skel"] != "") & (t["skel"] == c["skel"]) & (gap <= 2)).alias("skel"),
-        ((F.least(F.length(a), F.length(b)) >= 5) & (gap <= 3) & (F.endswith(a, b) | F.endswith(b, a)) & (t["rhyme"] == c["rhyme"])).alias("contains"),
-        ((F.length(t["rhyme"]) >= 3) & (t["rhyme"] == c["rhyme"])).alias("rhyme"), F.abs(t["syl"] - c["syl"]).alias("beats"), (scholarly & (F.abs(t["syl"] - c["syl"]) <= 2)).alias("scholarly"),
-    )
-
-
-def lookalike_score(m: str) -> tuple[Column, Column]:
-    """(is a look-alike, score) of a pair from what `compared` says, in column m."""
-    gap, pref, suff, d, n, skel, contains, rhyme, beats, scholarly = (F.col(f"{m}.{k}") for k in ("gap", "pref", "suff", "d", "n", "skel", "contains", "rhyme", "beats", "scholarly"))
-    rhymes = (rhyme & (d <= 2)) | contains
-    hit = (d <= 2) | skel | rhymes | scholarly | ((pref >= 4) & (n >= 6) & (gap <= 3)) | ((pref >= 3) & (suff >= 2))
-    score = (
-        F.when(d == 1, NEAR).when(d == 2, CLOSE).otherwise(0)
-        + pref * PREFIX
-        + suff * SUFFIX
-        - F.when(scholarly, 0).otherwise(gap * GAP)
-        + F.when(skel & (d <= 2), SKELETON).when(skel & (beats == 0), SAME_BEAT).otherwise(0)
-        + F.when(rhymes & (beats == 0), RHYME).otherwise(0)
-        + F.when(contains, CONTAINED).otherwise(0)
-        + F.when(scholarly, LEARNED + F.when(beats <= 1, LEARNED_BEAT).otherwise(0)).otherwise(0)
-    )
-    return hit & (gap <= F.when(scholarly, 4).otherwise(3)), score
+#: Targets of a block that are compared in one group, and pairs that are compared at once.
+SLICE, AT_ONCE = 1024, 2**18
+NONE = np.iinfo(np.int32).min
+
+
+def within_two(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """Edit distances of pairs of words, 3 and more standing for more than 2: rows of character codes, and lengths that differ
+    by 2 at most. Only places up to 2 from the diagonal matter."""
+    a, b, far = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), np.uint8(9)
+    out = np.where(la == 0, lb, 9).astype(np.uint8)
+    prev = [np.full(len(la), d, np.uint8) for d in (9, 9, 0, 1, 2)]
+    for i in range(1, int(la.max(initial=0)) + 1):
+        now = []
+        for k in range(5):
+            j = i + k - 2
+            if j < 1 or j > len(b):
+                now.append(np.full(len(la), i if j == 0 else far, np.uint8))
+                continue
+            d = prev[k] + (a[i - 1] != b[j - 1])
+            if k < 4:
+                d = np.minimum(d, prev[k + 1] + np.uint8(1))
+            now.append(np.minimum(d, now[k - 1] + np.uint8(1)) if k else d)
+        prev = now
+        for k in range(5):
+            np.copyto(out, now[k], where=(la == i) & (lb - la == k - 2))
+    return out
+
+
+def word_codes(words: np.ndarray) -> dict[str, np.ndarray]:
+    """Of each word its length, its characters' codes from the front and from the back (0 beyond it), and as bits which
+    characters it has an odd number of times, by code mod 64."""
+    width = words.dtype.itemsize // 4
+    codes, n = words.view(np.uint32).reshape(len(words), width), np.char.str_len(words).astype(np.int32)
+    at = n[:, None] - 1 - np.arange(width)
+    back = np.where(at >= 0, np.take_along_axis(codes, np.maximum(at, 0), 1), 0)
+    bits = np.where(codes > 0, np.left_shift(np.uint64(1), codes.astype(np.uint64) % np.uint64(64)), np.uint64(0))
+    small = np.uint8 if codes.max(initial=0) < 256 else np.uint32
+    return {"n": n, "codes": codes.astype(small), "back": back.astype(small), "odd": np.bitwise_xor.reduce(bits, axis=1)}
+
+
+def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of equal leading characters, each row of codes with each."""
+    same, out = np.ones((len(a), len(b)), bool), np.zeros((len(a), len(b)), np.int32)
+    for k in range(a.shape[1]):
+        same &= a[:, k, None] == b[None, :, k]
+        if not same.any():
+            break
+        out += same
+    return out
+
+
+def pair_scores(f: dict[str, np.ndarray], t: np.ndarray, c: np.ndarray, widest: int) -> np.ndarray:
+    """Scores of each target (rows t of f) with each word (rows c); NONE where the pair isn't a look-alike, is a word with
+    itself or differs in length by more than `widest`."""
+    of = lambda k: (f[k][t][:, None], f[k][c][None, :])
+    (la, lb), (oa, ob), (ra, rb), (ka, kb), (ea, eb), (ya, yb) = map(of, ("n", "odd", "rhyme", "skel", "ends", "syl"))
+    gap, beats = np.abs(la - lb), np.abs(ya - yb)
+    pref, suff = common(f["codes"][t], f["codes"][c]), common(f["back"][t], f["back"][c])
+    may = (gap <= widest) & ~((gap == 0) & (pref >= la))
+    one = may & (gap <= 1) & (pref + suff >= np.maximum(la, lb) - 1)
+    two = np.zeros(may.shape, bool)
+    i, j = np.nonzero(may & ~one & (gap <= 2) & (np.bitwise_count(oa ^ ob) <= 4))  # an edit changes the parity of two characters at most
+    two[i, j] = within_two(f["codes"][t[i]], f["codes"][c[j]], f["n"][t[i]], f["n"][c[j]]) == 2
+    near, skel, rhyme = one | two, (ka == kb) & (ka >= 0) & (gap <= 2), ra == rb
+    contains = (np.minimum(la, lb) >= 5) & (gap <= 3) & (suff >= np.minimum(la, lb)) & rhyme
+    scholarly = ((ea & eb) > 0) & (beats <= 2)
+    rhymes = (rhyme & f["long_rhyme"][t][:, None] & near) | contains
+    hit = near | skel | rhymes | scholarly | ((pref >= 4) & (la >= 6)) | ((pref >= 3) & (suff >= 2))
+    hit &= may & (gap <= np.where(scholarly, 4, 3))
+    score = one * NEAR + two * CLOSE + pref * PREFIX + suff * SUFFIX - ~scholarly * gap * GAP + skel * np.where(near, SKELETON, (beats == 0) * SAME_BEAT)
+    score += (rhymes & (beats == 0)) * RHYME + contains * CONTAINED + scholarly * (LEARNED + (beats <= 1) * LEARNED_BEAT)
+    return np.where(hit, score, NONE).astype(np.int32)
+
+
+def best_of_groups(rows: pd.DataFrame, count: int) -> pd.DataFrame:
+    """target, word, score: for each target of each group (block and slice) its best look-alikes there, by score, then word.
+    Rows come by group, then words before targets (asked), then by word."""
+    words = rows["word"].to_numpy().astype(str)
+    f = word_codes(words) | {"syl": rows["syl"].to_numpy(np.int32), "rhyme": pd.factorize(rows["rhyme"])[0], "long_rhyme": rows["rhyme"].str.len().to_numpy() >= 3}
+    f["skel"] = np.where(rows["skel"].to_numpy() == "", -1, pd.factorize(rows["skel"])[0])
+    f["ends"] = sum((np.char.endswith(words, x).astype(np.int32) << i for i, x in enumerate(SCHOLARLY)))
+    asked, block = rows["asked"].to_numpy(bool), rows["block"].to_numpy()
+    begins = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (rows["slice"].to_numpy()[1:] != rows["slice"].to_numpy()[:-1])])
+    found = []
+    for begin, end in zip(begins, np.r_[begins[1:], len(rows)], strict=True):
+        at = np.arange(begin, end)
+        c, t = at[~asked[begin:end]], at[asked[begin:end]]
+        step = max(1, AT_ONCE // max(1, len(c)))
+        for k in range(0, len(t) if len(c) else 0, step):
+            part = t[k : k + step]
+            score, each = pair_scores(f, part, c, 3 if block[begin][:2] in ("1:", "2:") else 4), np.arange(len(part))
+            for _ in range(count):
+                best = score.argmax(axis=1)  # of equal ones the first, which is the first by word
+                value = score[each, best]
+                ok = value > NONE
+                found.append((words[part[ok]], words[c[best[ok]]], value[ok]))
+                score[each, best] = NONE
+    cols = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.array([], str), np.array([], str), np.array([], np.int32)]
+    return pd.DataFrame({"target": cols[0].astype(object), "word": cols[1].astype(object), "score": cols[2]})
 
 
 def lookalikes(targets: DataFrame, pool: DataFrame, count: int = 3) -> DataFrame:
-    """target, word, score, place: the best look-alikes of each target, by score, then word. A similarity join: pairs come
-    from shared blocks alone, of lengths within four letters, and each pair is scored once; what the score needs of the words
-    joins the pairs when these are distinct."""
-    own, every = (sounded(d.select("word").distinct()) for d in (targets, pool))
-    t, c = blocks(own).select(F.col("word").alias("t"), F.explode("ask").alias("block")), blocks(every).select(F.col("word").alias("c"), F.explode("has").alias("block"))
-    near = F.abs(F.length("t") - F.length("c")) <= 4
-    pairs = t.join(c, "block").where((F.col("t") != F.col("c")) & near).select("t", "c").distinct()
-    parts = ("word", "back", "skel", "rhyme", "syl")
-    of = [d.withColumn("back", F.reverse("word")).select(F.col("word").alias(k), F.struct(*parts).alias(f"{k}s")) for d, k in ((own, "t"), (every, "c"))]
-    pairs = pairs.join(of[0], "t").join(of[1], "c")
-    # exploded, so that the comparisons of a pair are made once and not for each place where the score uses them
-    m = F.explode(F.array(compared({k: F.col(f"ts.{k}") for k in parts}, {k: F.col(f"cs.{k}") for k in parts}))).alias("m")
-    hit, score = lookalike_score("m")
-    scored = pairs.select("t", "c", m).where(hit).select(F.col("t").alias("target"), F.col("c").alias("word"), score.alias("score"))
+    """target, word, score, place: the best look-alikes of each target, by score, then word. A similarity join by shared
+    blocks: as the score of a pair is the same in each block, the best of each block are enough, and pairs don't leave the
+    task that compares them. The targets of a crowded block are dealt to slices, each with all words of the block."""
+    own, every = (blocks(sounded(d.select("word").distinct())) for d in (targets, pool))
+    sizes = own.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("slices"))
+    asked = own.join(sizes, "block").select("*", F.pmod(F.xxhash64("word"), "slices").alias("slice"), F.lit(True).alias("asked"))
+    words = every.join(sizes, "block").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), F.lit(False).alias("asked"))
+    parts = 16 * targets.sparkSession.sparkContext.defaultParallelism
+    rows = asked.unionByName(words).drop("slices").repartition(parts, "block", "slice").sortWithinPartitions("block", "slice", "asked", "word")
+
+    def best(batches):
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            if not len(b):
+                continue
+            if held and tuple(held[-1][["block", "slice"]].iloc[-1]) == tuple(b[["block", "slice"]].iloc[-1]):
+                held.append(b)  # one group goes on throughout
+                continue
+            last = (b["block"] == b["block"].iloc[-1]) & (b["slice"] == b["slice"].iloc[-1])
+            yield best_of_groups(pd.concat([*held, b[~last]], ignore_index=True), count)
+            held = [b[last]]
+        if held:
+            yield best_of_groups(pd.concat(held, ignore_index=True), count)
+
+    scored = rows.mapInPandas(best, "target string, word string, score int").groupBy("target", "word").agg(F.max("score").alias("score"))
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("score"), "word"))).where(F.col("place") <= count)
 
 

@@ -155,3 +155,65 @@ def test_pair_distances(spark):
     t = w.select(F.col("word").alias("target"))
     want = t.join(w, (F.col("target") != F.col("word")) & (F.substring("target", 1, 3) == F.substring("word", 1, 3)))
     assert got == sorted(tuple(r) for r in want.select("target", "word", similarity.common_prefix(F.col("target"), F.col("word")), similarity.common_suffix(F.col("target"), F.col("word")), similarity.bounded_distance(F.col("target"), F.col("word"))).collect())
+
+
+def plain_lookalikes(sounds, targets, words, count=3):
+    """The rules of look-alikes pair by pair."""
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    def same(a, b):
+        return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+    out = set()
+    for a in targets:
+        found = []
+        for b in words:
+            (ask, arh, asy), (bsk, brh, bsy) = sounds[a], sounds[b]
+            gap, pref, suff, d, beats = abs(len(a) - len(b)), same(a, b), same(a[::-1], b[::-1]), edits(a, b), abs(asy - bsy)
+            ends = [x for x in candidates.SCHOLARLY if a.endswith(x) and b.endswith(x)]
+            shared = ask == bsk and len(ask) >= 3 or arh == brh and len(arh) >= 3 or a[-4:] == b[-4:] and min(len(a), len(b)) >= 6
+            shared = shared or any(min(len(a), len(b)) >= len(x) + 2 for x in ends) or gap <= 3 and (a[:3] == b[:3] or a[1:4] == b[1:4])
+            sk, sch = ask != "" and ask == bsk and gap <= 2, bool(ends) and beats <= 2
+            ct = min(len(a), len(b)) >= 5 and gap <= 3 and (a.endswith(b) or b.endswith(a)) and arh == brh
+            rh = len(arh) >= 3 and arh == brh and d <= 2 or ct
+            if a == b or not shared or gap > (4 if sch else 3) or not (d <= 2 or sk or rh or sch or pref >= 4 and len(a) >= 6 or pref >= 3 and suff >= 2):
+                continue
+            s = {1: 45, 2: 26}.get(d, 0) + 4 * pref + 2 * suff - (0 if sch else 2 * gap) + (18 if sk and d <= 2 else 14 if sk and not beats else 0)
+            s += (12 if rh and not beats else 0) + (30 if ct else 0) + ((48 if beats <= 1 else 44) if sch else 0)
+            found.append((-s, b))
+        out |= {(a, b, -s, i) for i, (s, b) in enumerate(sorted(found)[:count], 1)}
+    return out
+
+
+def test_lookalikes_pair_by_pair(spark, monkeypatch):
+    """Crowded and small blocks, words beyond ASCII, targets that the pool lacks; blocks whole and in slices."""
+    import random
+
+    rng = random.Random(3)
+    parts = ["the", "ing", "tion", "kn", "a", "e", "ist", "ship", "ology", "ph", "c", "ou", "é", "st"]
+    words = sorted({"".join(rng.choices(parts, k=rng.randint(2, 5))) for _ in range(500)} | {"physics", "music", "topics", "knight", "night", "light"})
+    words = [w for w in words if len(w) >= 4]
+    targets = [w for w in words if len(w) >= 6][::2] + ["theologist", "knightship"]
+    w, t = (spark.createDataFrame([(x,) for x in xs], "word string") for xs in (words, targets))
+    sounds = {r.word: (r.skel, r.rhyme, r.syl) for r in candidates.sounded(w.union(t)).collect()}
+    want = plain_lookalikes(sounds, targets, words)
+    assert len(want) > 400
+    for portion in (candidates.SLICE, 7):
+        monkeypatch.setattr(candidates, "SLICE", portion)
+        assert {(r.target, r.word, r.score, r.place) for r in candidates.lookalikes(t, w).collect()} == want
+
+
+def test_lookalikes_make_no_pairs_in_spark(spark):
+    """A crowded block's pairs don't become rows of a join."""
+    w = spark.createDataFrame([(f"theword{i}",) for i in range(300)], "word string")
+    d = candidates.lookalikes(w, w)
+    assert d.count() == 900
+    joins = [line for line in d._jdf.queryExecution().optimizedPlan().toString().split("\n") if " Join " in line]
+    assert len(joins) == 2 and all("block" in x for x in joins)
