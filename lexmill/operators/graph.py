@@ -60,17 +60,41 @@ def question_tokens(question: Column) -> Column:
     return F.concat(w, F.regexp_extract_all(question, F.lit("([一-鿿])"), 1))
 
 
+#: A token that is in this share of the names or more is frequent.
+FREQUENT = 0.25
+
+
 def route(questions: DataFrame, names: DataFrame, count: int = 3, least: int = 15) -> DataFrame:
     """q_id, name, score, place: the items that a question is about. A token in a name counts 10, a number 20, a type named in
     the question 5; over `least`; the first `count` by score, then name. Distinct tokens are looked for in
-    each distinct name at once, so no name is held against each token."""
+    each distinct name at once, so no name is held against each token.
+
+    Questions that have the same tokens of names are answered once. Names with a token that isn't frequent are scored. Of all
+    others the score depends on their type and frequent tokens alone, so that of the names that are the same in these the
+    first `count` are enough: each of them scores as much and stands before the rest."""
     boost = {"vocabulary": "wiki_vocabulary", "grammar": "wiki_grammar", "summary": "wiki_summaries"}
     q = questions.select("q_id", question_tokens(F.col("question")).alias("ts"))
-    t = q.select("q_id", F.explode("ts").alias("t")).groupBy("q_id", "t").agg(F.count(F.lit(1)).alias("n"))
+    t = q.select("q_id", F.array_intersect("ts", F.array(*map(F.lit, boost))).alias("kinds"), F.explode("ts").alias("t")).groupBy("q_id", "kinds", "t").agg(F.count(F.lit(1)).alias("n"))
     items = names.select("name", "type").distinct()
-    found = contained(items.select(F.col("name").alias("doc_id"), F.lower("name").alias("text")).distinct(), t.select(F.xxhash64("t").alias("item_id"), F.col("t").alias("quote")).distinct())
-    tokens = found.join(t, F.xxhash64("t") == F.col("item_id")).select(F.col("doc_id").alias("name"), "q_id", "t", "n").where(F.contains(F.lower("name"), F.col("t")))
-    hit = items.join(tokens, "name").groupBy("q_id", "name", "type").agg(F.sum(F.col("n") * F.when(F.col("t").rlike("^[0-9]+$"), 20).otherwise(10)).alias("s"))
-    more = sum((F.when(F.array_contains("ts", k) & (F.col("type") == v), 5).otherwise(0) for k, v in boost.items()), F.lit(0))
-    s = hit.join(q, "q_id").select("q_id", "name", (F.col("s") + more).alias("score")).where(F.col("score") > least)
-    return s.withColumn("place", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "name"))).where(F.col("place") <= count)
+    distinct = t.select("t").distinct()
+    found = contained(items.select(F.col("name").alias("doc_id"), F.lower("name").alias("text")).distinct(), distinct.select(F.xxhash64("t").alias("item_id"), F.col("t").alias("quote")))
+    found = found.join(distinct, F.xxhash64("t") == F.col("item_id")).select(F.col("doc_id").alias("name"), "t").where(F.contains(F.lower("name"), F.col("t"))).distinct()
+    all_names = items.agg(F.countDistinct("name").alias("all"))
+    held = found.groupBy("t").agg(F.count(F.lit(1)).alias("df")).crossJoin(all_names).select("t", (F.col("df") >= F.col("all") * FREQUENT).alias("frequent"))
+
+    points = F.col("n") * F.when(F.col("t").rlike("^[0-9]+$"), 20).otherwise(10)
+    asked = t.join(held, "t").groupBy("q_id", "kinds").agg(F.array_sort(F.collect_list(F.struct("t", points.alias("points"), "frequent"))).alias("toks")).withColumn("kinds", F.array_sort("kinds"))
+    once = asked.select("toks", "kinds").distinct()
+    seldom = once.select("toks", "kinds", F.explode(F.filter("toks", lambda x: ~x["frequent"])["t"]).alias("t"))
+    scored = seldom.join(found, "t").select("toks", "kinds", "name").distinct().join(items, "name")
+
+    often = found.join(held.where("frequent"), "t").groupBy("name").agg(F.array_sort(F.collect_list("t")).alias("often"))
+    alike = items.join(often, "name", "left").withColumn("k", F.row_number().over(Window.partitionBy("type", "often").orderBy("name"))).where(F.col("k") <= count)
+    others = once.crossJoin(alike.select("name", "type"))
+
+    hits = F.aggregate("toks", F.lit(0).cast("long"), lambda a, x: a + F.when(F.contains(F.lower("name"), x["t"]), x["points"]).otherwise(0))
+    more = sum((F.when(F.array_contains("kinds", k) & (F.col("type") == v), 5).otherwise(0) for k, v in boost.items()), F.lit(0))
+    s = scored.unionByName(others).select("toks", "kinds", "name", "type", hits.alias("s"), more.alias("more")).distinct()
+    s = s.where((F.col("s") > 0) & (F.col("s") + F.col("more") > least)).withColumn("score", F.col("s") + F.col("more"))
+    s = s.withColumn("place", F.row_number().over(Window.partitionBy("toks", "kinds").orderBy(F.desc("score"), "name"))).where(F.col("place") <= count)
+    return asked.join(s.select("toks", "kinds", "name", "score", "place"), ["toks", "kinds"]).select("q_id", "name", "score", "place")

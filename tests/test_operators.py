@@ -217,3 +217,26 @@ def test_lookalikes_make_no_pairs_in_spark(spark):
     assert d.count() == 900
     joins = [line for line in d._jdf.queryExecution().optimizedPlan().toString().split("\n") if " Join " in line]
     assert len(joins) == 2 and all("block" in x for x in joins)
+
+
+def test_route_question_by_question(spark):
+    """Frequent and rare tokens, repeated ones, types named in questions, equal scores: against all names for each question;
+    and names that only a token of all names is in don't become pairs with each question."""
+    import random
+    import re
+
+    rng = random.Random(5)
+    items = [(f"unit_{rng.choice(['alpha', 'beta', 'gammabeta'])}_{i}{x}", k) for i in range(40) for x, k in (("", "other"), ("_vocabulary", "wiki_vocabulary"))]
+    asked = [(i, " ".join(rng.choices(["unit", "alpha", "beta", "vocabulary", "x", "it", "3", "17", "gamma", "none"], k=rng.randint(0, 5)))) for i in range(60)] + [(99, None)]
+    q, n = spark.createDataFrame(asked, "q_id long, question string"), spark.createDataFrame(items, "name string, type string")
+    want = set()
+    for i, text in asked:
+        ts = [t for t in re.findall("[a-z0-9]+", text or "") if len(t) > 1 or t.isdigit()]
+        s = [(sum(20 if t.isdigit() else 10 for t in ts if t in name), name, kind) for name, kind in items]
+        s = sorted((-(x + 5 * ("vocabulary" in ts and kind == "wiki_vocabulary")), name) for x, name, kind in s if x)
+        want |= {(i, name, -x, k) for k, (x, name) in enumerate([y for y in s if -y[0] > 15][:3], 1)}
+    got = graph.route(q, n)
+    assert {(r.q_id, r.name, r.score, r.place) for r in got.collect()} == want
+    many = q.where("q_id < 10").withColumn("question", F.lit("it unit unit")).crossJoin(spark.range(200).withColumnRenamed("id", "k")).select((F.col("q_id") * 1000 + F.col("k")).alias("q_id"), "question")
+    r = graph.route(many, n)
+    assert r.count() == 10 * 200 * 3 and "toks" in r._jdf.queryExecution().optimizedPlan().toString()
