@@ -16,6 +16,8 @@ WORD = r"([a-z0-9_-]{2,})"
 #: A word's postings are dealt to so many parts, as some words are in every other sentence; hits up to so many are broadcast.
 SALTS = 16
 MOST_HITS = 200_000
+#: Texts are dealt to so many buckets by hash, to find how good the best `limit` of them are.
+BUCKETS = 64
 
 
 def index(pool: DataFrame) -> DataFrame:
@@ -59,3 +61,33 @@ def search(queries: DataFrame, idx: DataFrame, pool: DataFrame, limit: int = 3)
     found = found.groupBy("query_id", "text", "exact").agg(F.min(F.struct("doc_id", "sid")).alias("s")).select("query_id", "text", "exact", "s.doc_id", "s.sid")
     order = Window.partitionBy("query_id").orderBy(rank(F.col("text"), F.col("exact")), "doc_id", "sid")
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("query_id", "place", "doc_id", "sid", "exact", "text")
+
+
+def small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(MOST_HITS + 1).count() <= MOST_HITS else df
+
+
+def search_once(queries: DataFrame, pool: DataFrame, limit: int = 3) -> DataFrame:
+    """What `search` finds, for queries that are asked once: no index is made, and sentences are tried where they are. A
+    query is tried on the sentences that have its rarest word. Then a first look finds the best hit in each of BUCKETS
+    buckets of texts: equal texts share a bucket, so the `limit`-th best of these is a bound that as many texts keep. The
+    second look brings the texts of what keeps it, and no other hit leaves its task."""
+    q = queries.select("query_id", F.regexp_extract_all(F.lower("query"), F.lit(WORD), 1).alias("qs")).where("size(qs) > 0").dropDuplicates(["query_id"])
+    q = cut(q)
+    tok = q.select("query_id", F.explode(F.array_distinct("qs")).alias("w"))
+    # what a sentence is worth is found once, and not for each query
+    s = pool.where(F.length("text") > LEAST).select("doc_id", "sid", "text", F.regexp_extract_all(F.lower("text"), F.lit(WORD), 1).alias("ws"), rank(F.col("text"), F.lit(True)).alias("worth"))
+    df = s.select(F.explode(F.array_distinct("ws")).alias("w")).join(small(tok.select("w").distinct()), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    rare = tok.join(df, "w", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w"))["w"].alias("w"))
+    rare = small(cut(rare.join(q, "query_id")))
+    hits = s.select("*", F.explode(F.array_distinct("ws")).alias("w")).join(rare, "w").where(F.size(F.array_except("qs", "ws")) == 0)
+    line = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    exact = (F.size("qs") == 1) | F.contains(line("ws"), line("qs"))
+    hits = hits.select("query_id", "doc_id", "sid", "text", exact.alias("exact"), "worth")
+    key = F.struct((~F.col("exact")).cast("int").alias("loose"), "worth", "doc_id", "sid")
+    lows = hits.groupBy("query_id", F.pmod(F.xxhash64("text"), F.lit(BUCKETS)).alias("bucket")).agg(F.min(key).alias("low"))
+    bound = lows.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("low"))).where(F.col("k") == limit).select("query_id", "low")
+    kept = hits.join(small(cut(bound)), "query_id", "left").where(F.col("low").isNull() | (key <= F.col("low")))
+    found = kept.groupBy("query_id", "text", "exact").agg(F.min(F.struct("doc_id", "sid")).alias("s")).select("query_id", "text", "exact", "s.doc_id", "s.sid")
+    order = Window.partitionBy("query_id").orderBy(rank(F.col("text"), F.col("exact")), "doc_id", "sid")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("query_id", "place", "doc_id", "sid", "exact", "text")

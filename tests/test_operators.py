@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexmill.functions import similarity, text
-from lexmill.operators import candidates, discourse, graph, quotes, sense, tickets
+from lexmill.operators import candidates, discourse, examples, graph, quotes, sense, tickets
 
 
 def one(spark, column):
@@ -240,3 +240,19 @@ def test_route_question_by_question(spark):
     many = q.where("q_id < 10").withColumn("question", F.lit("it unit unit")).crossJoin(spark.range(200).withColumnRenamed("id", "k")).select((F.col("q_id") * 1000 + F.col("k")).alias("q_id"), "question")
     r = graph.route(many, n)
     assert r.count() == 10 * 200 * 3 and "toks" in r._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_examples_without_index(spark):
+    """The same sentences as by the index: repeated texts, common and absent words, words asked for twice, no hits, few hits;
+    and no postings are made."""
+    import random
+
+    rng = random.Random(11)
+    words = ["the", "of", "tion", "and", "rare", "murder", "ing"]
+    texts = [" ".join(rng.choices(words, [9, 7, 5, 3, 1, 1, 5], k=rng.randint(2, 20))) + rng.choice([".", "", "!"]) for _ in range(400)]
+    pool = spark.createDataFrame([(i % 37, i, t) for i, t in enumerate(texts + texts[:150] + ["the of of tion."] * 40)], "doc_id long, sid int, text string")
+    asked = ["the", "the of", "of of", "rare tion", "and rare murder", "nowhere", "the nowhere", "", None, "ing ing the", "of of tion"]
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
+    got = examples.search_once(q, pool)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in examples.search(q, examples.index(pool), pool).collect()}
+    assert got.where("query_id = 0").count() == 3 and "places" not in got._jdf.queryExecution().optimizedPlan().toString()
